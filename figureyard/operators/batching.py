@@ -108,8 +108,9 @@ def size_capped_batches(
     parallel, only the summaries of a group are folded in order, and the chunks
     are then numbered in parallel. Only (key, size) pairs travel.
     """
-    pairs = items.select(group, F.col(key).alias("k"), F.col(size).cast("double").alias("s"))
-    pairs = pairs.withColumn("chunk", bucket)
+    pairs = items.select(
+        group, F.col(key).alias("k"), F.col(size).cast("double").alias("s"), bucket.alias("chunk")
+    )
     total = float(cap)
 
     def summarise(ids: tuple, rows: pd.DataFrame) -> pd.DataFrame:

@@ -28,7 +28,7 @@ def feed_records(entries: DataFrame) -> DataFrame:
 
 
 def read_feed(spark: SparkSession, path: str) -> DataFrame:
-    """Atom files, split at entries by the XML source."""
+    """Atom documents, one per file, split at entries by the XML source."""
     entries = (
         spark.read.format("xml").option("rowTag", "entry").schema(schemas.FEED_ENTRY).load(path)
     )
@@ -55,20 +55,23 @@ def read_gold(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("gold4", class_index(F.col("gold_cls")))
 
 
-def read_journal(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
-    """One JSON record per line or file: good records with the page number from
-    their path, and unreadable ones on the side instead of failing the job."""
+def read_journal(
+    spark: SparkSession, path: str, schema: str, whole_files: bool = False
+) -> tuple[DataFrame, DataFrame]:
+    """JSON records, one per line or one per file: good records with the page
+    number from their path, and unreadable ones on the side instead of failing."""
     rows = (
-        spark.read.schema(schema + ", _corrupt_record STRING")
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_corrupt_record")
-        .json(path)
+        spark.read.option("wholetext", whole_files).text(path)
         .withColumn("file", F.col("_metadata.file_path"))
+        .withColumn(
+            "r", F.from_json("value", schema + ", _corrupt_record STRING", {"mode": "PERMISSIVE"})
+        )
     )
-    page = F.regexp_extract("file", r"page_(\d+)", 1)
-    rows = rows.withColumn("file_page", F.nullif(page, F.lit("")).cast("int"))
-    good = rows.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
-    bad = rows.filter(F.col("_corrupt_record").isNotNull()).select("file", "_corrupt_record")
+    page = F.nullif(F.regexp_extract("file", r"page_(\d+)", 1), F.lit("")).cast("int")
+    rows = rows.withColumn("file_page", page)
+    readable = F.col("r._corrupt_record").isNull() & F.col("r").isNotNull()
+    good = rows.filter(readable).select("r.*", "file", "file_page").drop("_corrupt_record")
+    bad = rows.filter(~readable).select("file", "file_page", "value")
     return good, bad
 
 
