@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from figureyard.operators.ranking import rank_within
+from figureyard.session import materialised
 
 # Pages and bytes per request batch, bytes per archive.
 BATCH_PAGES, BATCH_BYTES, ARCHIVE_BYTES = 50, 20 * 1024 * 1024, 220 * 1024 * 1024
@@ -98,11 +99,15 @@ def _pieces(size: np.ndarray, cap: float) -> list[tuple[float, int, float]]:
 
 
 def size_capped_batches(
-    items: DataFrame, group: str, key: str, size: str, bucket: Column, cap: int = ARCHIVE_BYTES
-) -> DataFrame:
+    items: DataFrame, group: str, key: str, size: str, bucket: Column, cap: int = ARCHIVE_BYTES,
+    start: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """Number the archives of every group: a batch closes at the first item that
     brings it to ``cap`` bytes or more; the last batch may stay below.
 
+    ``start`` holds (group, closed, carry) of earlier items. Returns the numbered
+    items and the same state after them.
+
     A running sum with reset is sequential, but a chunk of consecutive items is
     a small step function of the bytes carried in. Chunks are summarised in
     parallel, only the summaries of a group are folded in order, and the chunks
@@ -123,13 +128,18 @@ def size_capped_batches(
         return steps
 
     def chain(ids: tuple, steps: pd.DataFrame) -> pd.DataFrame:
-        done, carry, rows = 0, 0.0, []
+        # the row with chunk null is the state the group starts from
+        begin = steps[steps["chunk"].isna()]
+        done = int(begin["closed"].iloc[0]) if len(begin) else 0
+        carry = float(begin["carry"].iloc[0]) if len(begin) else 0.0
+        rows = []
         for chunk, part in steps.sort_values(["chunk", "low"]).groupby("chunk", sort=True):
             rows.append((ids[0], chunk, done, carry))
             hit = int(np.searchsorted(part["low"].to_numpy(), carry, side="right")) - 1
             step = part.iloc[hit]
             done += int(step["closed"])
             carry = carry + step["chunk_bytes"] if step["carry"] < 0 else float(step["carry"])
+        rows.append((ids[0], None, done, carry))
         return pd.DataFrame(rows, columns=["g", "chunk", "closed_before", "carry_in"])
 
     def number(rows: pd.DataFrame) -> pd.DataFrame:
@@ -151,15 +161,22 @@ def size_capped_batches(
         summarise,
         f"g {g_type}, chunk {c_type}, chunk_bytes double, low double, closed long, carry double",
     )
-    starts = steps.groupBy("g").applyInPandas(
+    if start is not None:
+        begun = start.select(F.col(group).alias("g"), "closed", "carry")
+        steps = steps.unionByName(begun, allowMissingColumns=True)
+    # both the numbering and the new state need this small table: fix its rows
+    starts = materialised(steps.groupBy("g").applyInPandas(
         chain, f"g {g_type}, chunk {c_type}, closed_before long, carry_in double"
+    ), "archive-starts")
+    state = starts.filter(F.col("chunk").isNull()).select(
+        F.col("g").alias(group), F.col("closed_before").alias("closed"), F.col("carry_in").alias("carry")
     )
     numbered = (
         named.join(starts, ["g", "chunk"])
         .groupBy("g", "chunk")
         .applyInPandas(number, f"g {g_type}, k {k_type}, batch long")
     )
-    return numbered.select(F.col("g").alias(group), F.col("k").alias(key), "batch")
+    return numbered.select(F.col("g").alias(group), F.col("k").alias(key), "batch"), state
 
 
 def archive_key(group: Column, batch: Column) -> Column:

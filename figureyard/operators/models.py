@@ -17,16 +17,18 @@ from figureyard.functions.columns import hash_int
 from figureyard.functions.vectors import argmax, dot, norm, softmax_scores
 from figureyard.operators.datasets import class_weights
 from figureyard.schemas import CLASSES
+from figureyard.session import materialised
 
 FOLDS = 5
 
 
-def batch_scorer(make_predict: Callable[[], Callable], k: int = len(CLASSES),
+def batch_scorer(make_predict: Callable[[], Callable], dim: int,
                  batch_size: int = 32) -> Callable[[Column], Column]:
     """A pluggable scorer: ``make_predict`` loads the model once per worker and
     returns a function from a batch of vectors to class probabilities."""
     return predict_batch_udf(
-        make_predict, return_type=T.ArrayType(T.DoubleType()), batch_size=batch_size
+        make_predict, return_type=T.ArrayType(T.DoubleType()), batch_size=batch_size,
+        input_tensor_shapes=[[dim]],
     )
 
 
@@ -146,7 +148,7 @@ def out_of_fold(df: DataFrame, key: str, vector: str, y: str, max_iter: int = 30
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
-    return out
+    return materialised(out, "out-of-fold")
 
 
 def label_issues(scored: DataFrame, y: str, prob: str, confident: bool) -> DataFrame:

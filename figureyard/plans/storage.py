@@ -363,34 +363,33 @@ def flat_names(spark, d):
     )
 
 
-_ARCHIVE_CAP = 60_000
+ARCHIVE_CAP = 60_000
 
 
 def _archives(spark, d):
     i = t.images(spark, d).select("field", "image_id", "file_bytes")
-    key = F.col("image_id")
-    return i, batching.size_capped_batches(
-        i, "field", "image_id", "file_bytes", id_bucket(key, 4096), _ARCHIVE_CAP
+    return batching.size_capped_batches(
+        i, "field", "image_id", "file_bytes", id_bucket(F.col("image_id"), 4096), ARCHIVE_CAP
     )
 
 
-@query(
-    "snk3_size_capped_archives",
-    f"""
+ARCHIVE_SQL = f"""
     WITH RECURSIVE o AS (SELECT field, image_id, file_bytes AS s,
                                 row_number() OVER (PARTITION BY field ORDER BY image_id) AS rn FROM images_v),
       r AS (SELECT field, image_id, rn, s AS run, CAST(1 AS BIGINT) AS batch FROM o WHERE rn = 1
             UNION ALL
             SELECT o.field, o.image_id, o.rn,
-                   CASE WHEN r.run >= {_ARCHIVE_CAP} THEN o.s ELSE r.run + o.s END,
-                   CASE WHEN r.run >= {_ARCHIVE_CAP} THEN r.batch + 1 ELSE r.batch END
+                   CASE WHEN r.run >= {ARCHIVE_CAP} THEN o.s ELSE r.run + o.s END,
+                   CASE WHEN r.run >= {ARCHIVE_CAP} THEN r.batch + 1 ELSE r.batch END
             FROM r JOIN o ON o.field = r.field AND o.rn = r.rn + 1)
     SELECT field, image_id, batch, 'v3/pdfs/' || field || '/batch_' || lpad(CAST(batch AS VARCHAR), 4, '0') || '.zip' AS archive
     FROM r
-    """,
-)
+"""
+
+
+@query("snk3_size_capped_archives", ARCHIVE_SQL)
 def size_capped_archives(spark, d):
-    _, batches = _archives(spark, d)
+    batches, _ = _archives(spark, d)
     return batches.withColumn("archive", batching.archive_key(F.col("field"), F.col("batch")))
 
 
