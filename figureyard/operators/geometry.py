@@ -218,12 +218,15 @@ def captions(figures: DataFrame, blocks: DataFrame, page: str) -> DataFrame:
     Blocks start within the band under the figure and overlap it sideways. The
     first one that reads like a caption is taken with the block after it,
     otherwise the nearest block. Figures and blocks meet on page and band, and
-    pairs go straight into map-side minima; they are never shuffled or kept.
+    pairs go straight into map-side minima; they are never shuffled or kept. A
+    repeated caption is followed by its own copy.
     """
     span = BAND_BELOW + BAND_ABOVE
-    text = blocks.withColumn("txt", F.trim("txt")).filter(F.length("txt") > 0).select(
-        page, "bx0", "bx1", "by0", "txt", F.floor(F.col("by0") / span).alias("band")
-    ).distinct()
+    text = (
+        blocks.withColumn("txt", F.trim("txt")).filter(F.length("txt") > 0)
+        .groupBy(page, "bx0", "bx1", "by0", "txt").agg(F.count(F.lit(1)).alias("copies"))
+        .withColumn("band", F.floor(F.col("by0") / span))
+    )
     keys = [page, *SIDES]
     under = (
         (F.col("by0") >= F.col("y1") - BAND_ABOVE)
@@ -247,11 +250,16 @@ def captions(figures: DataFrame, blocks: DataFrame, page: str) -> DataFrame:
         F.col("y1"), BAND_ABOVE, BAND_BELOW,
     )
     after = (
-        with_cap.join(text, [page, "band"]).filter(under & (spot > F.col("cap")))
+        with_cap.join(text, [page, "band"]).filter(under & (spot >= F.col("cap")))
         .groupBy(*keys)
-        .agg(F.min(spot)["txt"].alias("next_txt"))
+        .agg(
+            F.sum(F.when(spot == F.col("cap"), F.col("copies"))).alias("same"),
+            F.min(F.when(spot > F.col("cap"), spot)).alias("later"),
+        )
+    )
+    joined = firsts.join(after, keys, "left").withColumn(
+        "next_txt", F.when(F.col("same") > 1, F.col("cap.txt")).otherwise(F.col("later.txt"))
     )
-    joined = firsts.join(after, keys, "left")
     text_of = F.when(
         F.col("cap").isNotNull(),
         F.concat_ws(" ", F.col("cap.txt"), F.col("next_txt")),

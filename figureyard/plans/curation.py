@@ -47,9 +47,8 @@ def crop_shape_gate(spark, d):
 
 
 _BYTES = """
-    WITH px AS (SELECT doc_id, n_chars, ('0x' || substr(h, 2 * i - 1, 2))::INT AS v, i FROM (
-                  SELECT doc_id, n_chars, h, unnest(range(1, length(h) // 2 + 1)) AS i FROM (
-                    SELECT doc_id, n_chars, hex(encode(text)) AS h FROM documents))),
+    WITH px AS (SELECT doc_id, n_chars, ('0x' || unnest(h))::INT AS v, generate_subscripts(h, 1) AS i FROM (
+                  SELECT doc_id, n_chars, regexp_extract_all(hex(encode(text)), '..') AS h FROM documents)),
          md AS (SELECT doc_id, arg_max(v, c * 1000 - v) AS m FROM (
                   SELECT doc_id, v, count(*) AS c FROM px GROUP BY doc_id, v) GROUP BY doc_id),
          st AS (SELECT px.doc_id, stddev_pop(v) AS std,
