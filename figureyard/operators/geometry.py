@@ -6,6 +6,8 @@ Tiles bound what one task sees even when a page holds most of the rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -142,31 +144,54 @@ def suppress(candidates: DataFrame, page: str, per_round: int = 256) -> DataFram
     return kept
 
 
-def merge_boxes(boxes: np.ndarray, gap: float) -> np.ndarray:
+def merge_boxes(boxes: Iterable[tuple], gap: float) -> list[tuple]:
     """Unite boxes whose gap-expanded forms intersect until none do. The result
     does not depend on the order, so parts of a page can be merged first."""
-    boxes = np.unique(boxes, axis=0)
-    while True:
-        done: list[np.ndarray] = []
-        changed = False
-        rest = boxes
-        while len(rest):
-            box, rest = rest[-1].copy(), rest[:-1]
-            while len(rest):
-                hit = (
-                    (box[0] - gap < rest[:, 2]) & (box[2] + gap > rest[:, 0])
-                    & (box[1] - gap < rest[:, 3]) & (box[3] + gap > rest[:, 1])
-                )
-                if not hit.any():
-                    break
-                near = rest[hit]
-                box[:2] = np.minimum(box[:2], near[:, :2].min(axis=0))
-                box[2:] = np.maximum(box[2:], near[:, 2:].max(axis=0))
-                rest, changed = rest[~hit], True
-            done.append(box)
-        boxes = np.array(done)
-        if not changed:
-            return boxes
+    done: list[tuple] = []
+    for x0, y0, x1, y1 in boxes:
+        grew = True
+        while grew:
+            apart = []
+            grew = False
+            for b in done:
+                if x0 - gap < b[2] and x1 + gap > b[0] and y0 - gap < b[3] and y1 + gap > b[1]:
+                    x0, y0, x1, y1 = min(x0, b[0]), min(y0, b[1]), max(x1, b[2]), max(y1, b[3])
+                    grew = True
+                else:
+                    apart.append(b)
+            done = apart
+        done.append((x0, y0, x1, y1))
+    return done
+
+
+def _merge_sorted(batches: Iterator[pd.DataFrame], keys: list[str], gap: float) -> Iterator[pd.DataFrame]:
+    """Merge the pages of a partition sorted by ``keys``; only the page that is
+    cut by an Arrow batch is carried over."""
+    def merged(rows: pd.DataFrame) -> pd.DataFrame:
+        boxes = rows[list(SIDES)].to_numpy(dtype=float)
+        ids = rows[keys].to_numpy()
+        starts = np.flatnonzero((ids[1:] != ids[:-1]).any(axis=1)) + 1
+        bounds = [0, *starts.tolist(), len(rows)]
+        first, out = [], []
+        for lo, hi in zip(bounds, bounds[1:]):
+            united = merge_boxes(boxes[lo:hi].tolist(), gap) if hi - lo > 1 else [tuple(boxes[lo])]
+            out.extend(united)
+            first.extend([lo] * len(united))
+        sides = pd.DataFrame(out, columns=list(SIDES))
+        sides.insert(0, keys[0], rows[keys[0]].to_numpy()[first])
+        return sides
+
+    held: pd.DataFrame | None = None
+    for batch in batches:
+        rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+        if not len(rows):
+            continue
+        last = (rows[keys] == rows[keys].iloc[-1]).all(axis=1)
+        held, whole = rows[last], rows[~last]
+        if len(whole):
+            yield merged(whole)
+    if held is not None and len(held):
+        yield merged(held)
 
 
 def merge_rects(
@@ -176,17 +201,16 @@ def merge_rects(
 
     A page with more than ``per_task`` distinct rectangles is first merged in
     salted parts. Merges never depend on order, so merging the parts' results
-    gives the same boxes; this repeats until every page fits one call.
+    gives the same boxes; this repeats until every page is small or merging
+    its parts no longer shrinks it.
     """
     key = rects.schema[page].dataType.simpleString()
+    schema = f"{page} {key}, " + ", ".join(f"{s} double" for s in SIDES)
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        merged = merge_boxes(rows[list(SIDES)].to_numpy(dtype=float), gap)
-        out = pd.DataFrame(merged, columns=list(SIDES))
-        out.insert(0, page, rows[page].iloc[0])
-        return out
+    def run(df: DataFrame, keys: list[str]) -> DataFrame:
+        placed = df.repartition(*keys).sortWithinPartitions(*keys)
+        return placed.mapInPandas(lambda it: _merge_sorted(it, keys, gap), schema)
 
-    schema = f"{page} {key}, " + ", ".join(f"{s} double" for s in SIDES)
     open_rects = rects.select(page, *[F.col(s).cast("double").alias(s) for s in SIDES]).distinct()
     sizes = open_rects.groupBy(page).agg(F.count(F.lit(1)).alias("n"))
     previous = None
@@ -197,12 +221,10 @@ def merge_rects(
             break
         previous = big
         parts = F.pmod(F.xxhash64(*SIDES), F.ceil(F.col("n") / per_task))
-        salted = open_rects.join(sizes, page).withColumn("part", parts)
-        open_rects = materialised(
-            salted.groupBy(page, "part").applyInPandas(run, schema), "merge-rects"
-        )
+        salted = open_rects.join(sizes, page).withColumn("part", parts).drop("n")
+        open_rects = materialised(run(salted, [page, "part"]), "merge-rects")
         sizes = open_rects.groupBy(page).agg(F.count(F.lit(1)).alias("n"))
-    return open_rects.groupBy(page).applyInPandas(run, schema)
+    return run(open_rects, [page])
 
 
 def _bands(df: DataFrame, y: Column, lo: int, hi: int) -> DataFrame:
