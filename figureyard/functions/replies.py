@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 _LENIENT = {"allowUnquotedControlChars": "true", "mode": "PERMISSIVE",
             "columnNameOfCorruptRecord": "_corrupt_record"}
 
+# Defaults of missing reply keys and of empty request parts.
+DETECT_DEFAULTS = {"has_diagram": False, "page_summary": ""}
+LABEL_DEFAULTS = {
+    "is_diagram": False, "reject_reason": "", "diagram_type": "", "title": "", "label": "",
+}
 NO_TEXT, NO_CONTEXT = "(no OCR text available)", "(none)"
 
 
@@ -25,7 +30,7 @@ def json_candidate(reply: Column) -> Column:
 
 
 def parse_replies(
-    df: DataFrame, reply: str, schema: str, defaults: dict[str, Column]
+    df: DataFrame, reply: str, schema: str, defaults: dict[str, object]
 ) -> DataFrame:
     """Add ``parsed`` (struct) and ``parse_error`` (text or null).
 
@@ -47,7 +52,7 @@ def parse_replies(
     out = step.withColumn("__good", good)
     names = [part.strip().split(" ")[0] for part in _top_level(schema)]
     fields = [
-        F.coalesce(F.col("__good")[n], defaults[n]).alias(n) if n in defaults
+        F.coalesce(F.col("__good")[n], F.lit(defaults[n])).alias(n) if n in defaults
         else F.col("__good")[n].alias(n)
         for n in names
     ]

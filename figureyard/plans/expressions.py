@@ -110,12 +110,8 @@ def parsed_replies(spark, d):
         .when(F.col("doc_id") % 5 == 2, F.lit("no object here"))
         .otherwise(body)
     )
-    defaults = {
-        "is_diagram": F.lit(False), "reject_reason": F.lit(""), "diagram_type": F.lit(""),
-        "title": F.lit(""), "label": F.lit(""),
-    }
     rows = t.papers(spark, d).select("doc_id", reply.alias("reply"))
-    parsed = replies.parse_replies(rows, "reply", schemas.LABEL_REPLY, defaults)
+    parsed = replies.parse_replies(rows, "reply", schemas.LABEL_REPLY, replies.LABEL_DEFAULTS)
     return parsed.select("doc_id", "parsed.*", "parse_error")
 
 

@@ -61,7 +61,7 @@ def read_journal(
     """JSON records, one per line or one per file: good records with the page
     number from their path, and unreadable ones on the side instead of failing."""
     rows = (
-        spark.read.option("wholetext", whole_files).text(path)
+        spark.read.text(path, wholetext=whole_files)
         .withColumn("file", F.col("_metadata.file_path"))
         .withColumn(
             "r", F.from_json("value", schema + ", _corrupt_record STRING", {"mode": "PERMISSIVE"})
