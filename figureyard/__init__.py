@@ -1 +1,8 @@
 """Figure curation, dataset assembly and model evaluation on Spark DataFrames."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Executors need no installed copy of the package: its functions travel by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -175,3 +175,13 @@ def archive_entry(field: Column, key: Column) -> Column:
 def hash_int(text: Column) -> Column:
     """First 32 bits of md5 as a non-negative number, equal on every engine."""
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+
+
+def utc_instant(ts: Column) -> Column:
+    """A time without zone, read as UTC whatever the zone of the session is."""
+    return F.convert_timezone(F.lit("UTC"), F.current_timezone(), ts).cast("timestamp")
+
+
+def utc_day(instant: Column) -> Column:
+    local = instant.cast("timestamp_ntz")
+    return F.to_date(F.convert_timezone(F.current_timezone(), F.lit("UTC"), local))

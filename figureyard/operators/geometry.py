@@ -116,8 +116,11 @@ def suppress(candidates: DataFrame, page: str, per_round: int = 256) -> DataFram
     first = F.struct(
         (-F.col("area_frac")).alias("neg"), *SIDES, "kind", "area_frac",
     )
-    unique = candidates.groupBy(page, *SIDES).agg(
-        F.min("kind").alias("kind"), F.max("area_frac").alias("area_frac")
+    unique = materialised(
+        candidates.groupBy(page, *SIDES).agg(
+            F.min("kind").alias("kind"), F.max("area_frac").alias("area_frac")
+        ),
+        "suppress-candidates",
     )
 
     def fold(df: DataFrame) -> DataFrame:
@@ -211,7 +214,8 @@ def merge_rects(
         placed = df.repartition(*keys).sortWithinPartitions(*keys)
         return placed.mapInPandas(lambda it: _merge_sorted(it, keys, gap), schema)
 
-    open_rects = rects.select(page, *[F.col(s).cast("double").alias(s) for s in SIDES]).distinct()
+    as_double = [F.col(s).cast("double").alias(s) for s in SIDES]
+    open_rects = materialised(rects.select(page, *as_double).distinct(), "merge-rects")
     sizes = open_rects.groupBy(page).agg(F.count(F.lit(1)).alias("n"))
     previous = None
     while True:

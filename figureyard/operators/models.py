@@ -9,6 +9,7 @@ from pyspark.ml.classification import (
     GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest,
 )
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,19 +55,18 @@ def aligned(manifest: DataFrame, embeddings: DataFrame) -> DataFrame:
 
 
 def centroids(vectors: DataFrame, cls: str, vector: str) -> DataFrame:
-    """Normalised mean of normalised vectors per class: sums are taken per
-    dimension before the shuffle, a class never meets in one task."""
-    unit = vectors.withColumn("__n", norm(F.col(vector))).select(
-        cls, F.posexplode(vector).alias("d", "x"), F.col("__n")
+    """Normalised mean of normalised vectors per class. Every task adds up its
+    own vectors before the shuffle, so a class never meets in one task."""
+    size = norm(F.col(vector))
+    scaled = F.transform(
+        vector, lambda x: x.cast("double") / F.when(size == 0, 1.0).otherwise(size)
     )
-    scaled = F.col("x").cast("double") / F.when(F.col("__n") == 0, 1.0).otherwise(F.col("__n"))
-    means = unit.groupBy(cls, "d").agg(F.avg(scaled).alias("m"))
-    packed = means.groupBy(cls).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("d", "m"))), lambda s: s["m"]).alias("c")
+    means = vectors.select(cls, array_to_vector(scaled).alias("v")).groupBy(cls).agg(
+        vector_to_array(Summarizer.mean(F.col("v"))).alias("c")
     )
-    size = norm(F.col("c"))
-    return packed.select(
-        cls, F.transform("c", lambda x: x / F.when(size == 0, 1.0).otherwise(size)).alias("centroid")
+    length = norm(F.col("c"))
+    return means.select(
+        cls, F.transform("c", lambda x: x / F.when(length == 0, 1.0).otherwise(length)).alias("centroid")
     )
 
 

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from figureyard.functions.columns import PREFIX_CHARS, ratio
+from figureyard.functions.columns import PREFIX_CHARS, ratio, utc_instant
 
 # Supply control of the harvest loop.
 MIN_SAMPLE, DEFAULT_YIELD, LOWEST_YIELD, HEADROOM, BUFFER_CAP = 30, 3.0, 0.5, 1.3, 1500
@@ -130,9 +130,9 @@ def demand(counters: DataFrame, target: int) -> DataFrame:
 
 def throughput(log: DataFrame, done: Column, target: int) -> DataFrame:
     """Finished items, items per hour and seconds left at that rate."""
-    seconds = F.unix_timestamp(F.max("ts").cast("timestamp")) - F.unix_timestamp(
-        F.min("ts").cast("timestamp")
-    )
+    # the log's times carry no zone; as UTC their difference has no clock changes
+    last, first = utc_instant(F.max("ts")), utc_instant(F.min("ts"))
+    seconds = F.unix_seconds(last) - F.unix_seconds(first)
     base = log.agg(F.count_if(done).alias("done"), seconds.alias("seconds"))
     rate = ratio(F.col("done"), F.col("seconds"))
     left = F.greatest(F.lit(target) - F.col("done"), F.lit(0))

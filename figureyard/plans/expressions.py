@@ -1,5 +1,7 @@
 """Scalar expressions over whole tables."""
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
 from figureyard import schemas
@@ -217,8 +219,11 @@ def unit_vectors(spark, d):
     """,
 )
 def mean_vectors(spark, d):
-    e = t.table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("d", "x"))
-    return e.groupBy("label", "d").agg(F.round(F.avg(F.col("x").cast("double")), 4).alias("mean"))
+    e = t.table(spark, d, "embeddings")
+    means = e.groupBy("label").agg(Summarizer.mean(array_to_vector("embedding")).alias("m"))
+    return means.select("label", F.posexplode(vector_to_array("m")).alias("d", "x")).select(
+        "label", "d", F.round("x", 4).alias("mean")
+    )
 
 
 @query(
@@ -282,10 +287,10 @@ def half_even(spark, d):
     """,
 )
 def epochs(spark, d):
-    ts = F.col("ts").cast("timestamp")
+    ts = c.utc_instant(F.col("ts"))
     back = F.timestamp_millis(F.unix_millis(ts))
     return t.table(spark, d, "events").select(
-        "event_id", F.unix_millis(ts).alias("millis"), F.date_format(F.to_date(back), "yyyy-MM-dd").alias("day")
+        "event_id", F.unix_millis(ts).alias("millis"), F.date_format(c.utc_day(back), "yyyy-MM-dd").alias("day")
     )
 
 

@@ -266,23 +266,23 @@ def gallery_scan(spark, d):
     """,
 )
 def detector_boxes(spark, d):
+    """One entry per detected box, so no page has to meet in one task to be
+    written; the entries of a page are put together by the aggregation."""
     xyxy = F.array(*[F.col(s).cast("double") for s in ("x0", "y0", "x1", "y1")])
-    box = F.struct("cls", "conf", xyxy.alias("xyxy"))
-    pages = t.boxes(spark, d).groupBy("page_key").agg(
-        F.max("has_diagram").alias("has_diagram"), F.collect_list(box).alias("boxes")
-    )
     entry = F.struct(
-        F.lit("val").alias("split"), "has_diagram", F.lit("f").alias("field"), "boxes",
+        F.lit("val").alias("split"), "has_diagram", F.lit("f").alias("field"),
+        F.array(F.struct("cls", "conf", xyxy.alias("xyxy"))).alias("boxes"),
         F.array(F.lit(t.PAGE_W), F.lit(t.PAGE_H)).alias("img_wh"),
     )
     key = F.concat(F.col("page_key").cast("string"), F.lit("|1"))
     path = shared_path(spark, "boxes")
-    pages.select(F.to_json(F.create_map(key, entry)).alias("value")).write.text(path)
+    t.boxes(spark, d).select(F.to_json(F.create_map(key, entry)).alias("value")).write.text(path)
     rows = scans.detector_entries(spark.read.schema("value STRING").text(path), "value")
-    return rows.select(
-        "arxiv_id", "page_no", "has_diagram", F.size("boxes").alias("n_boxes"),
-        F.round(F.aggregate("boxes", F.lit(0.0), lambda a, b: a + b["conf"]), 4).alias("conf"),
-        box_gate(F.col("boxes"), F.col("img_wh"), 0.4, 0.03).alias("gate"),
+    return rows.groupBy("arxiv_id", "page_no").agg(
+        F.max("has_diagram").alias("has_diagram"),
+        F.sum(F.size("boxes")).cast("int").alias("n_boxes"),
+        F.round(F.sum(F.aggregate("boxes", F.lit(0.0), lambda a, b: a + b["conf"])), 4).alias("conf"),
+        F.max(box_gate(F.col("boxes"), F.col("img_wh"), 0.4, 0.03)).alias("gate"),
     )
 
 

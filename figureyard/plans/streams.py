@@ -2,11 +2,13 @@
 
 from pyspark.sql import functions as F
 
+from figureyard.functions.columns import utc_instant
 from figureyard.operators.ranking import id_bucket
 from figureyard.plans.catalog import query
 from figureyard.plans.joining import positioned_manifest
 from figureyard.plans.registration import _LOG_SQL
 from figureyard.plans.storage import _GALLERY, ARCHIVE_CAP, ARCHIVE_SQL, gallery_images
+from figureyard.schemas import TABLES
 from figureyard.session import shared_path
 from figureyard.sinks import stores
 from figureyard.sources import tables as t
@@ -14,25 +16,29 @@ from figureyard.streaming import jobs
 
 
 def _arriving(spark, df, order, parts=3):
-    """``df`` as a file stream whose files follow ``order``: the first third of
-    the rows arrives first. Returns the stream, one file set per batch."""
+    """``df`` as a feed whose files arrive in ``order``, a third at a time."""
     path = shared_path(spark, "arrivals")
     top = df.agg(F.max(order)).first()[0] or 0
-    for i in range(parts):
+
+    def write(i):
         lo, hi = (top + 1) * i // parts, (top + 1) * (i + 1) // parts
         part = df.filter((F.col(order) >= lo) & (F.col(order) < hi))
-        part.coalesce(1).write.mode("append").parquet(path)
-    return jobs.file_stream(spark, path, df.schema, files_per_batch=1)
+        part.write.mode("append").parquet(path)
+
+    write(0)  # the folder has to exist before the stream is defined
+    later = [lambda i=i: write(i) for i in range(1, parts)]
+    return jobs.Feed(jobs.file_stream(spark, path, df.schema), [lambda: None, *later])
 
 
 def decision_stream(spark, d):
     """The event table as a stream of decisions; its times become UTC instants."""
-    events = t.table(spark, d, "events").schema
-    s = jobs.file_stream(spark, d, events, "events.parquet")
-    return s.select(
-        F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"),
-        F.col("user_id").alias("entity"), F.col("event_type").alias("stage"),
-        t.status_of_stage(F.col("event_type")).alias("status"), F.col("value").alias("cost"),
+    s = jobs.file_stream(spark, d, TABLES["events"], "events.parquet")
+    return jobs.Feed(
+        s.select(
+            F.col("event_id").alias("seq"), utc_instant(F.col("ts")).alias("ts"),
+            F.col("user_id").alias("entity"), F.col("event_type").alias("stage"),
+            t.status_of_stage(F.col("event_type")).alias("status"), F.col("value").alias("cost"),
+        )
     )
 
 

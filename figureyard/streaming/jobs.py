@@ -8,6 +8,7 @@ earlier ones, so every job is exactly-once after a failure.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,18 +28,36 @@ def file_stream(spark: SparkSession, folder: str, schema, pattern: str = "*.parq
     return reader.parquet(folder)
 
 
-def drain(stream: DataFrame, sink: Callable[[DataFrame, int], None], mode: str = "append",
-          checkpoint: str | None = None) -> None:
-    """Process everything available and stop; a service would set an interval."""
-    spark = stream.sparkSession
-    query = (
-        stream.writeStream.outputMode(mode)
-        .option("checkpointLocation", checkpoint or shared_path(spark, "stream-checkpoint"))
-        .trigger(availableNow=True)
-        .foreachBatch(sink)
-        .start()
-    )
-    query.awaitTermination()
+@dataclass
+class Feed:
+    """A stream and what happens before each run over it. A service runs once,
+    continuously; a scheduled job runs once per arrival of new files, resuming
+    from the same checkpoint."""
+
+    stream: DataFrame
+    arrivals: Sequence[Callable[[], None]] = (lambda: None,)
+
+    def map(self, change: Callable[[DataFrame], DataFrame]) -> Feed:
+        return Feed(change(self.stream), self.arrivals)
+
+    @property
+    def spark(self) -> SparkSession:
+        return self.stream.sparkSession
+
+
+def drain(feed: Feed, sink: Callable[[DataFrame, int], None], mode: str = "append") -> None:
+    """Process everything available after each arrival."""
+    checkpoint = shared_path(feed.spark, "stream-checkpoint")
+    for arrive in feed.arrivals:
+        arrive()
+        query = (
+            feed.stream.writeStream.outputMode(mode)
+            .option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True)
+            .foreachBatch(sink)
+            .start()
+        )
+        query.awaitTermination()
 
 
 class BatchTable:
@@ -64,16 +83,16 @@ class BatchTable:
         return latest_per_key(self.rows(before), keys, F.col("batch"))
 
 
-def register_stream(stream: DataFrame, arrival: str, schema: str) -> BatchTable:
+def register_stream(feed: Feed, arrival: str, schema: str) -> BatchTable:
     """First arrival per version-less id over all batches, without a time bound."""
-    table = BatchTable(stream.sparkSession, "registry", schema)
+    table = BatchTable(feed.spark, "registry", schema)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         first = first_per_key(batch, ["base_id"], F.col(arrival))
         known = table.rows(before=batch_id).select("base_id")
         table.put(first.join(known, "base_id", "left_anti"), batch_id)
 
-    drain(stream, sink)
+    drain(feed, sink)
     return table
 
 
@@ -82,41 +101,45 @@ def dedup_within_watermark(stream: DataFrame, ts: str, key: str, delay: str) ->
     return stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
 
 
-def entity_states(log: DataFrame, key: str) -> BatchTable:
+def entity_states(feed: Feed, key: str) -> BatchTable:
     """Current status, total cost and attempts per entity, kept in JVM state."""
     schema = f"{key} BIGINT, status STRING, cost DOUBLE, failures BIGINT, steps BIGINT"
-    table = BatchTable(log.sparkSession, "entity-states", schema)
-    folded = log.groupBy(key).agg(
+    table = BatchTable(feed.spark, "entity-states", schema)
+    columns = [
         F.max_by("status", "seq").alias("status"), F.sum("cost").alias("cost"),
         F.count_if(F.col("status") == "failed").alias("failures"), F.count(F.lit(1)).alias("steps"),
-    )
-    drain(folded, table.put, mode="update")
+    ]
+    drain(feed.map(lambda log: log.groupBy(key).agg(*columns)), table.put, mode="update")
     return table
 
 
-def live_counters(log: DataFrame, keys: Sequence[str], schema: str) -> BatchTable:
-    table = BatchTable(log.sparkSession, "live-counters", schema)
-    drain(log.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")), table.put, mode="update")
+def live_counters(feed: Feed, keys: Sequence[str], schema: str) -> BatchTable:
+    table = BatchTable(feed.spark, "live-counters", schema)
+    n = F.count(F.lit(1)).alias("n")
+    drain(feed.map(lambda log: log.groupBy(*keys).agg(n)), table.put, mode="update")
     return table
 
 
-def throughput_windows(log: DataFrame, ts: str, width: str, delay: str) -> BatchTable:
+def throughput_windows(feed: Feed, ts: str, width: str, delay: str) -> BatchTable:
     """Finished items per tumbling window; the watermark bounds the state."""
-    table = BatchTable(log.sparkSession, "throughput", "start TIMESTAMP, n BIGINT, done BIGINT")
-    windows = (
-        log.withWatermark(ts, delay)
-        .groupBy(F.window(ts, width).alias("w"))
-        .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") == "labeled").alias("done"))
-        .select(F.col("w.start").alias("start"), "n", "done")
-    )
-    drain(windows, table.put, mode="update")
+    table = BatchTable(feed.spark, "throughput", "start TIMESTAMP, n BIGINT, done BIGINT")
+
+    def windows(log: DataFrame) -> DataFrame:
+        return (
+            log.withWatermark(ts, delay)
+            .groupBy(F.window(ts, width).alias("w"))
+            .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("status") == "labeled").alias("done"))
+            .select(F.col("w.start").alias("start"), "n", "done")
+        )
+
+    drain(feed.map(windows), table.put, mode="update")
     return table
 
 
-def intake_control(log: DataFrame, target: int, backlog: int = BACKLOG_PAGES) -> BatchTable:
+def intake_control(feed: Feed, target: int, backlog: int = BACKLOG_PAGES) -> BatchTable:
     """Per micro-batch: totals so far and whether intake runs, pauses or stops."""
     schema = "done BIGINT, waiting BIGINT, action STRING"
-    table = BatchTable(log.sparkSession, "intake", schema)
+    table = BatchTable(feed.spark, "intake", schema)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         last = table.rows(before=batch_id).agg(F.max_by(F.struct("done", "waiting"), "batch").alias("s"))
@@ -133,7 +156,7 @@ def intake_control(log: DataFrame, target: int, backlog: int = BACKLOG_PAGES) ->
         action = F.when(F.col("done") >= target, "stop").when(F.col("waiting") > backlog, "pause")
         table.put(sums.withColumn("action", action.otherwise("run")), batch_id)
 
-    drain(log, sink)
+    drain(feed, sink)
     return table
 
 
@@ -159,27 +182,27 @@ def run_until(log: DataFrame, target: int, path: str, poll: float = 1.0) -> int:
     return done
 
 
-def refreshed_snapshot(stream: DataFrame, build: Callable[[DataFrame], DataFrame], schema: str,
+def refreshed_snapshot(feed: Feed, build: Callable[[DataFrame], DataFrame], schema: str,
                        key: str, out_schema: str) -> BatchTable:
     """Rewrite the published snapshot from all rows seen, once per batch. A
     service triggers this every few minutes."""
-    seen = BatchTable(stream.sparkSession, "snapshot-input", schema)
-    out = BatchTable(stream.sparkSession, "snapshot", out_schema)
+    seen = BatchTable(feed.spark, "snapshot-input", schema)
+    out = BatchTable(feed.spark, "snapshot", out_schema)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         seen.put(batch, batch_id)
         current = latest_per_key(seen.rows(before=batch_id + 1), [key], F.col("batch"))
         out.put(build(current.drop("batch")), batch_id)
 
-    drain(stream, sink)
+    drain(feed, sink)
     return out
 
 
-def archive_stream(stream: DataFrame, group: str, key: str, size: str, bucket: Column, cap: int,
+def archive_stream(feed: Feed, group: str, key: str, size: str, bucket: Column, cap: int,
                    schema: str, state_schema: str) -> BatchTable:
     """Number archives as items arrive; the open archive of every group is
     carried from batch to batch."""
-    spark = stream.sparkSession
+    spark = feed.spark
     table = BatchTable(spark, "archives", schema)
     states = BatchTable(spark, "archive-states", state_schema)
 
@@ -189,13 +212,13 @@ def archive_stream(stream: DataFrame, group: str, key: str, size: str, bucket: C
         table.put(numbered.withColumnRenamed("batch", "archive_no"), batch_id)
         states.put(state, batch_id)
 
-    drain(stream, sink)
+    drain(feed, sink)
     return table
 
 
-def delivery_stream(requests: DataFrame, manifest: DataFrame, chunk: int) -> BatchTable:
+def delivery_stream(feed: Feed, manifest: DataFrame, chunk: int) -> BatchTable:
     """Every batch delivers the next items to the users that asked in it."""
-    table = BatchTable(requests.sparkSession, "deliveries", "uid BIGINT, image_id BIGINT")
+    table = BatchTable(feed.spark, "deliveries", "uid BIGINT, image_id BIGINT")
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         had = table.rows(before=batch_id).select("uid", "image_id")
@@ -204,5 +227,5 @@ def delivery_stream(requests: DataFrame, manifest: DataFrame, chunk: int) -> Bat
         items = delivery.pending_items(manifest, users, mine, chunk)
         table.put(items.select("uid", "image_id"), batch_id)
 
-    drain(requests, sink)
+    drain(feed, sink)
     return table

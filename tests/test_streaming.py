@@ -31,7 +31,7 @@ def test_copies_within_the_watermark_are_dropped(spark):
     df.select("base_id", F.timestamp_seconds("s").alias("ts")).coalesce(1).write.parquet(path)
     stream = jobs.file_stream(spark, path, "base_id STRING, ts TIMESTAMP")
     seen = jobs.BatchTable(spark, "deduped", "base_id STRING, ts TIMESTAMP")
-    jobs.drain(jobs.dedup_within_watermark(stream, "ts", "base_id", "1 hour"), seen.put)
+    jobs.drain(jobs.Feed(jobs.dedup_within_watermark(stream, "ts", "base_id", "1 hour")), seen.put)
     assert sorted(r.base_id for r in seen.rows().collect()) == ["a", "b"]
 
 
@@ -47,7 +47,10 @@ def test_query_stops_once_the_target_is_reached(spark):
     rows = [(i, "labeled") for i in range(9)]
     log = spark.createDataFrame(rows, "seq long, status string")
     path = shared_path(spark, "until")
-    assert jobs.run_until(streams._arriving(spark, log, "seq"), 6, path) >= 6
+    feed = streams._arriving(spark, log, "seq")
+    for arrive in feed.arrivals:
+        arrive()
+    assert jobs.run_until(feed.stream, 6, path) >= 6
 
 
 def test_no_user_gets_an_item_twice(spark):
