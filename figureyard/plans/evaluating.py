@@ -154,7 +154,17 @@ def mcnemar(spark, d):
     return out.select("n10", "n01", F.round("stat", 6).alias("stat"))
 
 
-@query("ml8_mcnemar_p_value")
+@query(
+    "ml8_mcnemar_p_value",
+    """
+    SELECT n10, n01, round(1 - 2 / sqrt(pi()) * sum(pow(-1, n) * pow(x, 2 * n + 1) / (gamma(n + 1) * (2 * n + 1))), 6) AS p
+    FROM (SELECT n10, n01, sqrt((abs(n10 - n01) - 1) * (abs(n10 - n01) - 1) / greatest(n10 + n01, 1)::DOUBLE / 2) AS x FROM (
+            SELECT count(*) FILTER (a AND NOT b) AS n10, count(*) FILTER (NOT a AND b) AS n01 FROM (
+              SELECT (y4 = 0) = (pred_a = 0) AS a, (y4 = 0) = (pred_b = 0) AS b FROM preds_v))),
+         range(0, 100) r(n)
+    GROUP BY n10, n01
+    """,
+)
 def mcnemar_p_value(spark, d):
     p = t.predictions(spark, d)
     out = ev.mcnemar(p, _truth(), F.col("pred_a") == 0, F.col("pred_b") == 0)

@@ -94,7 +94,17 @@ def scrubbed_text(spark, d):
     return t.table(spark, d, "pages").select("page_id", F.md5(c.scrub(F.col("html"))).alias("digest"))
 
 
-@query("sc7_parsed_replies")
+@query(
+    "sc7_parsed_replies",
+    """
+    SELECT doc_id, CASE WHEN ok THEN doc_id % 2 = 0 END AS is_diagram, CASE WHEN ok THEN '' END AS reject_reason,
+           CASE WHEN ok THEN '' END AS diagram_type,
+           CASE WHEN ok THEN replace(replace(substr(title, 1, 60), '"', ''), chr(92), '')
+                || CASE doc_id % 3 WHEN 0 THEN chr(92) || 'alpha' WHEN 1 THEN chr(92) || 'frac' ELSE chr(10) END END AS title,
+           CASE WHEN ok THEN '' END AS label, CASE WHEN NOT ok THEN 'no JSON object' END AS parse_error
+    FROM (SELECT *, doc_id % 5 <> 2 AS ok FROM papers_v)
+    """,
+)
 def parsed_replies(spark, d):
     """Replies built from document text in the ways models garble JSON."""
     text = F.replace(F.substring("title", 1, 60), F.lit('"'), F.lit(""))

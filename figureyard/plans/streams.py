@@ -90,7 +90,20 @@ def throughput_windows(spark, d):
     return table.latest(["start"]).select(F.unix_timestamp("start").alias("start"), "n", "done")
 
 
-@query("str5_intake_control")
+# The third of the order an id falls into: the arrival it belongs to.
+_PART = "CASE WHEN {k} < (top + 1) // 3 THEN 0 WHEN {k} < (top + 1) * 2 // 3 THEN 1 ELSE 2 END"
+
+
+@query(
+    "str5_intake_control",
+    f"""
+    SELECT done, waiting, CASE WHEN done >= 150 THEN 'stop' WHEN waiting > 300 THEN 'pause' ELSE 'run' END AS action, batch
+    FROM (SELECT batch, CAST(sum(d) OVER w AS BIGINT) AS done, CAST(sum(p) OVER w AS BIGINT) AS waiting FROM (
+            SELECT {_PART.format(k="seq")} AS batch, count(*) FILTER (status = 'labeled') AS d,
+                   count(*) FILTER (status = 'pending') AS p
+            FROM decisions_v, (SELECT max(seq) AS top FROM decisions_v) GROUP BY 1) WINDOW w AS (ORDER BY batch))
+    """,
+)
 def intake_control(spark, d):
     log = t.decisions(spark, d).select("seq", "status")
     table = jobs.intake_control(_arriving(spark, log, "seq"), target=150, backlog=300)
@@ -128,7 +141,16 @@ def archive_stream(spark, d):
     return table.rows().drop("batch")
 
 
-@query("str8_delivery_stream")
+@query(
+    "str8_delivery_stream",
+    f"""
+    WITH m AS (SELECT image_id, row_number() OVER (ORDER BY field, image_id) AS pos FROM images_v),
+         a AS (SELECT DISTINCT user_id AS uid, {_PART.format(k="event_id")} AS batch
+               FROM events, (SELECT max(event_id) AS top FROM events)),
+         r AS (SELECT uid, batch, row_number() OVER (PARTITION BY uid ORDER BY batch) AS nth FROM a)
+    SELECT uid, image_id, batch FROM r JOIN m ON m.pos > 25 * (nth - 1) AND m.pos <= 25 * nth
+    """,
+)
 def delivery_stream(spark, d):
     requests = t.table(spark, d, "events").select(F.col("user_id").alias("uid"), "event_id")
     table = jobs.delivery_stream(
