@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from figureyard.functions.columns import hash_int, ratio
+from figureyard.operators.reports import side_by_side
 from figureyard.schemas import CLASSES
 
 CELLS = ("tp", "fp", "fn", "tn")
@@ -156,7 +157,7 @@ def kappa(df: DataFrame, a: str, b: str) -> DataFrame:
         F.sum("n").alias("n"), F.sum(F.when(F.col("a") == F.col("b"), F.col("n"))).alias("same")
     )
     n = F.col("n").cast("double")
-    one = seen.crossJoin(chance)  # two single-row aggregates
+    one = side_by_side([seen, chance])
     po, pe = F.coalesce("same", F.lit(0)) / n, F.col("e") / (n * n)
     return one.select(
         F.col("n").alias("n"), (F.col("n") - F.coalesce("same", F.lit(0))).alias("disagreements"),
@@ -168,12 +169,6 @@ def grid_points(start: int = 5, stop: int = 100, step: int = 5) -> list[float]:
     return [i / 100 for i in range(start, stop, step)]
 
 
-def _grid(df: DataFrame, values: Sequence[float], name: str) -> DataFrame:
-    return df.sparkSession.createDataFrame(
-        [(i, float(v)) for i, v in enumerate(values)], f"{name}_ord int, {name} double"
-    )
-
-
 def band_sweep(
     df: DataFrame, truth: Column, score: str, target: float, min_decided: float = 0.3,
     points: Sequence[float] | None = None,
@@ -194,26 +189,41 @@ def band_sweep(
     hist = df.groupBy(place.alias("place")).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(truth).alias("pos")
     )
-    lo = _grid(df, points, "lo")
-    hi = _grid(df, points, "hi")
-    pairs = lo.join(hi, F.col("hi_ord") >= F.col("lo_ord"))
-    accept = F.col("place") >= (F.col("hi_ord") + 1) * 2
-    reject = F.col("place") <= (F.col("lo_ord") + 1) * 2
-    pos, n = F.col("pos"), F.col("n")
-
-    def total(cond: Column, value: Column) -> Column:
-        return F.sum(F.when(cond, value).otherwise(0))
-
-    # both sides are bounded by the grid, not by the rows
-    swept = F.broadcast(pairs).crossJoin(F.broadcast(hist)).groupBy("lo_ord", "hi_ord", "lo", "hi").agg(
-        F.sum("n").alias("all"),
-        total(accept | reject, n).alias("decided"),
-        # a row on lo = hi is accepted and rejected: correct either way
-        total(accept & reject, n).alias("both"),
-        total(accept & ~reject, pos).alias("right_accept"),
-        total(reject & ~accept, n - pos).alias("right_reject"),
-        total(accept, n).alias("accepted"),
-        total(accept, pos).alias("accepted_pos"),
+    # one list of at most 2 * grid + 1 counts, read by every pair of thresholds
+    listed = hist.agg(F.collect_list(F.struct("place", "n", "pos")).alias("h")).scalar()
+    size = len(points)
+    pairs = (
+        df.sparkSession.range(size * size)
+        .select(
+            F.floor(F.col("id") / size).cast("int").alias("lo_ord"),
+            (F.col("id") % size).cast("int").alias("hi_ord"),
+        )
+        .filter(F.col("hi_ord") >= F.col("lo_ord"))
+        .select(
+            "lo_ord", "hi_ord", F.get(edges, "lo_ord").alias("lo"), F.get(edges, "hi_ord").alias("hi"),
+            listed.alias("h"),
+        )
+    )
+
+    def total(cond: Callable[[Column, Column], Column], value: Callable[[Column], Column]) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            accept = x["place"] >= (F.col("hi_ord") + 1) * 2
+            reject = x["place"] <= (F.col("lo_ord") + 1) * 2
+            return acc + F.when(cond(accept, reject), value(x)).otherwise(F.lit(0))
+
+        return F.aggregate("h", F.lit(0).cast("bigint"), step)
+
+    swept = pairs.withColumns(
+        {
+            "all": total(lambda a, r: F.lit(True), lambda x: x["n"]),
+            "decided": total(lambda a, r: a | r, lambda x: x["n"]),
+            # a row on lo = hi is accepted and rejected: correct either way
+            "both": total(lambda a, r: a & r, lambda x: x["n"]),
+            "right_accept": total(lambda a, r: a & ~r, lambda x: x["pos"]),
+            "right_reject": total(lambda a, r: r & ~a, lambda x: x["n"] - x["pos"]),
+            "accepted": total(lambda a, r: a, lambda x: x["n"]),
+            "accepted_pos": total(lambda a, r: a, lambda x: x["pos"]),
+        }
     )
     decided = F.col("decided")
     table = swept.filter(decided >= F.col("all") * min_decided).select(

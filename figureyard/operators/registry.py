@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from figureyard.functions.columns import ERROR_CHARS
 from figureyard.operators.ranking import first_per_key, top_per_group
 
+# Every status an entity can have.
+STATUSES = (
+    "pending", "downloaded", "processing", "failed", "done", "screen_pos", "building", "labeled",
+    "rejected", "local", "uploaded", "lost",
+)
+
 
 def register_first_wins(batch: DataFrame, known: DataFrame, arrival: str) -> DataFrame:
     """New records of ``batch``: the first arrival per version-less id that is
@@ -84,16 +90,26 @@ def requeue_assets(images: DataFrame, listing: DataFrame, key: str) -> DataFrame
 
 
 def fold_log(log: DataFrame, key: str, seq: str, cost: str, accumulate: bool) -> DataFrame:
-    """Current state per entity. Page costs add up, image costs are replaced."""
-    latest = F.max_by(F.struct("status", F.col(cost).alias("cost"), "error"), F.col(seq))
-    spent = F.coalesce(F.sum(cost), F.lit(0.0)) if accumulate else latest["cost"]
-    return log.groupBy(key).agg(
-        latest["status"].alias("status"),
-        F.substring(latest["error"], 1, ERROR_CHARS).alias("error"),
+    """Current state per entity. Page costs add up, image costs are replaced.
+
+    The status travels as its position in the known list: with fixed-width
+    buffers the partial aggregation hashes instead of sorting. ``seq`` is unique
+    per entity, so the columns of the latest step come from the same row.
+    """
+    known = F.array(*[F.lit(s) for s in STATUSES])
+    code = F.array_position(known, F.col("status")).cast("int")
+    spent = F.coalesce(F.sum(cost), F.lit(0.0)) if accumulate else F.max_by(cost, seq)
+    folded = log.groupBy(key).agg(
+        F.max_by(code, seq).alias("__code"),
+        F.max_by("error", seq).alias("error"),
         spent.alias("cost"),
         F.count_if(F.col("status") == "failed").alias("failures"),
         F.count(F.lit(1)).alias("steps"),
     )
+    return folded.select(
+        key, F.get(known, F.col("__code") - 1).alias("status"),
+        F.substring("error", 1, ERROR_CHARS).alias("error"), "cost", "failures", "steps",
+    )
 
 
 def quota(items: DataFrame, group: str, order: Sequence[Column], n: int) -> DataFrame:

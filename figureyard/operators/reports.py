@@ -23,12 +23,10 @@ def status_counts(df: DataFrame, group: Sequence[str], statuses: Sequence[str])
 
 
 def side_by_side(parts: Sequence[DataFrame]) -> DataFrame:
-    """One row from several one-row aggregates, as scalar subqueries."""
-    columns = []
-    for part in parts:
-        for name in part.columns:
-            columns.append(part.select(name).scalar().alias(name))
-    return parts[0].sparkSession.range(1).select(*columns)
+    """One row from several one-row aggregates, each a scalar subquery."""
+    names = [f"__{i}" for i in range(len(parts))]
+    rows = [part.select(F.struct("*")).scalar().alias(n) for n, part in zip(names, parts)]
+    return parts[0].sparkSession.range(1).select(*rows).select(*[f"{n}.*" for n in names])
 
 
 def pipeline_counters(papers: DataFrame, pages: DataFrame, batches: DataFrame,
@@ -56,7 +54,7 @@ def pipeline_counters(papers: DataFrame, pages: DataFrame, batches: DataFrame,
         F.count_if(status == "rejected").alias("rejected"),
         cost.alias("image_cost"),
     )
-    one = p.crossJoin(g).crossJoin(b).crossJoin(i)  # four single-row aggregates
+    one = side_by_side([p, g, b, i])
     return one.withColumn("cost", F.col("page_cost") + F.col("image_cost")).drop(
         "page_cost", "image_cost"
     )

@@ -295,7 +295,7 @@ def threshold_grid(spark, d):
     reached = hist.filter(F.col("passed") > 0).select(
         F.explode(F.slice(edges, F.lit(1), F.col("passed"))).alias("threshold"), "n", "pos"
     )
-    grid = spark.createDataFrame([(v,) for v in points], "threshold double")
+    grid = spark.range(1).select(F.explode(edges).alias("threshold"))
     sums = reached.groupBy("threshold").agg(
         F.sum("n").alias("accepted"), F.sum("pos").alias("accepted_pos")
     )

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from figureyard.operators import batching, delivery
 from figureyard.operators.ranking import first_per_key, latest_per_key
+from figureyard.operators.reports import side_by_side
 from figureyard.session import shared_path
 
 BACKLOG_PAGES = 3000  # fixed value: waiting pages above which intake pauses
@@ -150,7 +151,7 @@ def intake_control(feed: Feed, target: int, backlog: int = BACKLOG_PAGES) -> Bat
         before = last.select(
             F.coalesce("s.done", F.lit(0)).alias("d0"), F.coalesce("s.waiting", F.lit(0)).alias("w0")
         )
-        sums = now.crossJoin(before).select(  # two single-row tables
+        sums = side_by_side([now, before]).select(
             (F.col("d0") + F.col("d")).alias("done"), (F.col("w0") + F.col("w")).alias("waiting")
         )
         action = F.when(F.col("done") >= target, "stop").when(F.col("waiting") > backlog, "pause")
