@@ -50,16 +50,16 @@ def page_batches(
     return out.drop("__bytes", "__n", "__i").withColumnRenamed("__pos", "pos")
 
 
-def _fold(size: np.ndarray, cap: float, carry: float) -> tuple[np.ndarray, int, float]:
-    """Batch offset of every row, batches closed and bytes carried over."""
-    offset = np.empty(len(size), dtype=np.int64)
-    closed = 0
-    for i, s in enumerate(size):
-        offset[i] = closed
-        carry += s
-        if carry >= cap:
-            closed, carry = closed + 1, 0.0
-    return offset, closed, carry
+def _offsets(size: np.ndarray, cap: float, carry: float) -> np.ndarray:
+    """Batches closed before every item of a chunk; one step per batch."""
+    prefix = np.concatenate([[0.0], np.cumsum(size)])
+    offset = np.zeros(len(size), dtype=np.int64)
+    begin, closed, need = 0, 0, cap - carry
+    while begin < len(size):
+        end = int(np.searchsorted(prefix, prefix[begin] + need, side="left"))
+        offset[begin:end] = closed
+        begin, closed, need = end, closed + 1, cap
+    return offset
 
 
 def _pieces(size: np.ndarray, cap: float) -> list[tuple[float, int, float]]:
@@ -71,20 +71,20 @@ def _pieces(size: np.ndarray, cap: float) -> list[tuple[float, int, float]]:
     """
     n = len(size)
     prefix = np.concatenate([[0.0], np.cumsum(size)])
-    closed = np.zeros(n + 1, dtype=np.int64)
-    out = np.zeros(n + 1)
+    after = np.searchsorted(prefix, prefix[:n] + cap, side="left").tolist()
+    closed, out = [0] * (n + 1), [0.0] * (n + 1)
+    rest = (prefix[n] - prefix).tolist()
     for j in range(n - 1, -1, -1):
-        nxt = int(np.searchsorted(prefix, prefix[j] + cap, side="left"))
-        if nxt <= n:
-            closed[j], out[j] = closed[nxt] + 1, out[nxt]
+        if after[j] <= n:
+            closed[j], out[j] = closed[after[j]] + 1, out[after[j]]
         else:
-            closed[j], out[j] = 0, prefix[n] - prefix[j]
+            out[j] = rest[j]
     steps = [(0.0, 0, -1.0)] if prefix[n] < cap else []
     for j in range(n, 0, -1):
-        low = max(0.0, cap - prefix[j])
         if cap - prefix[j - 1] <= 0:
             continue
-        value = (int(closed[j]) + 1, float(out[j]))
+        low = max(0.0, float(cap - prefix[j]))
+        value = (closed[j] + 1, out[j])
         if steps and steps[-1][1:] == value:
             continue
         steps.append((low, *value))
@@ -144,7 +144,7 @@ def size_capped_batches(
 
     def number(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("k")
-        offset, _, _ = _fold(rows["s"].to_numpy(), total, float(rows["carry_in"].iloc[0]))
+        offset = _offsets(rows["s"].to_numpy(), total, float(rows["carry_in"].iloc[0]))
         return pd.DataFrame(
             {
                 "g": rows["g"].to_numpy(),

@@ -75,12 +75,18 @@ def covered_by(
     of their intersection, so joining on the tile misses nothing."""
     left = _tiles(rects.select(page, *SIDES).distinct())
     right = _tiles(
-        others.select(page, *[F.col(s).alias(f"o_{s}") for s in SIDES]).distinct(), "o_"
-    )
+        others.select(
+            F.col(page).alias("o_page"), *[F.col(s).alias(f"o_{s}") for s in SIDES]
+        ).distinct(),
+        "o_",
+    ).withColumnsRenamed({"tx": "o_tx", "ty": "o_ty"})
     share = overlap(_rect(), _rect("o_"))
-    near = F.col("share") > limit if strict else F.col("share") >= limit
-    pairs = left.join(right, [page, "tx", "ty"]).withColumn("share", share).filter(near)
-    return pairs.select(page, *SIDES).distinct()
+    near = share > limit if strict else share >= limit
+    same_tile = (
+        (F.col(page) == F.col("o_page")) & (F.col("tx") == F.col("o_tx")) & (F.col("ty") == F.col("o_ty"))
+    )
+    # a semi join stops at the first match, pairs are never emitted
+    return left.join(right, same_tile & near, "left_semi").select(page, *SIDES).distinct()
 
 
 def not_covered(rects: DataFrame, others: DataFrame, page: str, limit: float = MAX_OVERLAP,
