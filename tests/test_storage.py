@@ -149,3 +149,18 @@ def test_label_issues_follow_class_thresholds(spark):
     sure = [r.issue for r in models.label_issues(df, "y", "p", True).collect()]
     wide = [r.issue for r in models.label_issues(df, "y", "p", False).collect()]
     assert sure == [False, False, False, False, True] and wide == [False, False, False, True, True]
+
+
+def test_gallery_shards_hold_every_uploaded_crop_in_order(spark):
+    images = storage.gallery_images(spark, FOLDER)
+    docs = stores.gallery_document(images, "b", 10).collect()
+    lines = {r.line for r in stores.gallery_lines(images).collect()}
+    assert {x for d in docs for x in d.images} == lines
+    assert all(d.images == sorted(d.images, key=lambda x: json.loads(x)["url"]) for d in docs)
+
+
+def test_archives_are_laid_out_by_field_and_batch(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1, 7), ("a", 2, 8), ("b", 1, 9)], "field string, batch int, id int")
+    path = str(tmp_path / "z")
+    stores.write_archives(df, path)
+    assert spark.read.parquet(path).filter("field = 'a' AND batch = 2").first().id == 8
