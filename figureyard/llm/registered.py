@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from figureyard.llm import quality
+from figureyard.llm import minhash, quality
 
 QUERIES = {
     "op1_quality_rules": quality.query,
+    "op2_minhash_near_dedup": minhash.query,
 }
 
 SQL = {
     "op1_quality_rules": quality.SQL,
+    "op2_minhash_near_dedup": minhash.SQL,
 }
