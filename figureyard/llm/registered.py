@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from figureyard.llm import minhash, quality
+from figureyard.llm import minhash, packing, quality
 
 QUERIES = {
     "op1_quality_rules": quality.query,
     "op2_minhash_near_dedup": minhash.query,
+    "op6_multi_length_packing": packing.query,
 }
 
 SQL = {
