@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from figureyard.llm import minhash, packing, quality
+from figureyard.llm import minhash, mixing, packing, quality, urls
 
 QUERIES = {
     "op1_quality_rules": quality.query,
     "op2_minhash_near_dedup": minhash.query,
+    "op3_url_model_ratio": urls.query,
     "op6_multi_length_packing": packing.query,
+    "op7_pareto_mix": mixing.query,
 }
 
 SQL = {
     "op1_quality_rules": quality.SQL,
     "op2_minhash_near_dedup": minhash.SQL,
+    "op3_url_model_ratio": urls.SQL,
 }
