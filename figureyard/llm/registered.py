@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from figureyard.llm import minhash, mixing, packing, quality, urls
+from figureyard.llm import language, minhash, mixing, packing, quality, urls
 
 QUERIES = {
     "op1_quality_rules": quality.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_url_model_ratio": urls.query,
     "op6_multi_length_packing": packing.query,
     "op7_pareto_mix": mixing.query,
+    "op10_byte_language": language.query,
 }
 
 SQL = {
