@@ -1,9 +1,10 @@
 """Toxic passages by maximum-scoring segments of token log-odds.
 
 Tokens get the log-odds of toxic against other labelled documents with an
-informative Dirichlet prior whose weights follow the whole corpus; only tokens
-whose log-odds stand out score for themselves, every other token costs a fixed
-drift. A linear scan (all maximal scoring subsequences) then finds every passage
+informative Dirichlet prior whose weights follow the whole corpus. Beginnings of
+tokens count as tokens of their own (marked by ``*``), for languages that
+compound. A token scores by itself or else by its longest beginning whose
+log-odds stand out; every other token costs a fixed drift. A linear scan (all maximal scoring subsequences) then finds every passage
 that scores highest among its neighbours. The score of a passage is calibrated by
 extreme-value statistics: with m tokens without a real passage, the best one
 exceeds S about K m exp(-lambda S) times. The evidence of all significant
@@ -35,6 +36,7 @@ from figureyard.llm.common import table
 from figureyard.llm.language import held_out
 
 # ASCII marks and white space part tokens; other bytes belong to them.
+MARK, BEGINNINGS = b"*", range(5, 10)  # bytes of a beginning
 PARTED = bytes(b if b > 127 or chr(b).isalnum() else 32 for b in range(256))
 
 
@@ -54,6 +56,29 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").lower().encode("utf-8", "surrogatepass").translate(PARTED).split()
 
 
+def features(words: list[bytes]) -> set[bytes]:
+    """Distinct tokens and their beginnings."""
+    whole = set(words)
+    return whole.union(w[:n] + MARK for w in whole for n in BEGINNINGS if n < len(w))
+
+
+class TokenScores(dict):
+    """Score of any token, remembering a bounded number."""
+
+    def __init__(self, scores: dict[bytes, float], drift: float):
+        self.scores, self.drift = scores, drift
+
+    def __missing__(self, word: bytes) -> float:
+        score = self.scores.get(word)
+        for n in reversed(BEGINNINGS):
+            if score is None and n < len(word):
+                score = self.scores.get(word[:n] + MARK)
+        score = -self.drift if score is None else score
+        if len(self) < 200_000:
+            self[word] = score
+        return score
+
+
 def passages(scores: np.ndarray) -> list[tuple[int, int, float]]:
     """All maximal scoring subsequences (start, end, score), in linear time.
 
@@ -90,19 +115,13 @@ class Model:
     slope: float
     settings: Settings = Settings()
 
-    def found(self, words: list[bytes]) -> list[tuple[int, int, float]]:
-        if not self.scores or self.positive.isdisjoint(words):
+    def found(self, words: list[bytes], known: TokenScores) -> list[tuple[int, int, float]]:
+        if not self.scores:
             return []
-        get, drift = self.scores.get, -self.settings.drift
-        return passages(np.array([get(w, drift) for w in words]))
+        return passages(np.fromiter(map(known.__getitem__, words), np.float64, len(words)))
 
-    @property
-    def positive(self) -> frozenset:
-        known = self.__dict__.get("_positive")
-        if known is None:
-            known = frozenset(w for w, s in self.scores.items() if s > 0)
-            object.__setattr__(self, "_positive", known)
-        return known
+    def known(self) -> TokenScores:
+        return TokenScores(self.scores, self.settings.drift)
 
     def evidence(self, n: int, found: list[tuple[int, int, float]]) -> float:
         """Sum of -log(expected chance passages) over significant passages."""
@@ -144,7 +163,7 @@ def document_counts(docs: DataFrame, words: frozenset[bytes]) -> tuple[int, Coun
         for b in batches:
             docs_seen += b.num_rows
             for text in b.column("text").to_pylist():
-                seen.update(words.intersection(tokens(text)))
+                seen.update(words.intersection(features(tokens(text))))
         seen[b""] = docs_seen
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], schema=schema)
 
@@ -179,7 +198,7 @@ def fitted(docs: DataFrame, labels: DataFrame, settings: Settings = Settings())
         return Model({}, 1.0, 1.0, 0.0, 0.0, settings)
     counts = {0: Counter(), 1: Counter()}
     for words, t in rows:
-        counts[t].update(set(words))
+        counts[t].update(features(words))
     # the tokens seen most often in toxic documents, as rarer ones cannot stand out
     toxic_first = sorted(counts[1].items(), key=lambda x: (-x[1], x[0]))[: settings.vocabulary]
     words = frozenset(w for w, _ in toxic_first)
@@ -194,17 +213,16 @@ def fitted(docs: DataFrame, labels: DataFrame, settings: Settings = Settings())
         if abs(odds) >= settings.stands_out * math.sqrt(1 / t + 1 / c):
             scores[w] = max(-settings.highest, min(settings.highest, odds)) - settings.drift
     # lambda: chance sequences are those of the other documents
-    seen, tokens_in_others = Counter(), 0
+    known, seen = TokenScores(scores, settings.drift), Counter()
     for words_, t in rows:
         if not t:
-            tokens_in_others += len(words_)
-            seen.update(w for w in words_ if w in scores)
-    shares = np.array([seen[w] + 0.5 for w in scores]) / (tokens_in_others + 0.5 * len(scores) + 1)
-    values = np.array(list(scores.values()))
-    other = max(0.0, 1 - shares.sum())
+            seen.update(map(known.__getitem__, words_))
+    seen.update({v: 0.5 for v in scores.values()})
+    values = np.array(list(seen))
+    shares = np.array(list(seen.values())) / max(1, sum(seen.values()))
 
     def excess(x: float) -> float:
-        return float((shares * np.exp(x * values)).sum() + other * math.exp(-x * settings.drift)) - 1
+        return float((shares * np.exp(x * values)).sum()) - 1
 
     low, high = 1e-6, 1e-3
     while excess(high) < 0 and high < 64:
@@ -214,12 +232,12 @@ def fitted(docs: DataFrame, labels: DataFrame, settings: Settings = Settings())
         low, high = (middle, high) if excess(middle) < 0 else (low, middle)
     decay = high
     model = Model(scores, decay, 1.0, 0.0, 1.0, settings)
-    best = [(len(w), max((s for _, _, s in model.found(w)), default=0.0), t) for w, t in rows if w]
+    best = [(len(w), max((s for _, _, s in model.found(w, known)), default=0.0), t) for w, t in rows if w]
     chance = [(n, s) for n, s, t in best if not t]
     # K by maximum likelihood of the best scores of the other documents
     scale = len(chance) / max(1e-9, sum(n * math.exp(-decay * s) for n, s in chance))
     model = Model(scores, decay, scale, 0.0, 1.0, settings)
-    x = np.array([model.evidence(len(w), model.found(w)) for w, _ in rows])
+    x = np.array([model.evidence(len(w), model.found(w, known)) for w, _ in rows])
     y = np.array([t for _, t in rows], float)
     offset, slope = logistic(np.minimum(x, 50.0), y, np.ones_like(y))
     return Model(scores, decay, scale, offset, max(0.0, slope), settings)
@@ -235,12 +253,12 @@ def scored(docs: DataFrame, labels: DataFrame, settings: Settings = Settings())
     )
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        least = -math.log(settings.significant)
+        least, known = -math.log(settings.significant), model.known()
         for b in batches:
             out = []
             for i, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
                 words = tokens(text)
-                found = model.found(words)
+                found = model.found(words, known)
                 kept = [
                     (s, e) for s, e, v in found
                     if model.decay * v - math.log(model.scale * len(words)) >= least
