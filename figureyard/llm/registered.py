@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from figureyard.llm import language, minhash, mixing, packing, quality, toxicity, urls
+from figureyard.llm import language, minhash, mixing, packing, pii, quality, toxicity, urls
 
 QUERIES = {
     "op1_quality_rules": quality.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_url_model_ratio": urls.query,
     "op6_multi_length_packing": packing.query,
     "op7_pareto_mix": mixing.query,
+    "op8_disclosing_terms": pii.query,
     "op9_toxic_passages": toxicity.query,
     "op10_byte_language": language.query,
 }
