@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from figureyard.llm import language, minhash, mixing, packing, pii, quality, toxicity, urls
+from figureyard.llm import fingerprint, language, minhash, mixing, packing, pii, quality, tokenstore, toxicity, urls
 
 QUERIES = {
     "op1_quality_rules": quality.query,
     "op2_minhash_near_dedup": minhash.query,
     "op3_url_model_ratio": urls.query,
+    "op4_multiset_fingerprints": fingerprint.query,
+    "op5_training_order": tokenstore.query,
     "op6_multi_length_packing": packing.query,
     "op7_pareto_mix": mixing.query,
     "op8_disclosing_terms": pii.query,
