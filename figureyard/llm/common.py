@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,8 +42,22 @@ class Workspace:
     """Tables of one job in the shared folder: written once, read back, and
     removed as soon as nothing later reads them."""
 
+    _record: list[Workspace] | None = None
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n = spark, shared_path(spark, name), 0
+        if Workspace._record is not None:
+            Workspace._record.append(self)
+
+    @classmethod
+    @contextmanager
+    def recorded(cls, into: list[Workspace]) -> Iterator[None]:
+        """List what is made meanwhile in ``into``, for ``remove`` later."""
+        before, cls._record = cls._record, into
+        try:
+            yield
+        finally:
+            cls._record = before
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         self.n += 1
@@ -54,8 +69,15 @@ class Workspace:
 
     def drop(self, *tables: DataFrame) -> None:
         for t in tables:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(t.stored_at)
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+            self._delete(t.stored_at)
+
+    def remove(self) -> None:
+        """Everything; no frame that reads these tables may be used afterwards."""
+        self._delete(self.root)
+
+    def _delete(self, folder: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def batches(
