@@ -7,8 +7,10 @@
    Class members are never paired.
 3. Classes meeting in a band are candidates. The share of equal two-bit values,
    corrected for the quarter that agrees by chance, estimates similarity; only
-   pairs that could reach the threshold (five standard deviations) are confirmed
-   on the sets of the whole texts.
+   pairs that could reach the threshold (five standard deviations) stay. A bit
+   map of the parities of hashed shingles then bounds the sets' difference from
+   below, so that pairs certainly under the threshold go. What is left is
+   confirmed on the sets of the whole texts.
 4. Pairs inside a band are not all made. First each class is confirmed with its
    likeliest band representative and components form; then components are joined
    by their likeliest pairs; what then still shares a band across two components
@@ -37,6 +39,7 @@ from figureyard.llm.common import LOWER, UPPER, Workspace, batches, table
 
 BANDS, ROWS, BITS = 32, 4, 2
 HASHES = BANDS * ROWS
+PARITY = 1024
 _rng = np.random.default_rng(20240229)
 FACTORS = _rng.integers(1, 2**63, HASHES, dtype=np.uint64) | np.uint64(1)
 SHIFTS = _rng.integers(0, 2**63, HASHES, dtype=np.uint64)
@@ -102,14 +105,23 @@ def band_keys(values: np.ndarray) -> list[int]:
     return mixed(x + np.arange(BANDS, dtype=np.uint64)).view(np.int64).tolist()
 
 
-SKETCH = "doc_id long, n long, digest binary, sig array<long>, bands array<long>"
+def parities(sets: np.ndarray) -> list[int]:
+    """A bit for each of ``PARITY`` cells: odd number of elements in it. Sets
+    differ in at least as many elements as their maps differ in bits."""
+    odd = np.bincount((sets % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
+SKETCH = (
+    "doc_id long, n long, digest binary, sig array<long>, parity array<long>, bands array<long>"
+)
 
 
 def sketches(docs: DataFrame, k: int) -> DataFrame:
-    """Columns of ``SKETCH``; digest, sig and bands are null for empty sets."""
+    """Columns of ``SKETCH``; digest, sig, parity and bands are null for empty sets."""
     schema = pa.schema(
         [("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()),
-         ("sig", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64()))]
+         ("sig", pa.list_(pa.int64())), ("parity", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64()))]
     )
 
     def rows(columns: list) -> list[tuple]:
@@ -117,11 +129,11 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
         for i, text in zip(*columns):
             s = shingles(word_bytes(text), k, known)
             if len(s) == 0:
-                out.append((i, 0, None, None, None))
+                out.append((i, 0, None, None, None, None))
                 continue
             low = minima(s)
             digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-            out.append((i, len(s), digest, packed(low), band_keys(low)))
+            out.append((i, len(s), digest, packed(low), parities(s), band_keys(low)))
         return out
 
     known = WordHashes()
@@ -146,6 +158,17 @@ def least_estimate(percent: int) -> float:
     return (p - 5 * (p * (1 - p) / HASHES) ** 0.5 - chance) / (1 - chance)
 
 
+def reachable(a: Column, b: Column, percent: int) -> Column:
+    """Whether sketches a and b (sig, n, parity) may reach the threshold."""
+    differ = F.lit(0)
+    for i in range(PARITY // 64):
+        differ = differ + F.bit_count(F.get(a["parity"], F.lit(i)).bitwiseXOR(F.get(b["parity"], F.lit(i))))
+    # a similarity of p percent allows a difference of (100 - p) / (100 + p) of both sizes
+    return (estimate(a["sig"], b["sig"]) >= least_estimate(percent)) & (
+        differ * (100 + percent) <= (a["n"] + b["n"]) * (100 - percent)
+    )
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole shingle sets reach the threshold."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -245,7 +268,9 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     )
     classes = work.save(classes, "classes")
     own = (
-        sketch.join(classes, "digest").where("doc_id = rep").select("rep", "sig", "bands")
+        sketch.join(classes, "digest")
+        .where("doc_id = rep")
+        .select("rep", F.struct("sig", "n", "parity").alias("sig"), "bands")
     )
     own = work.save(own, "representatives")
     keyed = own.select("rep", F.explode("bands").alias("key"))
@@ -268,13 +293,13 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     )
     texts = work.save(texts.join(labels.select("rep"), "rep").dropDuplicates(["rep"]), "texts")
 
-    enough = F.lit(least_estimate(percent))
     sa = sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sa"))
     sb = sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sb"))
     stars = (
         bands.where("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b"))
         .distinct().join(sa, "a").join(sb, "b")
-        .select("a", "b", estimate(F.col("sa"), F.col("sb")).alias("est")).where(F.col("est") >= enough)
+        .where(reachable(F.col("sa"), F.col("sb"), percent))
+        .select("a", "b", estimate(F.col("sa.sig"), F.col("sb.sig")).alias("est"))
     )
     stars = work.save(stars, "stars")
 
@@ -310,7 +335,7 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     rest = (
         left.join(right, "key")
         .where((F.col("la") != F.col("lb")) & ((F.col("lb") == F.col("most")) | (F.col("a") < F.col("b"))))
-        .where(estimate(F.col("sa"), F.col("sb")) >= enough)
+        .where(reachable(F.col("sa"), F.col("sb"), percent))
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     )
     labels = merged(work, labels, work.save(confirmed(rest, texts, k, percent), "links"))
