@@ -48,6 +48,11 @@ def batch_name(number: Column, digits: int = 5) -> Column:
     return F.format_string(f"batch_%0{digits}d", number)
 
 
+def strip(text: Column) -> Column:
+    """Without white space at both ends, also tabs and line breaks."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def squeeze(text: Column, chars: int | None = None) -> Column:
     """Whitespace runs become one blank, ends are trimmed, then cut."""
     out = F.trim(F.regexp_replace(text, r"\s+", " "))

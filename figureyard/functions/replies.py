@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from figureyard.functions.columns import strip
+
 _LENIENT = {"allowUnquotedControlChars": "true", "mode": "PERMISSIVE",
             "columnNameOfCorruptRecord": "_corrupt_record"}
 
@@ -19,9 +21,9 @@ NO_TEXT, NO_CONTEXT = "(no OCR text available)", "(none)"
 def json_candidate(reply: Column) -> Column:
     """Inside of the first code fence if there is one, cut to the first brace,
     with ``\\b \\f \\r`` doubled where a letter follows."""
-    trimmed = F.trim(reply)
+    trimmed = strip(reply)
     fence = r"(?s)```(?:json)?\s*(.*?)```"
-    inner = F.when(trimmed.rlike(fence), F.trim(F.regexp_extract(trimmed, fence, 1))).otherwise(
+    inner = F.when(trimmed.rlike(fence), strip(F.regexp_extract(trimmed, fence, 1))).otherwise(
         trimmed
     )
     start = F.instr(inner, "{")
@@ -99,7 +101,7 @@ def context_lines(diagrams: Column, summary: Column) -> Column:
 def request_text(page: Column, title: Column, field: Column, ocr: Column, context: Column) -> Column:
     """Text of a labelling request; empty parts are named as such."""
     def or_else(c: Column, fallback: str) -> Column:
-        trimmed = F.trim(F.coalesce(c, F.lit("")))
+        trimmed = strip(F.coalesce(c, F.lit("")))
         return F.when(F.length(trimmed) > 0, trimmed).otherwise(fallback)
 
     return F.format_string(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from figureyard.functions.columns import aspect
+from figureyard.functions.columns import aspect, strip
 from figureyard.operators.ranking import id_bucket, rank_within
 
 # Thresholds of the crop gate.
@@ -39,9 +39,9 @@ def page_verdict(
 def crop_decision(is_diagram: Column, label: Column, reason: Column) -> dict[str, Column]:
     """Accepted with a non-blank label; otherwise the reason, or a default one."""
     accepted = F.coalesce(is_diagram, F.lit(False)) & (
-        F.length(F.trim(F.coalesce(label, F.lit("")))) > 0
+        F.length(strip(F.coalesce(label, F.lit("")))) > 0
     )
-    text = F.trim(F.coalesce(reason, F.lit("")))
+    text = strip(F.coalesce(reason, F.lit("")))
     text = F.when(F.length(text) > 0, text).otherwise("not-a-diagram")
     return {
         "status": F.when(accepted, "labeled").otherwise("rejected"),

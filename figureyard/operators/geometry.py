@@ -6,15 +6,11 @@ Tiles bound what one task sees even when a page holds most of the rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from figureyard.functions.columns import (
-    CAPTION_CHARS, area, aspect, looks_like_caption, overlap, squeeze,
+    CAPTION_CHARS, area, aspect, looks_like_caption, overlap, squeeze, strip,
 )
 from figureyard.operators.ranking import top_per_group
 from figureyard.session import materialised
@@ -56,37 +52,72 @@ def figure_candidates(rects: DataFrame, w: Column, h: Column) -> DataFrame:
     )
 
 
-def _tiles(df: DataFrame, prefix: str = "") -> DataFrame:
+def _level(r: dict[str, Column]) -> Column:
+    """Size class: at this level a rectangle's longer side spans at most one cell
+    more than one, so it lies in few cells however large it is."""
+    side = F.greatest(r["x1"] - r["x0"], r["y1"] - r["y0"], F.lit(1))
+    return F.greatest(F.lit(0), F.ceil(F.log2(side / TILE))).cast("int")
+
+
+def _levels(*frames: DataFrame) -> list[int]:
+    """The size classes in use, at most one for each power of two."""
+    found: set[int] = set()
+    for df in frames:
+        found |= {r["lv"] for r in df.select(_level(_rect()).alias("lv")).distinct().collect()}
+    return sorted(x for x in found if x is not None)
+
+
+def _cells(df: DataFrame, levels: Column, gap: float = 0, prefix: str = "") -> DataFrame:
+    """A row for each cell (lv, cx, cy) that a rectangle, widened by ``gap``,
+    touches at each of ``levels``."""
     r = _rect(prefix)
+    cell = F.lit(TILE) * F.pow(F.lit(2.0), F.col("lv"))
 
     def steps(lo: Column, hi: Column) -> Column:
-        return F.sequence(F.floor(lo / TILE), F.floor(hi / TILE))
+        return F.sequence(F.floor((lo - gap) / cell), F.floor((hi + gap) / cell))
 
-    return df.withColumn("tx", F.explode(steps(r["x0"], r["x1"]))).withColumn(
-        "ty", F.explode(steps(r["y0"], r["y1"]))
+    return (
+        df.withColumn("lv", F.explode(levels))
+        .withColumn("cx", F.explode(steps(r["x0"], r["x1"])))
+        .withColumn("cy", F.explode(steps(r["y0"], r["y1"])))
     )
 
 
+def _own_and_coarser(df: DataFrame, levels: list[int]) -> tuple[Column, Column]:
+    """Levels of a rectangle: its own, and all in use from there up."""
+    own = _level(_rect())
+    return F.array(own), F.filter(F.array(*map(F.lit, levels)), lambda x: x >= own)
+
+
+CELL = ("lv", "cx", "cy")
+
+
 def covered_by(
     rects: DataFrame, others: DataFrame, page: str, limit: float = MAX_OVERLAP, strict: bool = True
 ) -> DataFrame:
     """Distinct ``rects`` that overlap one of ``others`` on their page by more
-    than ``limit``. Overlapping rectangles share the tile that holds the corner
-    of their intersection, so joining on the tile misses nothing."""
-    left = _tiles(rects.select(page, *SIDES).distinct())
-    right = _tiles(
-        others.select(
-            F.col(page).alias("o_page"), *[F.col(s).alias(f"o_{s}") for s in SIDES]
-        ).distinct(),
-        "o_",
-    ).withColumnsRenamed({"tx": "o_tx", "ty": "o_ty"})
-    share = overlap(_rect(), _rect("o_"))
-    near = share > limit if strict else share >= limit
-    same_tile = (
-        (F.col(page) == F.col("o_page")) & (F.col("tx") == F.col("o_tx")) & (F.col("ty") == F.col("o_ty"))
-    )
-    # a semi join stops at the first match, pairs are never emitted
-    return left.join(right, same_tile & near, "left_semi").select(page, *SIDES).distinct()
+    than ``limit``. Two rectangles meet at the size class of the larger one, in
+    the cell that holds the corner of their intersection, so nothing is missed
+    and a drawing of any extent takes a few cells."""
+    left = rects.select(page, *SIDES).distinct()
+    right = others.select(page, *SIDES).distinct()
+    levels = _levels(left, right)
+    if not levels:
+        return left
+
+    def found(lhs: str, rhs: str) -> DataFrame:
+        a = _cells(left, _own_and_coarser(left, levels)[lhs == "coarser"])
+        b = _cells(right, _own_and_coarser(right, levels)[rhs == "coarser"])
+        b = b.select(*[F.col(c).alias(f"o_{c}") for c in (page, *SIDES, *CELL)])
+        wide = [{s: c.cast("double") for s, c in _rect(p).items()} for p in ("", "o_")]
+        share = overlap(*wide)
+        near = share > limit if strict else share >= limit
+        for c in (page, *CELL):
+            near = (F.col(c) == F.col(f"o_{c}")) & near
+        # a semi join stops at the first match, pairs are never emitted
+        return a.join(b, near, "left_semi").select(page, *SIDES)
+
+    return found("coarser", "own").union(found("own", "coarser")).distinct()
 
 
 def not_covered(rects: DataFrame, others: DataFrame, page: str, limit: float = MAX_OVERLAP,
@@ -114,37 +145,28 @@ def suppress(candidates: DataFrame, page: str, per_round: int = 256) -> DataFram
     """Greedy suppression per page: by area descending, a rectangle stays if it
     overlaps every kept one by less than the limit.
 
-    Pages with up to ``per_round`` candidates take one fold. Larger pages run in
-    rounds: the best ``per_round`` open rectangles are decided by the fold, all
-    others that overlap a kept one leave, and the rest goes to the next round.
-    A round keeps at least the best open rectangle, so the result is exact.
+    Each round decides the best ``per_round`` open rectangles of every page by a
+    fold; all others that overlap a kept one leave, and the rest goes to the next
+    round. A round keeps at least the best open rectangle, so the result is exact.
     """
     first = F.struct(
         (-F.col("area_frac")).alias("neg"), *SIDES, "kind", "area_frac",
     )
-    unique = materialised(
+    open_rects = materialised(
         candidates.groupBy(page, *SIDES).agg(
             F.min("kind").alias("kind"), F.max("area_frac").alias("area_frac")
         ),
-        "suppress-candidates",
+        "suppress-open",
     )
-
-    def fold(df: DataFrame) -> DataFrame:
-        lists = df.groupBy(page).agg(F.array_sort(F.collect_list(first)).alias("open"))
-        return lists.select(page, F.inline(_greedy(F.col("open")))).select(
-            page, "kind", *SIDES, "area_frac"
-        )
-
-    sizes = unique.groupBy(page).agg(F.count(F.lit(1)).alias("n"))
-    big = sizes.filter(F.col("n") > per_round).select(page)
-    if big.isEmpty():
-        return fold(unique)
-    kept = fold(unique.join(big, page, "left_anti"))
-    open_rects = materialised(unique.join(big, page, "left_semi"), "suppress-open")
     order = [F.col("area_frac").desc(), *[F.col(s) for s in SIDES]]
+    kept = open_rects.limit(0)
     while not open_rects.isEmpty():
         head = top_per_group(open_rects, [page], order, per_round).drop("rn")
-        winners = materialised(fold(head), "suppress-kept")
+        lists = head.groupBy(page).agg(F.array_sort(F.collect_list(first)).alias("open"))
+        winners = lists.select(page, F.inline(_greedy(F.col("open")))).select(
+            page, "kind", *SIDES, "area_frac"
+        )
+        winners = materialised(winners, "suppress-kept")
         kept = kept.unionByName(winners)
         # every decided rectangle is a winner or overlaps one
         open_rects = materialised(
@@ -153,88 +175,44 @@ def suppress(candidates: DataFrame, page: str, per_round: int = 256) -> DataFram
     return kept
 
 
-def merge_boxes(boxes: Iterable[tuple], gap: float) -> list[tuple]:
-    """Unite boxes whose gap-expanded forms intersect until none do. The result
-    does not depend on the order, so parts of a page can be merged first."""
-    done: list[tuple] = []
-    for x0, y0, x1, y1 in boxes:
-        grew = True
-        while grew:
-            apart = []
-            grew = False
-            for b in done:
-                if x0 - gap < b[2] and x1 + gap > b[0] and y0 - gap < b[3] and y1 + gap > b[1]:
-                    x0, y0, x1, y1 = min(x0, b[0]), min(y0, b[1]), max(x1, b[2]), max(y1, b[3])
-                    grew = True
-                else:
-                    apart.append(b)
-            done = apart
-        done.append((x0, y0, x1, y1))
-    return done
-
-
-def _merge_sorted(batches: Iterator[pd.DataFrame], keys: list[str], gap: float) -> Iterator[pd.DataFrame]:
-    """Merge the pages of a partition sorted by ``keys``; only the page that is
-    cut by an Arrow batch is carried over."""
-    def merged(rows: pd.DataFrame) -> pd.DataFrame:
-        boxes = rows[list(SIDES)].to_numpy(dtype=float)
-        ids = rows[keys].to_numpy()
-        starts = np.flatnonzero((ids[1:] != ids[:-1]).any(axis=1)) + 1
-        bounds = [0, *starts.tolist(), len(rows)]
-        first, out = [], []
-        for lo, hi in zip(bounds, bounds[1:]):
-            united = merge_boxes(boxes[lo:hi].tolist(), gap) if hi - lo > 1 else [tuple(boxes[lo])]
-            out.extend(united)
-            first.extend([lo] * len(united))
-        sides = pd.DataFrame(out, columns=list(SIDES))
-        sides.insert(0, keys[0], rows[keys[0]].to_numpy()[first])
-        return sides
-
-    held: pd.DataFrame | None = None
-    for batch in batches:
-        rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
-        if not len(rows):
-            continue
-        last = (rows[keys] == rows[keys].iloc[-1]).all(axis=1)
-        held, whole = rows[last], rows[~last]
-        if len(whole):
-            yield merged(whole)
-    if held is not None and len(held):
-        yield merged(held)
-
-
-def merge_rects(
-    rects: DataFrame, page: str, gap: float = GAP, per_task: int = 4096
-) -> DataFrame:
-    """Merged vector clusters per page.
-
-    A page with more than ``per_task`` distinct rectangles is first merged in
-    salted parts. Merges never depend on order, so merging the parts' results
-    gives the same boxes; this repeats until every page is small or merging
-    its parts no longer shrinks it.
-    """
-    key = rects.schema[page].dataType.simpleString()
-    schema = f"{page} {key}, " + ", ".join(f"{s} double" for s in SIDES)
-
-    def run(df: DataFrame, keys: list[str]) -> DataFrame:
-        placed = df.repartition(*keys).sortWithinPartitions(*keys)
-        return placed.mapInPandas(lambda it: _merge_sorted(it, keys, gap), schema)
-
+def _hulls(boxes: DataFrame, page: str, gap: float, levels: list[int]) -> DataFrame:
+    """Every box grown to the hull of the boxes that it comes nearer than ``gap``
+    to, equal ones once; ``grew`` tells whether any of them grew."""
+    own, up = _own_and_coarser(boxes, levels)
+    a = _cells(boxes, up, gap)
+    b = _cells(boxes, own, gap).select(*[F.col(c).alias(f"o_{c}") for c in (page, *SIDES, *CELL)])
+    meet = (
+        (F.col("x0") - gap < F.col("o_x1")) & (F.col("x1") + gap > F.col("o_x0"))
+        & (F.col("y0") - gap < F.col("o_y1")) & (F.col("y1") + gap > F.col("o_y0"))
+    )
+    for c in (page, *CELL):
+        meet = (F.col(c) == F.col(f"o_{c}")) & meet
+    one, other = F.struct(*SIDES), F.struct(*[F.col(f"o_{s}").alias(s) for s in SIDES])
+    # both of a pair learn of each other; pairs go straight into map-side minima
+    both = F.array(
+        F.struct(one.alias("me"), other.alias("it")), F.struct(other.alias("me"), one.alias("it"))
+    )
+    hull = (
+        a.join(b, meet).select(page, F.inline(both)).groupBy(page, "me")
+        .agg(F.min("it.x0").alias("x0"), F.min("it.y0").alias("y0"),
+             F.max("it.x1").alias("x1"), F.max("it.y1").alias("y1"))
+    )
+    grew = F.struct(*SIDES) != F.col("me")
+    return hull.groupBy(page, *SIDES).agg(F.max(grew).alias("grew"))
+
+
+def merge_rects(rects: DataFrame, page: str, gap: float = GAP) -> DataFrame:
+    """Merged vector clusters per page: boxes grow to the hull of what they come
+    near until none does. Hulls of a cluster become equal on the way, so the
+    table shrinks; only boxes of one cell of a page are compared."""
     as_double = [F.col(s).cast("double").alias(s) for s in SIDES]
-    open_rects = materialised(rects.select(page, *as_double).distinct(), "merge-rects")
-    sizes = open_rects.groupBy(page).agg(F.count(F.lit(1)).alias("n"))
-    previous = None
-    while True:
-        big = sizes.filter(F.col("n") > per_task).agg(F.sum("n").alias("n")).first()["n"]
-        # parts that no longer shrink are as small as merging makes them
-        if big is None or big == previous:
+    boxes = materialised(rects.select(page, *as_double).distinct(), "merge-rects")
+    while levels := _levels(boxes):
+        grown = materialised(_hulls(boxes, page, gap, levels), "merge-rects")
+        boxes = grown.drop("grew")
+        if grown.filter("grew").isEmpty():
             break
-        previous = big
-        parts = F.pmod(F.xxhash64(*SIDES), F.ceil(F.col("n") / per_task))
-        salted = open_rects.join(sizes, page).withColumn("part", parts).drop("n")
-        open_rects = materialised(run(salted, [page, "part"]), "merge-rects")
-        sizes = open_rects.groupBy(page).agg(F.count(F.lit(1)).alias("n"))
-    return run(open_rects, [page])
+    return boxes
 
 
 def _bands(df: DataFrame, y: Column, lo: int, hi: int) -> DataFrame:
@@ -255,7 +233,7 @@ def captions(figures: DataFrame, blocks: DataFrame, page: str) -> DataFrame:
     """
     span = BAND_BELOW + BAND_ABOVE
     text = (
-        blocks.withColumn("txt", F.trim("txt")).filter(F.length("txt") > 0)
+        blocks.withColumn("txt", strip(F.col("txt"))).filter(F.length("txt") > 0)
         .groupBy(page, "bx0", "bx1", "by0", "txt").agg(F.count(F.lit(1)).alias("copies"))
         .withColumn("band", F.floor(F.col("by0") / span))
     )

@@ -7,16 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from figureyard.functions.columns import ERROR_CHARS
+from figureyard.functions.columns import ERROR_CHARS, OCR_CHARS, REASON_CHARS
 from figureyard.operators.ranking import first_per_key, top_per_group
 
-# Every status an entity can have.
-STATUSES = (
-    "pending", "downloaded", "processing", "failed", "done", "screen_pos", "building", "labeled",
-    "rejected", "local", "uploaded", "lost",
-)
-
-
 def register_first_wins(batch: DataFrame, known: DataFrame, arrival: str) -> DataFrame:
     """New records of ``batch``: the first arrival per version-less id that is
     not registered yet, under any field. Copies are combined before the shuffle."""
@@ -65,17 +58,21 @@ def remaining_by_document(
     )
 
 
-def requeue_failed(df: DataFrame, needs: Column | None = None) -> DataFrame:
-    """Failed rows go back to pending and lose their error."""
-    failed = F.col("status") == "failed"
+def requeue_failed(
+    df: DataFrame, interrupted: str | None = None, needs: Column | None = None
+) -> DataFrame:
+    """Rows that failed, or stand in the state ``interrupted`` when work starts
+    again, go back to pending and lose their error. ``needs`` narrows that."""
+    back = F.col("status") == "failed"
+    if interrupted:
+        back = back | (F.col("status") == interrupted)
     if needs is not None:
-        failed = failed & needs
-    return df.withColumns(
-        {
-            "requeued": failed,
-            "status": F.when(failed, "pending").otherwise(F.col("status")),
-        }
-    )
+        back = back & needs
+    back = F.coalesce(back, F.lit(False))
+    out = {"requeued": back, "status": F.when(back, "pending").otherwise(F.col("status"))}
+    if "error" in df.columns:
+        out["error"] = F.when(~back, F.col("error"))
+    return df.withColumns(out)
 
 
 def requeue_assets(images: DataFrame, listing: DataFrame, key: str) -> DataFrame:
@@ -92,24 +89,21 @@ def requeue_assets(images: DataFrame, listing: DataFrame, key: str) -> DataFrame
 def fold_log(log: DataFrame, key: str, seq: str, cost: str, accumulate: bool) -> DataFrame:
     """Current state per entity. Page costs add up, image costs are replaced.
 
-    The status travels as its position in the known list: with fixed-width
-    buffers the partial aggregation hashes instead of sorting. ``seq`` is unique
-    per entity, so the columns of the latest step come from the same row.
+    Any status is kept as it is. Texts are cut to their stored lengths: errors,
+    and reasons and OCR texts where the log has them. ``seq`` is unique per
+    entity, so the columns of the latest step come from the same row.
     """
-    known = F.array(*[F.lit(s) for s in STATUSES])
-    code = F.array_position(known, F.col("status")).cast("int")
     spent = F.coalesce(F.sum(cost), F.lit(0.0)) if accumulate else F.max_by(cost, seq)
+    texts = {"error": ERROR_CHARS, "reject_reason": REASON_CHARS, "ocr_text": OCR_CHARS}
+    latest = ["status", *[c for c in texts if c in log.columns]]
     folded = log.groupBy(key).agg(
-        F.max_by(code, seq).alias("__code"),
-        F.max_by("error", seq).alias("error"),
+        F.max_by(F.struct(*latest), seq).alias("__last"),
         spent.alias("cost"),
         F.count_if(F.col("status") == "failed").alias("failures"),
         F.count(F.lit(1)).alias("steps"),
     )
-    return folded.select(
-        key, F.get(known, F.col("__code") - 1).alias("status"),
-        F.substring("error", 1, ERROR_CHARS).alias("error"), "cost", "failures", "steps",
-    )
+    cut = [F.substring(f"__last.{c}", 1, texts[c]).alias(c) for c in latest[1:]]
+    return folded.select(key, "__last.status", *cut, "cost", "failures", "steps")
 
 
 def quota(items: DataFrame, group: str, order: Sequence[Column], n: int) -> DataFrame:

@@ -175,16 +175,14 @@ def latency_statistics(spark, d):
     """,
 )
 def value_statistics(spark, d):
-    # equal values are counted first; mode and deviation follow from the counts
+    # equal values are counted for the mode; deviations are merged around their means
     v = t.table(spark, d, "lineitem").select(
         F.col("l_suppkey").alias("page_key"), F.col("l_quantity").cast("int").alias("v")
     )
     counts = v.groupBy("page_key", "v").agg(F.count(F.lit(1)).alias("c"))
-    n, s, q = F.sum("c"), F.sum(F.col("c") * F.col("v")), F.sum(F.col("c") * F.col("v") * F.col("v"))
-    return counts.groupBy("page_key").agg(
-        F.max_by("v", F.struct("c", -F.col("v"))).alias("mode"),
-        F.round(F.sqrt(q / n - (s / n) * (s / n)), 6).alias("std"),
-    )
+    modes = counts.groupBy("page_key").agg(F.max_by("v", F.struct("c", -F.col("v"))).alias("mode"))
+    spread = v.groupBy("page_key").agg(F.round(F.stddev_pop("v"), 6).alias("std"))
+    return modes.join(spread, "page_key")
 
 
 @query(

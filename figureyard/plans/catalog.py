@@ -18,8 +18,8 @@ VIEWS = {
         SELECT doc_id,
                lpad(CAST(base_no AS VARCHAR), 6, '0') || 'v' || CAST(doc_id % 3 + 1 AS VARCHAR) AS arxiv_id,
                lpad(CAST(base_no AS VARCHAR), 6, '0') AS base_id,
-               lang AS field, source, substr(text, 1, 80) AS title,
-               least(CAST(floor(n_chars / 500.0) AS INT) + 1, 20) AS n_pages,
+               lang AS field, source, split_part(text, chr(10), 1) AS title,
+               CAST(floor(n_chars / 500.0) AS INT) + 1 AS n_pages,
                CASE WHEN doc_id % 10 = 0 THEN 'failed' WHEN doc_id % 10 = 1 THEN 'pending'
                     ELSE 'downloaded' END AS status
         FROM (SELECT *, CASE WHEN doc_id % 5 = 0 AND doc_id > 0 THEN doc_id - 1 ELSE doc_id END AS base_no

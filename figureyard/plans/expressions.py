@@ -99,15 +99,15 @@ def scrubbed_text(spark, d):
     """
     SELECT doc_id, CASE WHEN ok THEN doc_id % 2 = 0 END AS is_diagram, CASE WHEN ok THEN '' END AS reject_reason,
            CASE WHEN ok THEN '' END AS diagram_type,
-           CASE WHEN ok THEN replace(replace(substr(title, 1, 60), '"', ''), chr(92), '')
+           CASE WHEN ok THEN replace(replace(text, '"', ''), chr(92), '')
                 || CASE doc_id % 3 WHEN 0 THEN chr(92) || 'alpha' WHEN 1 THEN chr(92) || 'frac' ELSE chr(10) END END AS title,
            CASE WHEN ok THEN '' END AS label, CASE WHEN NOT ok THEN 'no JSON object' END AS parse_error
-    FROM (SELECT *, doc_id % 5 <> 2 AS ok FROM papers_v)
+    FROM (SELECT doc_id, text, doc_id % 5 <> 2 AS ok FROM documents)
     """,
 )
 def parsed_replies(spark, d):
     """Replies built from document text in the ways models garble JSON."""
-    text = F.replace(F.substring("title", 1, 60), F.lit('"'), F.lit(""))
+    text = F.replace("text", F.lit('"'), F.lit(""))
     text = F.replace(text, F.lit("\\"), F.lit(""))
     body = F.concat(
         F.lit('{"is_diagram": '), F.when(F.col("doc_id") % 2 == 0, "true").otherwise("false"),
@@ -122,7 +122,7 @@ def parsed_replies(spark, d):
         .when(F.col("doc_id") % 5 == 2, F.lit("no object here"))
         .otherwise(body)
     )
-    rows = t.papers(spark, d).select("doc_id", reply.alias("reply"))
+    rows = t.table(spark, d, "documents").select("doc_id", reply.alias("reply"))
     parsed = replies.parse_replies(rows, "reply", schemas.LABEL_REPLY, replies.LABEL_DEFAULTS)
     return parsed.select("doc_id", "parsed.*", "parse_error")
 

@@ -9,6 +9,8 @@ from figureyard.plans.catalog import query
 from figureyard.sources import scans
 from figureyard.sources import tables as t
 
+PAGE_CAP = 20  # pages registered of a document
+
 
 @query(
     "reg1_register_first_wins",
@@ -59,7 +61,7 @@ def harvest_in_order(spark, d):
     "reg3_page_explosion",
     """
     SELECT p.arxiv_id, p.page_no FROM (
-      SELECT arxiv_id, CAST(unnest(range(1, least(n_pages, 8) + 1)) AS INT) AS page_no FROM papers_v
+      SELECT arxiv_id, CAST(unnest(range(1, least(n_pages, 20) + 1)) AS INT) AS page_no FROM papers_v
       WHERE status <> 'failed') p
     LEFT JOIN (SELECT arxiv_id, page_no FROM pages_v WHERE screen_pos) g
       ON g.arxiv_id = p.arxiv_id AND g.page_no = p.page_no
@@ -69,7 +71,7 @@ def harvest_in_order(spark, d):
 def page_explosion(spark, d):
     p = t.papers(spark, d).filter(F.col("status") != "failed")
     known = t.pages(spark, d).filter("screen_pos")
-    return registry.explode_pages(p, known, 8)
+    return registry.explode_pages(p, known, PAGE_CAP)
 
 
 @query(
@@ -143,23 +145,41 @@ def remaining_by_document(spark, d):
 @query(
     "reg6_requeue_failed",
     """
-    SELECT 'papers' AS entity, count(*) FILTER (status = 'failed') AS requeued,
-           count(*) FILTER (status IN ('failed', 'pending')) AS pending FROM papers_v
+    SELECT 'pages' AS entity, count(*) FILTER (s IN ('failed', 'processing')) AS requeued,
+           count(*) FILTER (s IN ('failed', 'processing', 'pending')) AS pending,
+           count(*) FILTER (s IN ('failed', 'done')) AS had_error, count(*) FILTER (s = 'done') AS has_error
+    FROM (SELECT CASE (doc_id + page_no) % 4 WHEN 0 THEN 'failed' WHEN 1 THEN 'processing' WHEN 2 THEN 'pending'
+                 ELSE 'done' END AS s FROM pages_v)
     UNION ALL
-    SELECT 'decisions', count(*) FILTER (status = 'failed' AND cost > 10),
-           count(*) FILTER (status = 'pending' OR (status = 'failed' AND cost > 10)) FROM decisions_v
+    SELECT 'batches', count(*) FILTER (status = 'failed' AND cost > 10),
+           count(*) FILTER (status = 'pending' OR (status = 'failed' AND cost > 10)),
+           count(*) FILTER (status = 'failed'), count(*) FILTER (status = 'failed' AND NOT coalesce(cost > 10, false))
+    FROM decisions_v
     """,
 )
 def requeue_failed(spark, d):
-    def counts(name, df):
-        return df.agg(
+    """Pages that failed or were being worked on, and failed batches that were
+    built; papers stay failed."""
+
+    def counts(name, before, **how):
+        return registry.requeue_failed(before.withColumn("had", F.col("error")), **how).agg(
+            F.lit(name).alias("entity"),
             F.count_if("requeued").alias("requeued"),
             F.count_if(F.col("status") == "pending").alias("pending"),
-        ).select(F.lit(name).alias("entity"), "requeued", "pending")
-
-    papers = registry.requeue_failed(t.papers(spark, d))
-    built = registry.requeue_failed(t.decisions(spark, d), F.col("cost") > 10)
-    return counts("papers", papers).unionByName(counts("decisions", built))
+            F.count("had").alias("had_error"), F.count("error").alias("has_error"),
+        )
+
+    turn = (F.col("doc_id") + F.col("page_no")) % 4
+    state = (
+        F.when(turn == 0, "failed").when(turn == 1, "processing").when(turn == 2, "pending")
+        .otherwise("done")
+    )
+    wrong = F.when(F.col("status").isin("failed", "done"), "some error")
+    pages = t.pages(spark, d).withColumn("status", state).withColumn("error", wrong)
+    built = t.decisions(spark, d).withColumn("error", F.when(F.col("status") == "failed", "x"))
+    return counts("pages", pages, interrupted="processing").unionByName(
+        counts("batches", built, needs=F.col("cost") > 10)
+    )
 
 
 @query(
@@ -179,7 +199,7 @@ def lost_assets(spark, d):
 
 
 _LOG_SQL = """
-    SELECT entity, max_by(status, seq) AS status, {cost} AS cost,
+    SELECT entity, max_by(status, seq) AS status, substr(max_by(repeat(stage, 100), seq), 1, 500) AS error, {cost} AS cost,
            count(*) FILTER (status = 'failed') AS failures, count(*) AS steps
     FROM decisions_v GROUP BY entity
 """
@@ -187,17 +207,17 @@ _LOG_SQL = """
 
 @query("reg7_fold_page_log", _LOG_SQL.format(cost="round(sum(cost), 4)"))
 def fold_page_log(spark, d):
-    log = t.decisions(spark, d).withColumn("error", F.col("stage"))
+    log = t.decisions(spark, d).withColumn("error", F.repeat("stage", 100))
     return registry.fold_log(log, "entity", "seq", "cost", accumulate=True).select(
-        "entity", "status", F.round("cost", 4).alias("cost"), "failures", "steps"
+        "entity", "status", "error", F.round("cost", 4).alias("cost"), "failures", "steps"
     )
 
 
 @query("reg7_fold_image_log", _LOG_SQL.format(cost="round(max_by(cost, seq), 4)"))
 def fold_image_log(spark, d):
-    log = t.decisions(spark, d).withColumn("error", F.col("stage"))
+    log = t.decisions(spark, d).withColumn("error", F.repeat("stage", 100))
     return registry.fold_log(log, "entity", "seq", "cost", accumulate=False).select(
-        "entity", "status", F.round("cost", 4).alias("cost"), "failures", "steps"
+        "entity", "status", "error", F.round("cost", 4).alias("cost"), "failures", "steps"
     )
 
 
@@ -308,16 +328,16 @@ def fallback_asset(spark, d):
     "reg12_fold_ocr",
     """
     SELECT doc_id AS batch_id, arxiv_id, page_no, ordinal, 'img-' || ordinal || '.png' AS image_name,
-           title AS payload
-    FROM (SELECT p.doc_id, p.arxiv_id, p.title, idx + 1 AS page_no, o AS ordinal, n_pages
-          FROM papers_v p, range(0, 22) a(idx), range(1, 4) b(o)
-          WHERE idx < p.n_pages + 2)
-    WHERE page_no <= n_pages AND ordinal <> 2
+           text AS payload
+    FROM (SELECT doc_id, arxiv_id, text, unnest(range(1, n_pages + 1)) AS page_no
+          FROM papers_v JOIN documents USING (doc_id)), (VALUES (1), (3)) b(ordinal)
     """,
 )
 def fold_ocr(spark, d):
-    p = t.papers(spark, d)
-    uri = F.concat(F.lit("data:image/png;base64,"), F.base64(F.encode("title", "UTF-8")))
+    text = t.table(spark, d, "documents").select("doc_id", "text")
+    p = t.papers(spark, d).join(text, "doc_id")
+    # the whole text is the payload
+    uri = F.concat(F.lit("data:image/png;base64,"), F.base64(F.encode("text", "UTF-8")))
     images = F.transform(
         F.sequence(F.lit(1), F.lit(3)),
         lambda o: F.struct(
@@ -376,17 +396,15 @@ def quota_shortage(spark, d):
 @query(
     "reg14_split_manifest",
     """
-    SELECT p.arxiv_id, m.page_no, m.page_no <= p.n_pages AS valid,
-           CASE WHEN m.page_no <= p.n_pages THEN 0 ELSE -1 END AS batch_id
-    FROM papers_v p, (SELECT unnest(range(0, 12)) AS page_no) m
-    WHERE m.page_no >= 1 AND m.page_no <= p.n_pages + 2
+    SELECT arxiv_id, page_no, page_no <= n_pages AS valid, CASE WHEN page_no <= n_pages THEN 0 ELSE -1 END AS batch_id
+    FROM (SELECT arxiv_id, n_pages, CAST(unnest(range(1, n_pages + 3)) AS INT) AS page_no FROM papers_v)
     """,
 )
 def split_manifest(spark, d):
     p = t.papers(spark, d)
     wanted = p.select(
         "arxiv_id",
-        F.explode(F.sequence(F.lit(1), F.least(F.col("n_pages") + 2, F.lit(11)))).alias("page_no"),
+        F.explode(F.sequence(F.lit(1), F.col("n_pages") + 2)).alias("page_no"),
     )
     docs = p.select("arxiv_id", F.col("n_pages").alias("page_count"))
     return registry.split_manifest(wanted, docs).select("arxiv_id", "page_no", "valid", "batch_id")

@@ -6,19 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from figureyard import schemas
-from figureyard.functions.columns import class_index, squeeze
+from figureyard.functions.columns import class_index, squeeze, strip
 
 
 def feed_records(entries: DataFrame) -> DataFrame:
     """Paper records from parsed feed entries."""
-    url = F.trim(F.coalesce("id", F.lit("")))
+    url = strip(F.coalesce("id", F.lit("")))
     aid = F.substring_index(url, "/abs/", -1)
     pdf = F.get(F.filter("link", lambda x: x["_title"] == "pdf"), 0)["_href"]
     return entries.select(
         aid.alias("arxiv_id"),
         squeeze(F.coalesce("title", F.lit(""))).alias("title"),
-        F.trim(F.coalesce("summary", F.lit(""))).alias("abstract"),
-        F.transform("author", lambda a: F.trim(a["name"])).alias("authors"),
+        strip(F.coalesce("summary", F.lit(""))).alias("abstract"),
+        F.transform("author", lambda a: strip(a["name"])).alias("authors"),
         F.substring("published", 1, 10).alias("published"),
         url.alias("abs_url"),
         F.coalesce(

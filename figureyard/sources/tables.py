@@ -35,8 +35,8 @@ def papers(spark: SparkSession, folder: str) -> DataFrame:
         _base_id(doc_id).alias("base_id"),
         F.col("lang").alias("field"),
         "source",
-        F.substring("text", 1, 80).alias("title"),
-        F.least(F.floor(F.col("n_chars") / 500.0).cast("int") + 1, F.lit(20)).alias("n_pages"),
+        F.substring_index("text", "\n", 1).alias("title"),
+        (F.floor(F.col("n_chars") / 500.0).cast("int") + 1).alias("n_pages"),
         F.when(doc_id % 10 == 0, "failed")
         .when(doc_id % 10 == 1, "pending")
         .otherwise("downloaded")

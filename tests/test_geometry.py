@@ -72,22 +72,41 @@ def _merged(rects, gap=14):
     return {tuple(float(v) for v in r) for r in rects}
 
 
-def test_merging_does_not_depend_on_parts(spark):
+def test_merging_to_the_end(spark):
     pages = {1: _rects(60, 5, (4, 30)), 2: _rects(9, 6, (4, 20)), 3: _rects(1, 7)}
-    for per_task in (4096, 8):  # 8: page 1 is merged in salted parts first
-        out = geometry.merge_rects(_frame(spark, pages), "page", per_task=per_task).collect()
-        for p, rects in pages.items():
-            assert {(r.x0, r.y0, r.x1, r.y1) for r in out if r.page == p} == _merged(rects)
+    out = geometry.merge_rects(_frame(spark, pages), "page").collect()
+    for p, rects in pages.items():
+        assert {(r.x0, r.y0, r.x1, r.y1) for r in out if r.page == p} == _merged(rects)
+
+
+def _united(spark, boxes):
+    df = spark.createDataFrame([(1, *b) for b in boxes], "page long, x0 int, y0 int, x1 int, y1 int")
+    return sorted((r.x0, r.y0, r.x1, r.y1) for r in geometry.merge_rects(df, "page").collect())
+
+
+def test_touching_boxes_stay_apart(spark):
+    assert len(_united(spark, [(0, 0, 10, 10), (24, 0, 30, 10)])) == 2
+    assert _united(spark, [(0, 0, 10, 10), (23, 0, 30, 10)]) == [(0, 0, 30, 10)]
+
+
+def test_merged_hull_can_reach_a_third_box(spark):
+    assert _united(spark, [(0, 0, 10, 10), (15, 40, 25, 50), (5, 20, 8, 30)]) == [(0, 0, 25, 50)]
 
 
-def test_touching_boxes_stay_apart():
-    assert len(geometry.merge_boxes([(0, 0, 10, 10), (24, 0, 30, 10)], 14)) == 2
-    assert geometry.merge_boxes([(0, 0, 10, 10), (23, 0, 30, 10)], 14) == [(0, 0, 30, 10)]
+def test_boxes_of_all_sizes_meet(spark):
+    huge = (0, 0, 1_000_000, 1_000_000)
+    assert _united(spark, [huge, (500, 500, 501, 501), (-2000, 0, -1000, 90)]) == [
+        (-2000, 0, -1000, 90), huge,
+    ]
+    apart = [(40 * i % 8000, 40 * (i // 200), 40 * i % 8000 + 5, 40 * (i // 200) + 5) for i in range(8000)]
+    assert len(_united(spark, apart)) == 8000
 
 
-def test_merged_hull_can_reach_a_third_box():
-    boxes = [(0, 0, 10, 10), (15, 40, 25, 50), (5, 20, 8, 30)]
-    assert geometry.merge_boxes(boxes, 14) == [(0, 0, 25, 50)]
+def test_a_huge_drawing_covers_small_boxes(spark):
+    schema = "page long, x0 int, y0 int, x1 int, y1 int"
+    small = spark.createDataFrame([(1, 900_000, 900_000, 900_010, 900_010), (1, -50, -50, -9, -9)], schema)
+    huge = spark.createDataFrame([(1, 0, 0, 1_000_000, 1_000_000)], schema)
+    assert [r.x0 for r in geometry.covered_by(small, huge, "page").collect()] == [900_000]
 
 
 def test_captions_of_a_page(spark):
@@ -97,7 +116,7 @@ def test_captions_of_a_page(spark):
     )
     blocks = spark.createDataFrame(
         [
-            (1, 0, 110, 90, "some   text"), (1, 0, 150, 90, "Figure 1: a\nthing"), (1, 0, 160, 90, "more"),
+            (1, 0, 110, 90, "some   text"), (1, 0, 150, 90, "\n\tFigure 1: a\nthing"), (1, 0, 160, 90, "more"),
             (1, 310, 300, 380, "just prose"), (1, 310, 361, 380, "too far"),
             (2, 60, 60, 90, "beside"), (2, 0, 70, 90, "  "),
             (3, 0, 95, 90, "Table 2"), (3, 5, 95, 90, "Table 2"), (3, 5, 99, 90, "after"),
