@@ -11,12 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from figureyard.functions.columns import hash_int, ratio
+from figureyard.functions.columns import ratio
 from figureyard.operators.reports import side_by_side
 from figureyard.schemas import CLASSES
 
 CELLS = ("tp", "fp", "fn", "tn")
-ROW_DRAW_LIMIT = 10_000
 
 # Metrics as SQL over the four cells; callers may pass their own.
 METRICS = {
@@ -79,48 +78,34 @@ def slices(df: DataFrame, by: str, truth: Column, guess: Column, at_least: int =
 def bootstrap(
     counts: DataFrame, metric: str, resamples: int = 1000, seed: int = 0
 ) -> DataFrame:
-    """95 % percentile interval of a metric over the four cells.
+    """Point value and 95 % percentile interval (point, lo, hi) of a metric over
+    the four cells.
 
     Resampling rows with replacement only depends on how many rows lie in each
-    cell. Up to ``ROW_DRAW_LIMIT`` rows every draw is a seeded hash that points
-    into the cells laid end to end; beyond that the cell counts of a resample
-    are drawn at once from the multinomial they follow. No row is joined.
+    cell, and these counts follow a multinomial: each resample draws them at
+    once, whatever the number of rows.
     """
     spark = counts.sparkSession
     row = counts.select(*CELLS).first()
     n = sum(row)
+    share = [c / max(n, 1) for c in row]
     if n == 0:
-        drawn = counts.select(*CELLS).limit(1)
-    elif n <= ROW_DRAW_LIMIT:
-        ids = spark.range(resamples * n)
-        b, j = F.floor(F.col("id") / n), F.col("id") % n
-        point = hash_int(F.concat_ws("|", F.lit(seed), b.cast("string"), j.cast("string"))) % n
-        edges = np.cumsum(row).tolist()
-        drawn = (
-            ids.select(b.alias("b"), point.alias("i"))
-            .groupBy("b")
-            .agg(
-                *[
-                    F.count_if((F.col("i") >= lo) & (F.col("i") < hi)).alias(c)
-                    for c, lo, hi in zip(CELLS, [0, *edges[:-1]], edges)
-                ]
-            )
-        )
-    else:
-        share = [c / n for c in row]
-
-        @F.pandas_udf(T.ArrayType(T.LongType()))
-        def draw(b: pd.Series) -> pd.Series:
-            return pd.Series(
-                [np.random.default_rng([seed, int(i)]).multinomial(n, share).tolist() for i in b]
-            )
+        share[-1] = 1.0
 
-        drawn = spark.range(resamples).select(draw("id").alias("c")).select(
-            *[F.get("c", i).alias(c) for i, c in enumerate(CELLS)]
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def draw(b: pd.Series) -> pd.Series:
+        return pd.Series(
+            [np.random.default_rng([seed, int(i)]).multinomial(n, share).tolist() for i in b]
         )
+
+    drawn = spark.range(resamples).select(draw("id").alias("c")).select(
+        *[F.get("c", i).alias(c) for i, c in enumerate(CELLS)]
+    )
+    point = counts.select(F.expr(metric).cast("double").alias("point"))
     # one row per resample: a bounded group
     return drawn.select(F.expr(metric).cast("double").alias("m")).agg(
-        F.expr("percentile(m, 0.025)").alias("lo"), F.expr("percentile(m, 0.975)").alias("hi")
+        point.scalar().alias("point"),
+        F.expr("percentile(m, 0.025)").alias("lo"), F.expr("percentile(m, 0.975)").alias("hi"),
     )
 
 
