@@ -278,3 +278,23 @@ def captions(figures: DataFrame, blocks: DataFrame, page: str) -> DataFrame:
     return base.join(found, keys, "left").withColumn(
         "caption", F.coalesce("caption", F.lit(""))
     )
+
+
+def extract_figures(
+    rects: DataFrame, blocks: DataFrame, page: str, w: Column, h: Column
+) -> DataFrame:
+    """Figures of every page with their captions: page, kind, sides, area_frac,
+    caption.
+
+    Image rectangles and merged vector clusters are clipped and gated, clusters
+    covered by a gated image leave, the rest is suppressed greedily, and what is
+    kept looks for its caption.
+    """
+    drawn = (F.col("x1") - F.col("x0") > MIN_STROKE) & (F.col("y1") - F.col("y0") > MIN_STROKE)
+    columns = [page, "kind", *[F.col(s).cast("double").alias(s) for s in SIDES]]
+    images = figure_candidates(rects.filter(F.col("kind") == "image").select(*columns), w, h)
+    clusters = merge_rects(rects.filter((F.col("kind") == "vector") & drawn), page)
+    vectors = figure_candidates(clusters.withColumn("kind", F.lit("vector")).select(*columns), w, h)
+    images, vectors = materialised(images, "images"), materialised(vectors, "clusters")
+    kept = suppress(images.unionByName(not_covered(vectors, images, page)), page)
+    return kept.join(captions(kept, blocks, page), [page, *SIDES])

@@ -192,10 +192,9 @@ def vector_rects_not_in_images(spark, d):
     return geometry.not_covered(vector, r.filter(F.col("kind") == "image"), "page_key")
 
 
-@query(
-    "jn12_captions",
-    """
-    WITH f AS (SELECT DISTINCT page_key, x0, y0, x1, y1 FROM rects_v),
+def _caption_sql(figures: str) -> str:
+    return f"""
+    WITH RECURSIVE f AS (SELECT DISTINCT page_key, x0, y0, x1, y1 FROM {figures}),
          below AS (SELECT f.*, b.by0, b.txt,
                           row_number() OVER (PARTITION BY f.page_key, f.x0, f.y0, f.x1, f.y1 ORDER BY b.by0, b.txt) AS rn,
                           lead(b.txt) OVER (PARTITION BY f.page_key, f.x0, f.y0, f.x1, f.y1 ORDER BY b.by0, b.txt) AS nxt,
@@ -210,8 +209,10 @@ def vector_rects_not_in_images(spark, d):
     SELECT f.page_key, f.x0, f.y0, f.x1, f.y1,
            substr(coalesce(trim(regexp_replace(caption, '\\s+', ' ', 'g')), ''), 1, 800) AS caption
     FROM f LEFT JOIN pick p ON p.page_key = f.page_key AND p.x0 = f.x0 AND p.y0 = f.y0 AND p.x1 = f.x1 AND p.y1 = f.y1
-    """,
-)
+    """
+
+
+@query("jn12_captions", _caption_sql("rects_v"))
 def captions(spark, d):
     return geometry.captions(t.rects(spark, d), t.blocks(spark, d), "page_key")
 
@@ -329,12 +330,12 @@ def nearest_centroid(spark, d):
     )
 
 
-def _suppress_sql() -> str:
+def _suppress_sql(source: str = _CANDIDATES) -> str:
     """Greedy suppression, one candidate per step of a recursive query."""
     share = _OVERLAP.replace("b.", "q.").replace("a.", "c.")
     return f"""
     WITH RECURSIVE u AS (SELECT page_key, min(kind) AS kind, x0, y0, x1, y1, max(af) AS af
-                         FROM {_CANDIDATES} GROUP BY ALL),
+                         FROM {source} GROUP BY ALL),
       c AS (SELECT *, row_number() OVER (PARTITION BY page_key ORDER BY af DESC, x0, y0, x1, y1) AS rn FROM u),
       s AS (SELECT page_key, CAST(1 AS BIGINT) AS k,
                    [struct_pack(kind := kind, x0 := x0, y0 := y0, x1 := x1, y1 := y1, af := af)] AS kept
@@ -379,6 +380,30 @@ def merged_rects(spark, d):
     return geometry.merge_rects(r.filter((F.col("kind") == "vector") & wide), "page_key")
 
 
+def _figures_sql() -> str:
+    gate = _CANDIDATES.replace("rects_v", "raw")
+    return f"""
+    WITH RECURSIVE mm AS ({_merge_sql()}),
+      raw AS (SELECT page_key, kind, CAST(x0 AS DOUBLE) AS x0, CAST(y0 AS DOUBLE) AS y0, CAST(x1 AS DOUBLE) AS x1,
+                     CAST(y1 AS DOUBLE) AS y1 FROM rects_v WHERE kind = 'image'
+              UNION ALL SELECT page_key, 'vector', x0, y0, x1, y1 FROM mm),
+      cand AS (SELECT * FROM {gate}),
+      apart AS (SELECT * FROM cand a WHERE kind = 'image' OR NOT EXISTS (
+                SELECT 1 FROM cand b WHERE b.page_key = a.page_key AND b.kind = 'image' AND {_OVERLAP} > 0.6)),
+      fig AS ({_suppress_sql("apart")}),
+      cap AS ({_caption_sql("fig")})
+    SELECT fig.*, cap.caption FROM fig JOIN cap USING (page_key, x0, y0, x1, y1)
+    """
+
+
+@query("e2_page_figures", _figures_sql())
+def page_figures(spark, d):
+    found = geometry.extract_figures(
+        t.rects(spark, d), t.blocks(spark, d), "page_key", F.lit(t.PAGE_W), F.lit(t.PAGE_H)
+    )
+    return found.withColumn("area_frac", F.round("area_frac", 6))
+
+
 @query(
     "flt8_pages_with_figures_and_captions",
     """
