@@ -2,7 +2,10 @@
 
 Stateful results are kept as tables written per micro-batch under
 ``batch=<id>``. A replayed micro-batch overwrites its own folder and reads only
-earlier ones, so every job is exactly-once after a failure.
+earlier ones. Checkpoint and tables live below the feed's ``home``: a job that is
+started again on the same home goes on after its last finished micro-batch, so
+every job is exactly-once after a failure. Without a home a new one is made up,
+which suits a single run.
 """
 
 from __future__ import annotations
@@ -37,9 +40,16 @@ class Feed:
 
     stream: DataFrame
     arrivals: Sequence[Callable[[], None]] = (lambda: None,)
+    home: str | None = None
+
+    def __post_init__(self) -> None:
+        self.home = self.home or shared_path(self.spark, "stream")
 
     def map(self, change: Callable[[DataFrame], DataFrame]) -> Feed:
-        return Feed(change(self.stream), self.arrivals)
+        return Feed(change(self.stream), self.arrivals, self.home)
+
+    def table(self, name: str, schema: str) -> BatchTable:
+        return BatchTable(self.spark, name, schema, self.home)
 
     @property
     def spark(self) -> SparkSession:
@@ -48,7 +58,7 @@ class Feed:
 
 def drain(feed: Feed, sink: Callable[[DataFrame, int], None], mode: str = "append") -> None:
     """Process everything available after each arrival."""
-    checkpoint = shared_path(feed.spark, "stream-checkpoint")
+    checkpoint = f"{feed.home}/checkpoint"
     for arrive in feed.arrivals:
         arrive()
         query = (
@@ -64,8 +74,9 @@ def drain(feed: Feed, sink: Callable[[DataFrame, int], None], mode: str = "appen
 class BatchTable:
     """A table of micro-batch results with one folder per batch id."""
 
-    def __init__(self, spark: SparkSession, name: str, schema: str):
-        self.spark, self.path, self.schema = spark, shared_path(spark, name), schema
+    def __init__(self, spark: SparkSession, name: str, schema: str, home: str | None = None):
+        self.spark, self.schema = spark, schema
+        self.path = f"{home}/{name}" if home else shared_path(spark, name)
 
     def put(self, rows: DataFrame, batch_id: int) -> None:
         rows.write.mode("overwrite").parquet(f"{self.path}/batch={batch_id}")
@@ -86,7 +97,7 @@ class BatchTable:
 
 def register_stream(feed: Feed, arrival: str, schema: str) -> BatchTable:
     """First arrival per version-less id over all batches, without a time bound."""
-    table = BatchTable(feed.spark, "registry", schema)
+    table = feed.table("registry", schema)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         first = first_per_key(batch, ["base_id"], F.col(arrival))
@@ -105,7 +116,7 @@ def dedup_within_watermark(stream: DataFrame, ts: str, key: str, delay: str) ->
 def entity_states(feed: Feed, key: str) -> BatchTable:
     """Current status, total cost and attempts per entity, kept in JVM state."""
     schema = f"{key} BIGINT, status STRING, cost DOUBLE, failures BIGINT, steps BIGINT"
-    table = BatchTable(feed.spark, "entity-states", schema)
+    table = feed.table("entity-states", schema)
     columns = [
         F.max_by("status", "seq").alias("status"), F.sum("cost").alias("cost"),
         F.count_if(F.col("status") == "failed").alias("failures"), F.count(F.lit(1)).alias("steps"),
@@ -115,7 +126,7 @@ def entity_states(feed: Feed, key: str) -> BatchTable:
 
 
 def live_counters(feed: Feed, keys: Sequence[str], schema: str) -> BatchTable:
-    table = BatchTable(feed.spark, "live-counters", schema)
+    table = feed.table("live-counters", schema)
     n = F.count(F.lit(1)).alias("n")
     drain(feed.map(lambda log: log.groupBy(*keys).agg(n)), table.put, mode="update")
     return table
@@ -123,7 +134,7 @@ def live_counters(feed: Feed, keys: Sequence[str], schema: str) -> BatchTable:
 
 def throughput_windows(feed: Feed, ts: str, width: str, delay: str) -> BatchTable:
     """Finished items per tumbling window; the watermark bounds the state."""
-    table = BatchTable(feed.spark, "throughput", "start TIMESTAMP, n BIGINT, done BIGINT")
+    table = feed.table("throughput", "start TIMESTAMP, n BIGINT, done BIGINT")
 
     def windows(log: DataFrame) -> DataFrame:
         return (
@@ -140,7 +151,7 @@ def throughput_windows(feed: Feed, ts: str, width: str, delay: str) -> BatchTabl
 def intake_control(feed: Feed, target: int, backlog: int = BACKLOG_PAGES) -> BatchTable:
     """Per micro-batch: totals so far and whether intake runs, pauses or stops."""
     schema = "done BIGINT, waiting BIGINT, action STRING"
-    table = BatchTable(feed.spark, "intake", schema)
+    table = feed.table("intake", schema)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         last = table.rows(before=batch_id).agg(F.max_by(F.struct("done", "waiting"), "batch").alias("s"))
@@ -161,34 +172,40 @@ def intake_control(feed: Feed, target: int, backlog: int = BACKLOG_PAGES) -> Bat
     return table
 
 
-def run_until(log: DataFrame, target: int, path: str, poll: float = 1.0) -> int:
-    """Copy the log to ``path`` continuously and stop the query once ``target``
-    items are labeled. Returns how many were seen."""
-    done = 0
+def run_until(feed: Feed, target: int, poll: float = 1.0) -> int:
+    """Copy the feed to the table ``log`` continuously and stop the query once
+    ``target`` items are labeled. Counts are kept for each micro-batch, so a
+    restart goes on counting and a replay does not count twice. Returns how many
+    were seen on this home."""
+    log = feed.table("log", feed.stream.schema.simpleString()[7:-1].replace(":", " "))
+    counts = feed.table("labeled", "n BIGINT")
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        nonlocal done
-        kept = batch.persist()
-        kept.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-        done += kept.filter(F.col("status") == "labeled").count()
-        kept.unpersist()
+        log.put(batch, batch_id)
+        written = log.rows().filter(F.col("batch") == batch_id)
+        counts.put(written.agg(F.count_if(F.col("status") == "labeled").alias("n")), batch_id)
+
+    def done() -> int:
+        return counts.rows().agg(F.sum("n").alias("n")).first()["n"] or 0
 
+    for arrive in feed.arrivals:
+        arrive()
     query = (
-        log.writeStream.option("checkpointLocation", shared_path(log.sparkSession, "stream-checkpoint"))
+        feed.stream.writeStream.option("checkpointLocation", f"{feed.home}/checkpoint")
         .foreachBatch(sink).start()
-    )
-    while query.isActive and done < target:
+    )
+    while query.isActive and done() < target:
         query.awaitTermination(timeout=poll)
     query.stop()
-    return done
+    return done()
 
 
 def refreshed_snapshot(feed: Feed, build: Callable[[DataFrame], DataFrame], schema: str,
                        key: str, out_schema: str) -> BatchTable:
     """Rewrite the published snapshot from all rows seen, once per batch. A
     service triggers this every few minutes."""
-    seen = BatchTable(feed.spark, "snapshot-input", schema)
-    out = BatchTable(feed.spark, "snapshot", out_schema)
+    seen = feed.table("snapshot-input", schema)
+    out = feed.table("snapshot", out_schema)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         seen.put(batch, batch_id)
@@ -203,9 +220,8 @@ def archive_stream(feed: Feed, group: str, key: str, size: str, bucket: Column,
                    schema: str, state_schema: str) -> BatchTable:
     """Number archives as items arrive; the open archive of every group is
     carried from batch to batch."""
-    spark = feed.spark
-    table = BatchTable(spark, "archives", schema)
-    states = BatchTable(spark, "archive-states", state_schema)
+    table = feed.table("archives", schema)
+    states = feed.table("archive-states", state_schema)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         before = states.latest([group], before=batch_id).select(group, "closed", "carry")
@@ -219,7 +235,7 @@ def archive_stream(feed: Feed, group: str, key: str, size: str, bucket: Column,
 
 def delivery_stream(feed: Feed, manifest: DataFrame, chunk: int) -> BatchTable:
     """Every batch delivers the next items to the users that asked in it."""
-    table = BatchTable(feed.spark, "deliveries", "uid BIGINT, image_id BIGINT")
+    table = feed.table("deliveries", "uid BIGINT, image_id BIGINT")
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         had = table.rows(before=batch_id).select("uid", "image_id")
