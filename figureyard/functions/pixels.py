@@ -1,5 +1,9 @@
-"""Grey-level statistics of decoded crops: one small numpy helper per crop,
-applied to Arrow batches of pixel blobs."""
+"""Grey-level statistics of decoded crops.
+
+Python only counts: a histogram of the levels, the mean step between
+neighbours, and the number of different levels in a sparse sample. All measures
+follow from the histogram by array functions.
+"""
 
 from __future__ import annotations
 
@@ -7,51 +11,89 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Thresholds of the grey-level measures.
 OFF_MODE, LIGHT, DARK, COLOUR_STEP = 16, 240, 32, 7
+LEVELS = 256
 
-PIXEL_STATS = T.StructType(
-    [
-        T.StructField("std", T.DoubleType()),
-        T.StructField("content_frac", T.DoubleType()),
-        T.StructField("edge", T.DoubleType()),
-        T.StructField("colors", T.IntegerType()),
-        T.StructField("light_frac", T.DoubleType()),
-        T.StructField("dark_frac", T.DoubleType()),
-    ]
+COUNTS = (
+    T.StructType()
+    .add("hist", T.ArrayType(T.IntegerType()))
+    .add("edge", T.DoubleType())
+    .add("colors", T.IntegerType())
 )
 
 
-def grey_stats(blob: bytes, width: int) -> tuple:
-    """Measures of one crop; the smallest most frequent grey level is the mode.
-    Edges need whole rows, so a ragged last row is left out of that measure."""
-    grey = np.frombuffer(blob, dtype=np.uint8)
-    if grey.size == 0:
-        return 0.0, 0.0, 0.0, 0, 0.0, 0.0
-    levels = grey.astype(np.int32)
-    mode = int(np.bincount(levels, minlength=256).argmax())
-    rows = levels[: levels.size // width * width].reshape(-1, width)
-    down = float(np.abs(np.diff(rows, axis=0)).mean()) if rows.shape[0] > 1 else 0.0
-    across = float(np.abs(np.diff(rows, axis=1)).mean()) if rows.size and width > 1 else 0.0
-    return (
-        float(levels.std()),
-        float((np.abs(levels - mode) > OFF_MODE).mean()),
-        down + across,
-        len(np.unique(levels[::COLOUR_STEP])),
-        float((levels > LIGHT).mean()),
-        float((levels < DARK).mean()),
-    )
+def counted(blob: bytes | None, width: int) -> tuple:
+    """Histogram, mean step to the pixel below plus mean step to the right, and
+    levels seen in every seventh pixel. A ragged last row has no steps."""
+    if blob is None:
+        return None, None, None
+    flat = np.frombuffer(blob, np.uint8).astype(np.int16)
+    whole = flat[: len(flat) - len(flat) % width]
+    below = np.abs(whole[width:] - whole[:-width]) if len(whole) > width else whole[:0]
+    right = np.abs(whole[1:] - whole[:-1])
+    right = right[np.arange(1, len(whole)) % width != 0] if len(whole) else right
+    steps = sum(float(s.mean()) for s in (below, right) if len(s))
+    seen = np.bincount(flat[::COLOUR_STEP], minlength=LEVELS)
+    return np.bincount(flat, minlength=LEVELS).tolist(), steps, int((seen > 0).sum())
 
 
-@F.pandas_udf(PIXEL_STATS)
-def pixel_stats(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    names = [f.name for f in PIXEL_STATS.fields]
+@F.pandas_udf(COUNTS)
+def pixel_counts(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     for blobs, widths in batches:
-        rows = [
-            (None,) * len(names) if b is None else grey_stats(b, int(w))
-            for b, w in zip(blobs, widths)
-        ]
-        yield pd.DataFrame(rows, columns=names, index=blobs.index)
+        rows = [counted(b, int(w)) for b, w in zip(blobs, widths)]
+        yield pd.DataFrame(rows, columns=["hist", "edge", "colors"], index=blobs.index)
+
+
+def measures(c: Column) -> Column:
+    """std, content_frac, edge, colors, light_frac and dark_frac of counts. An
+    empty crop measures 0; the smallest most frequent level is the mode."""
+    hist, zero = c["hist"], F.lit(0.0)
+
+    def total(weigh) -> Column:
+        terms = F.transform(hist, lambda h, level: weigh(h.cast("double"), level))
+        return F.aggregate(terms, zero, lambda a, x: a + x)
+
+    def share(which) -> Column:
+        n = total(lambda h, level: h)
+        return F.when(n > 0, total(lambda h, level: F.when(which(level), h).otherwise(zero)) / n).otherwise(zero)
+
+    mode = F.array_position(hist, F.array_max(hist)) - 1
+    n = total(lambda h, level: h)
+    mean = total(lambda h, level: h * level) / n
+
+    def spread(m: Column) -> Column:
+        return F.sqrt(total(lambda h, level: h * (level - m) * (level - m)) / n)
+
+    # bound once: an expression inside a lambda is evaluated for each element
+    once = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
+    return F.when(
+        hist.isNotNull(),
+        F.struct(
+            F.when(n > 0, once(mean, spread)).otherwise(zero).alias("std"),
+            once(mode, lambda m: share(lambda level: F.abs(level - m) > OFF_MODE)).alias("content_frac"),
+            c["edge"].alias("edge"),
+            c["colors"].alias("colors"),
+            share(lambda level: level > LIGHT).alias("light_frac"),
+            share(lambda level: level < DARK).alias("dark_frac"),
+        ),
+    )
+
+
+def pixel_stats(blob: Column | str, width: Column) -> Column:
+    return F.get(F.transform(F.array(pixel_counts(blob, width)), measures), F.lit(0))
+
+
+def crop_features(size: Column, width: Column, height: Column, stats: Column) -> dict[str, Column]:
+    """The ten features of a crop, in their order."""
+    longer, shorter = F.greatest(width, height), F.least(width, height)
+    shape = {
+        "bytes": size, "width": width, "height": height,
+        "aspect": longer / F.greatest(F.lit(1), shorter),
+    }
+    tones = ("std", "content_frac", "edge", "colors", "light_frac", "dark_frac")
+    return shape | {name: stats[name] for name in tones}

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from figureyard.functions.columns import base_id, is_caption
-from figureyard.functions.pixels import pixel_stats
+from figureyard.functions import pixels
 from figureyard.operators import datasets, gates, geometry
 from figureyard.operators.ranking import id_bucket, rank_within
 from figureyard.plans.catalog import query
@@ -63,7 +63,7 @@ _BYTES = """
 def _pixels(spark, d):
     """Text bytes stand in for grey levels: real blobs of very different sizes."""
     docs = t.table(spark, d, "documents")
-    stats = pixel_stats(F.encode("text", "UTF-8"), F.lit(64))
+    stats = pixels.pixel_stats(F.encode("text", "UTF-8"), F.lit(64))
     return docs.select("doc_id", "n_chars", stats.alias("px"))
 
 
@@ -95,16 +95,21 @@ def crop_pixel_gate(spark, d):
                           lag(v) OVER (PARTITION BY doc_id ORDER BY i) AS lf,
                           count(*) OVER (PARTITION BY doc_id) AS n FROM px)
              WHERE i <= n // 64 * 64 GROUP BY doc_id)
-    SELECT st.doc_id, round(std, 4) AS std, round(content, 4) AS content_frac,
+    SELECT st.doc_id, d.n_chars AS bytes, 40 + st.doc_id % 900 AS width, 40 + (st.doc_id * 7) % 700 AS height,
+           round(greatest(40 + st.doc_id % 900, 40 + (st.doc_id * 7) % 700)
+                 / least(40 + st.doc_id % 900, 40 + (st.doc_id * 7) % 700)::DOUBLE, 4) AS aspect, round(std, 4) AS std, round(content, 4) AS content_frac,
            round(coalesce(edge, 0), 4) AS edge, CAST(colors AS INT) AS colors,
            round(light, 4) AS light_frac, round(dark, 4) AS dark_frac
-    FROM st LEFT JOIN ed ON ed.doc_id = st.doc_id
+    FROM st LEFT JOIN ed ON ed.doc_id = st.doc_id JOIN documents d ON d.doc_id = st.doc_id
     """,
 )
 def crop_features(spark, d):
-    return _pixels(spark, d).select("doc_id", "px.*").select(
-        "doc_id", "colors",
-        *[F.round(c, 4).alias(c) for c in ("std", "content_frac", "edge", "light_frac", "dark_frac")],
+    rows = _pixels(spark, d).where(F.col("n_chars") > 0)
+    width, height = 40 + F.col("doc_id") % 900, 40 + (F.col("doc_id") * 7) % 700
+    found = pixels.crop_features(F.col("n_chars"), width, height, F.col("px"))
+    whole = ("bytes", "width", "height", "colors")
+    return rows.select(
+        "doc_id", *[(c if n in whole else F.round(c, 4)).alias(n) for n, c in found.items()]
     )
 
 

@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from figureyard.functions import columns as c
-from figureyard.functions.pixels import grey_stats, pixel_stats
+from figureyard.functions.pixels import pixel_stats
 from figureyard.operators import datasets, gates, registry
 
 
@@ -33,9 +33,12 @@ def test_missing_file_passes_and_unreadable_does_not(spark):
     assert [r.r for r in df.select(reason.alias("r")).collect()] == ["", "unreadable"]
 
 
-def test_pixel_features_of_a_known_crop():
+def test_pixel_features_of_a_known_crop(spark):
     grey = np.array([[0, 10, 250], [0, 30, 250]], dtype=np.uint8)
-    std, content, edge, colours, light, dark = grey_stats(grey.tobytes(), 3)
+    df = spark.createDataFrame([(1, grey.tobytes()), (2, b""), (3, None)], "k int, px binary")
+    rows = {r.k: r.s for r in df.select("k", pixel_stats("px", F.lit(3)).alias("s")).collect()}
+    assert rows[3] is None and list(rows[2]) == [0.0, 0.0, 0.0, 0, 0.0, 0.0]
+    std, content, edge, colours, light, dark = rows[1]
     flat = grey.astype(float).ravel()
     assert abs(std - flat.std()) < 1e-9
     assert content == 3 / 6  # the smallest of the two modes, 0, is the mode
