@@ -36,6 +36,10 @@ HEADLINE = [
     "wn1_paper_splits",
     "wn4_suppressed_candidates",
     "wn5_merged_rects",
+    "e2_page_figures",
+    "ml3_logistic_probe",
+    "ml15_normalised_cache",
+    "str1_register_stream",
 ]
 
 
@@ -45,7 +49,7 @@ def main() -> None:
     spark = local_session(os.environ.get("BENCH_CPUS", "8"), "bench")
     spark.sparkContext.setLogLevel("ERROR")
     # start the JVM's compilers and the Python workers before the clock runs
-    for name in ("reg2_harvest_in_order", "sc12_unit_vectors"):
+    for name in ("reg2_harvest_in_order", "flt1_crop_pixel_gate"):
         registered.QUERIES[name](spark, folder).count()
     times = {}
     for name in names:

@@ -1,14 +1,9 @@
-"""Dense vector helpers. Batches are handled by numpy inside Arrow tasks."""
+"""Dense vector helpers, all of them array functions."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -20,19 +15,15 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
-@F.pandas_udf(T.ArrayType(T.FloatType()))
-def unit_vector(vectors: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """L2-normalised vectors; a zero vector stays zero. Arrow batches in, out."""
-    for batch in vectors:
-        out = []
-        for v in batch:
-            if v is None:
-                out.append(None)
-                continue
-            x = np.asarray(v, dtype=np.float64)
-            n = np.sqrt((x * x).sum())
-            out.append((x / (n if n else 1.0)).astype(np.float32))
-        yield pd.Series(out)
+def unit_vector(vector: Column | str) -> Column:
+    """L2-normalised vector (doubles); a zero vector stays zero. The length is
+    bound once: inside the lambda over elements it would be taken for each."""
+    v = F.col(vector) if isinstance(vector, str) else vector
+
+    def scaled(length: Column) -> Column:
+        return F.transform(v, lambda x: x.cast("double") / F.when(length == 0, 1.0).otherwise(length))
+
+    return F.get(F.transform(F.array(norm(v)), scaled), F.lit(0))
 
 
 def softmax_scores(scores: Column, temperature: float = 10.0) -> Column:

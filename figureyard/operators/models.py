@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from figureyard.functions.columns import hash_int
-from figureyard.functions.vectors import argmax, dot, norm, softmax_scores
+from figureyard.functions.vectors import argmax, dot, norm, softmax_scores, unit_vector
 from figureyard.operators.datasets import class_weights
 from figureyard.schemas import CLASSES
 from figureyard.session import materialised
@@ -57,11 +57,7 @@ def aligned(manifest: DataFrame, embeddings: DataFrame) -> DataFrame:
 def centroids(vectors: DataFrame, cls: str, vector: str) -> DataFrame:
     """Normalised mean of normalised vectors per class. Every task adds up its
     own vectors before the shuffle, so a class never meets in one task."""
-    size = norm(F.col(vector))
-    scaled = F.transform(
-        vector, lambda x: x.cast("double") / F.when(size == 0, 1.0).otherwise(size)
-    )
-    means = vectors.select(cls, array_to_vector(scaled).alias("v")).groupBy(cls).agg(
+    means = vectors.select(cls, array_to_vector(unit_vector(vector)).alias("v")).groupBy(cls).agg(
         vector_to_array(Summarizer.mean(F.col("v"))).alias("c")
     )
     length = norm(F.col("c"))

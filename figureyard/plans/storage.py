@@ -481,15 +481,21 @@ def results_ledger(spark, d):
 @query(
     "snk8_embedding_cache",
     """
-    SELECT count(*) AS n, max(len(embedding)) AS dim, min(len(embedding)) AS min_dim, 'encoder' AS model FROM embeddings
+    SELECT count(*) FILTER (vec_id % 10 > 0) AS n, max(len(embedding)) AS dim, min(len(embedding)) AS min_dim,
+           count(*) FILTER (vec_id % 10 = 0) AS skipped, 'encoder' AS model, 'vit' AS backbone, 'cpu' AS device,
+           true AS hashed
+    FROM embeddings
     """,
 )
 def embedding_cache(spark, d):
-    e = t.table(spark, d, "embeddings").select(F.col("vec_id").alias("image_id"), "embedding")
+    e = t.table(spark, d, "embeddings").select(
+        F.col("vec_id").alias("image_id"), F.when(F.col("vec_id") % 10 > 0, F.col("embedding")).alias("embedding")
+    )
     path = shared_path(spark, "embedding-cache")
-    stores.cache_embeddings(e, path, "encoder")
+    stores.cache_embeddings(e, path, "encoder", backbone="vit", device="cpu")
     # a second call finds the cache and leaves it alone
-    return stores.cache_embeddings(e, path, "encoder")
+    told = stores.cache_embeddings(e, path, "encoder", backbone="vit", device="cpu")
+    return told.withColumn("hashed", F.length("manifest_hash") > 2).drop("manifest_hash")
 
 
 @query(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -142,19 +143,51 @@ def latest_results(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return rows.groupBy("name").agg(F.max_by(body, "timestamp").alias("r")).select("name", "r.*")
 
 
-def cache_embeddings(vectors: DataFrame, path: str, model: str, force: bool = False) -> DataFrame:
-    """Write unit vectors once and return a one-row description of the cache."""
+def manifest_hash(vectors: DataFrame, key: str = "image_id") -> str:
+    """Order-free digest of which vectors there are and what they hold."""
+    h = F.xxhash64(key, "embedding")
+    r = vectors.agg(
+        F.count(F.lit(1)).alias("n"), F.bit_xor(h).alias("x"),
+        F.sum(F.pmod(h, F.lit(1 << 31))).alias("s"),
+    ).first()
+    return f"{r['n']}-{r['x']}-{r['s']}"
+
+
+def cache_embeddings(
+    vectors: DataFrame, path: str, model: str, force: bool = False, backbone: str = "",
+    device: str = "",
+) -> DataFrame:
+    """Write unit vectors once and return the cache's one-row description: n,
+    dim, min_dim, skipped (null or empty vectors), model, backbone, device and
+    manifest_hash.
+
+    The description is written after the vectors. A cache counts only if both
+    are complete and the hash is that of ``vectors``; any other is written anew.
+    """
     spark = vectors.sparkSession
-    usable = vectors.filter(F.col("embedding").isNotNull() & (F.size("embedding") > 0))
-    (
-        usable.withColumn("embedding", unit_vector("embedding"))
-        .write.mode("overwrite" if force else "ignore").parquet(path)
-    )
-    cached = spark.read.parquet(path)
-    return cached.agg(
+    about, digest = f"{path}-about", manifest_hash(vectors)
+    if not force:
+        try:
+            known = spark.read.parquet(about)
+            known = known.where(F.col("manifest_hash") == digest).where(F.col("model") == model)
+            spark.read.parquet(path).schema  # noqa: B018  fails where nothing is left
+            if not known.isEmpty():
+                return known
+        except AnalysisException:  # not there or without files: not finished
+            pass
+    empty = F.col("embedding").isNull() | (F.size("embedding") == 0)
+    unit = F.transform(unit_vector("embedding"), lambda x: x.cast("float"))
+    # an old description must not outlive the vectors that it describes
+    spark.createDataFrame([], "manifest_hash string, model string").write.mode("overwrite").parquet(about)
+    vectors.filter(~empty).withColumn("embedding", unit).write.mode("overwrite").parquet(path)
+    counted = spark.read.parquet(path).agg(
         F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("dim"),
         F.min(F.size("embedding")).alias("min_dim"),
-    ).withColumn("model", F.lit(model))
+    )
+    skipped = vectors.agg(F.count_if(empty).alias("skipped")).first()["skipped"]
+    told = {"skipped": skipped, "model": model, "backbone": backbone, "device": device, "manifest_hash": digest}
+    counted.withColumns({k: F.lit(v) for k, v in told.items()}).write.mode("overwrite").parquet(about)
+    return spark.read.parquet(about)
 
 
 def save_predictions(preds: DataFrame, path: str) -> None:

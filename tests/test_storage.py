@@ -1,4 +1,5 @@
 import json
+import shutil
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -103,11 +104,18 @@ def test_split_digest_sees_every_change(spark):
 def test_cache_is_written_once(spark, tmp_path):
     path = str(tmp_path / "c")
     one = spark.createDataFrame([(1, [3.0, 4.0]), (2, [0.0, 0.0]), (3, None)], "image_id long, embedding array<float>")
-    assert stores.cache_embeddings(one, path, "m").first().n == 2
+    first = stores.cache_embeddings(one, path, "m").first()
+    assert (first.n, first.skipped, first.dim) == (2, 1, 2)
     rows = {r.image_id: list(r.embedding) for r in spark.read.parquet(path).collect()}
     assert np.allclose(rows[1], [0.6, 0.8]) and rows[2] == [0.0, 0.0]
-    assert stores.cache_embeddings(one.limit(1), path, "m").first().n == 2
-    assert stores.cache_embeddings(one.limit(1), path, "m", force=True).first().n == 1
+    files = sorted(p.name for p in (tmp_path / "c").iterdir())
+    assert stores.cache_embeddings(one.repartition(3), path, "m").first() == first
+    assert sorted(p.name for p in (tmp_path / "c").iterdir()) == files
+    # other vectors, or a cache without its description, are written anew
+    assert stores.cache_embeddings(one.limit(1), path, "m").first().n == 1
+    shutil.rmtree(tmp_path / "c-about")
+    assert stores.cache_embeddings(one, path, "m").first().n == 2
+    assert stores.cache_embeddings(one, path, "m", force=True).first().n == 2
 
 
 def test_ocr_pages_fold_by_index(spark):
