@@ -109,6 +109,35 @@ def bootstrap(
     )
 
 
+def grouped_intervals(
+    counts: DataFrame, by: Sequence[str], metrics: dict[str, str], resamples: int = 1000,
+    seed: int = 0,
+) -> DataFrame:
+    """Bootstrap intervals of several metrics for each row of cell counts:
+    ``<metric>_lo`` and ``<metric>_hi``. One set of draws serves all metrics."""
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
+    def draw(b: pd.Series, tp: pd.Series, fp: pd.Series, fn: pd.Series, tn: pd.Series) -> pd.Series:
+        out = []
+        for i, *row in zip(b, tp, fp, fn, tn):
+            n = sum(row)
+            share = [c / n for c in row] if n else [0.0, 0.0, 0.0, 1.0]
+            out.append(np.random.default_rng([seed, int(i)]).multinomial(n, share).tolist())
+        return pd.Series(out)
+
+    each = counts.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
+    drawn = each.select(*by, draw("b", *CELLS).alias("c")).select(
+        *by, *[F.get("c", i).alias(c) for i, c in enumerate(CELLS)]
+    )
+    values = drawn.select(*by, *[F.expr(sql).cast("double").alias(m) for m, sql in metrics.items()])
+    return values.groupBy(*by).agg(
+        *[
+            F.expr(f"percentile({m}, {q})").alias(f"{m}_{end}")
+            for m in metrics for end, q in (("lo", 0.025), ("hi", 0.975))
+        ]
+    )
+
+
 def _tail(stat: pd.Series) -> pd.Series:
     return stat.map(lambda s: math.erfc(math.sqrt(s / 2)))
 

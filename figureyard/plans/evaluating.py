@@ -256,7 +256,8 @@ def best_threshold(spark, d):
                 FROM boxes_v GROUP BY page_key),
          j AS (SELECT y, silver, gate FROM pg JOIN gold USING (page_key)),
          u AS (SELECT 'detector' AS judge, y, gate AS p FROM j UNION ALL SELECT 'teacher', y, silver FROM j)
-    SELECT {_METRICS.format(by='judge,')} FROM ({_CELLS.format(by='judge,', src='SELECT * FROM u', group='GROUP BY judge')})
+    SELECT {_METRICS.format(by='judge,')}, true AS acc_covered, true AS f1_covered
+    FROM ({_CELLS.format(by='judge,', src='SELECT * FROM u', group='GROUP BY judge')})
     """,
 )
 def detector_teacher_gold(spark, d):
@@ -278,7 +279,15 @@ def detector_teacher_gold(spark, d):
             )
         ),
     )
-    return ev.binary_metrics(judged, F.col("gold"), F.col("guess"), ["judge"])
+    counts = ev.cells(judged, F.col("gold"), F.col("guess"), ["judge"])
+    wanted = {m: ev.METRICS[m] for m in ("acc", "f1")}
+    ends = ev.grouped_intervals(counts, ["judge"], wanted)
+    covered = [
+        ((F.col(f"{m}_lo") <= F.col(m)) & (F.col(m) <= F.col(f"{m}_hi"))).alias(f"{m}_covered")
+        for m in wanted
+    ]
+    found = ev.metrics(counts, ["judge"])
+    return found.join(ends, "judge").select(*found.columns, *covered)
 
 
 @query(
@@ -287,11 +296,14 @@ def detector_teacher_gold(spark, d):
     WITH m AS (SELECT name, round_even(avg(CASE WHEN p = y4 THEN 1.0::DOUBLE ELSE 0 END), 4) AS silver,
                       round_even(avg(CASE WHEN (p = 0) = (quality = 1) THEN 1.0::DOUBLE ELSE 0 END), 4) AS gold, count(quality) AS n_gold
                FROM (SELECT 'model_a' AS name, image_id, y4, pred_a AS p FROM preds_v
-                     UNION ALL SELECT 'model_b', image_id, y4, pred_b FROM preds_v)
+                     UNION ALL SELECT 'model_b', image_id, y4, pred_b FROM preds_v
+                     UNION ALL SELECT 'teacher', image_id, y4, y4 FROM preds_v)
                JOIN labels ON doc_id = image_id GROUP BY name)
     SELECT name, silver, gold, n_gold, CAST(rank() OVER (ORDER BY gold DESC) AS INT) AS gold_rank,
            CAST(rank() OVER (ORDER BY silver DESC) AS INT) AS silver_rank,
-           rank() OVER (ORDER BY gold DESC) <> rank() OVER (ORDER BY silver DESC) AS flipped FROM m
+           rank() OVER (ORDER BY gold DESC) <> rank() OVER (ORDER BY silver DESC) AS flipped,
+           CASE WHEN name = 'teacher' THEN 'judge' ELSE 'probe' END AS rung,
+           row_number() OVER (PARTITION BY name = 'teacher' ORDER BY gold DESC, name) = 1 AS best_of_rung FROM m
     """,
 )
 def leaderboard(spark, d):
@@ -302,6 +314,7 @@ def leaderboard(spark, d):
             F.array(
                 F.struct(F.lit("model_a").alias("name"), F.col("pred_a").alias("p")),
                 F.struct(F.lit("model_b").alias("name"), F.col("pred_b").alias("p")),
+                F.struct(F.lit("teacher").alias("name"), F.col("y4").alias("p")),
             )
         ),
     )
@@ -316,7 +329,13 @@ def leaderboard(spark, d):
         "*",
         F.rank().over(Window.orderBy(F.desc("gold"))).alias("gold_rank"),
         F.rank().over(Window.orderBy(F.desc("silver"))).alias("silver_rank"),
-    ).withColumn("flipped", F.col("gold_rank") != F.col("silver_rank"))
+        F.when(F.col("name") == "teacher", "judge").otherwise("probe").alias("rung"),
+    ).withColumns(
+        {
+            "flipped": F.col("gold_rank") != F.col("silver_rank"),
+            "best_of_rung": F.row_number().over(Window.partitionBy("rung").orderBy(F.desc("gold"), "name")) == 1,
+        }
+    )
 
 
 @query(

@@ -119,3 +119,15 @@ def test_small_slices_are_left_out_and_unknown_is_named(spark):
     df = spark.createDataFrame(rows, "f string, y int, p int")
     out = {r.f: (r.acc, r.n) for r in ev.slices(df, "f", F.col("y"), F.col("p")).collect()}
     assert out == {"a": (1.0, 10), "?": (0.0, 12)}
+
+
+def test_intervals_of_groups_are_those_of_each(spark):
+    rows = [("a", 40, 5, 5, 50), ("b", 400, 50, 50, 500), ("none", 0, 0, 0, 0)]
+    counts = spark.createDataFrame(rows, "judge string, tp long, fp long, fn long, tn long")
+    out = {r.judge: r for r in ev.grouped_intervals(counts, ["judge"], ev.METRICS).collect()}
+    for name, n in (("a", 100), ("b", 1000)):
+        r = out[name]
+        assert r.acc_lo <= 0.9 <= r.acc_hi
+        assert abs((r.acc_hi - r.acc_lo) / (2 * 1.96 * (0.09 / n) ** 0.5) - 1) < 0.2
+    alone = ev.bootstrap(counts.where("judge = 'a'").drop("judge"), ev.METRICS["acc"]).first()
+    assert (alone.lo, alone.hi) == (out["a"].acc_lo, out["a"].acc_hi)

@@ -158,3 +158,42 @@ def test_registration_keeps_the_first_arrival(spark):
     known = spark.createDataFrame([("3",)], "base_id string")
     out = {tuple(r) for r in registry.register_first_wins(batch, known, "at").collect()}
     assert out == {("1", "1v2", "b", 1), ("2", "2v1", "a", 2)}
+
+
+def test_white_space_is_no_label_and_no_reason(spark):
+    df = spark.createDataFrame([("\n", "\t x \n"), (" ok\n", ""), ("", "\n")], "label string, reason string")
+    out = gates.crop_decision(F.lit(True), F.col("label"), F.col("reason"))
+    rows = df.select(*[v.alias(k) for k, v in out.items()]).collect()
+    assert [tuple(r) for r in rows] == [
+        ("rejected", "llm:x"), ("labeled", ""), ("rejected", "llm:not-a-diagram"),
+    ]
+
+
+def test_an_unknown_status_stays(spark):
+    log = spark.createDataFrame([(1, 1, "odd", "e" * 900, 1.0)], "k int, seq int, status string, error string, cost double")
+    row = registry.fold_log(log, "k", "seq", "cost", True).first()
+    assert row.status == "odd" and len(row.error) == 500
+
+
+def test_interrupted_work_goes_back_without_its_error(spark):
+    rows = [(1, "failed", "x"), (2, "processing", "y"), (3, "done", "z"), (4, None, None)]
+    df = spark.createDataFrame(rows, "k int, status string, error string")
+    out = {r.k: (r.status, r.error, r.requeued) for r in registry.requeue_failed(df, "processing").collect()}
+    assert out == {
+        1: ("pending", None, True), 2: ("pending", None, True), 3: ("done", "z", False), 4: (None, None, False),
+    }
+
+
+def test_equal_large_values_have_no_deviation(spark):
+    out = spark.createDataFrame([(123456789.0,)] * 3, "v double").agg(F.stddev_pop("v").alias("s")).first()
+    assert out.s == 0
+
+
+def test_long_documents_keep_their_pages(spark, tmp_path):
+    from figureyard.sources import tables
+
+    rows = [(1, "First line\nrest", "en", "s", 30 * 500 - 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "documents.parquet"))
+    assert tables.pages(spark, str(tmp_path)).count() == 30
+    assert tables.papers(spark, str(tmp_path)).first().title == "First line"
