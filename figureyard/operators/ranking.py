@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from figureyard.session import materialised
+
 IDS_PER_BUCKET = 65536
 
 
@@ -86,74 +88,66 @@ def top_per_group(
 
 
 def exact_percentiles(
-    df: DataFrame, group: Sequence[str], value: str, points: dict[str, float], cells: int = 1024
-) -> DataFrame:
+    df: DataFrame, group: Sequence[str], value: str, points: dict[str, float],
+    accuracy: int = 10_000,
+) -> DataFrame:
     """Linearly interpolated percentiles without holding a group in one task.
 
-    Equal values are counted first. Each group's value range is cut into equal
-    cells; only cells that hold a wanted position are numbered row by row.
+    A sketch brackets each wanted position between two values; rows below the
+    bracket are only counted, and the few values inside it, wherever they lie,
+    are numbered. A bracket reaches one value further on both sides, which covers
+    the position beside the sketch's own where groups are small.
     """
-    values = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*group, value)
-        .agg(F.count(F.lit(1)).alias("__n"))
-    )
-    span = values.groupBy(*group).agg(
-        F.min(value).alias("__lo"), F.max(value).alias("__hi"), F.sum("__n").alias("__total")
+    known = df.filter(F.col(value).isNotNull())
+    values = materialised(
+        known.groupBy(*group, value).agg(F.count(F.lit(1)).alias("__n")), "percentile-values"
     )
-    cell = F.least(
-        F.floor(
-            F.coalesce(
-                F.try_divide(
-                    (F.col(value) - F.col("__lo")) * cells, F.col("__hi") - F.col("__lo")
-                ),
-                F.lit(0.0),
-            )
-        ),
-        F.lit(cells - 1),
-    )
-    placed = values.join(span, list(group)).withColumn("__cell", cell)
-    per_cell = placed.groupBy(*group, "__cell", "__total").agg(F.sum("__n").alias("__in"))
-    upto = (
-        Window.partitionBy(*group).orderBy("__cell")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    margin = 2 / accuracy
+    ends = [e for q in points.values() for e in (max(0.0, q - margin), min(1.0, q + margin))]
+    sketch = known.groupBy(*group).agg(
+        F.count(F.lit(1)).alias("__total"),
+        F.percentile_approx(value, F.array(*map(F.lit, ends)), F.lit(accuracy)).alias("__ends"),
     )
-    wanted = F.array(
+    point = F.array(
         *[
-            F.struct(F.lit(label).alias("label"), F.lit(q).alias("q"), side.alias("pos"))
-            for label, q in points.items()
-            for side in (
-                F.floor((F.col("__total") - 1) * q),
-                F.ceil((F.col("__total") - 1) * q),
+            F.struct(
+                F.lit(label).alias("label"), F.lit(q).alias("q"),
+                F.get("__ends", F.lit(2 * i)).alias("lo"), F.get("__ends", F.lit(2 * i + 1)).alias("hi"),
             )
+            for i, (label, q) in enumerate(points.items())
         ]
+    )
+    wanted = sketch.select(*group, "__total", F.inline(point))
+    cell = [*group, "label"]
+    v = F.col(value)
+
+    def of_group(rows: DataFrame) -> DataFrame:
+        return values.join(rows, list(group)) if group else values.join(F.broadcast(rows))
+
+    bracket = of_group(wanted).groupBy(*cell, "q", "__total").agg(
+        F.coalesce(F.max(F.when(v < F.col("lo"), v)), F.min("lo")).alias("first"),
+        F.coalesce(F.min(F.when(v > F.col("hi"), v)), F.max("hi")).alias("last"),
     )
-    marked = per_cell.withColumn("__end", F.sum("__in").over(upto)).withColumn(
-        "__begin", F.col("__end") - F.col("__in")
-    )
-    hit = marked.withColumn(
-        "__wanted",
-        F.filter(wanted, lambda p: (p["pos"] >= F.col("__begin")) & (p["pos"] < F.col("__end"))),
-    ).filter(F.size("__wanted") > 0)
+    bracket = materialised(bracket, "percentile-brackets")
+    near = of_group(bracket)
+    below = near.filter(v < F.col("first")).groupBy(*cell).agg(F.sum("__n").alias("__begin"))
     inside = (
-        Window.partitionBy(*group, "__cell").orderBy(value)
+        Window.partitionBy(*cell).orderBy(value)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
+    )
     numbered = (
-        placed.drop("__total")
-        .join(hit, [*group, "__cell"])
-        .withColumn("__upto", F.col("__begin") + F.sum("__n").over(inside))
+        near.filter((v >= F.col("first")) & (v <= F.col("last")))
+        .withColumn("__upto", F.sum("__n").over(inside))
+        .join(below, cell, "left")
+        .withColumn("__upto", F.col("__upto") + F.coalesce("__begin", F.lit(0)))
         .withColumn("__from", F.col("__upto") - F.col("__n"))
-        .select(*group, value, "__from", "__upto", "__total", F.inline("__wanted"))
-        .filter((F.col("pos") >= F.col("__from")) & (F.col("pos") < F.col("__upto")))
     )
     exact = (F.col("__total") - 1) * F.col("q")
-    parts = numbered.groupBy(*group, "label").agg(
-        (
-            F.min(value)
-            + (F.max(value) - F.min(value)) * F.max(exact - F.floor(exact))
-        ).alias("__p")
-    )
+    holds = [(at >= F.col("__from")) & (at < F.col("__upto")) for at in (F.floor(exact), F.ceil(exact))]
+    parts = (
+        numbered.filter(holds[0] | holds[1]).groupBy(*cell)
+        .agg((F.min(value) + (F.max(value) - F.min(value)) * F.max(exact - F.floor(exact))).alias("__p"))
+    )
     return parts.groupBy(*group).agg(
         *[F.max(F.when(F.col("label") == label, F.col("__p"))).alias(label) for label in points]
     )

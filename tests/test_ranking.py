@@ -32,12 +32,21 @@ def test_first_and_latest_per_key_keep_whole_rows(spark):
 def test_percentiles_match_linear_interpolation(spark, values, copies):
     rows = [("g", float(v)) for v in values for _ in range(copies)]
     df = spark.createDataFrame(rows, "g string, v double")
-    got = ranking.exact_percentiles(df, ["g"], "v", {"a": 0.5, "b": 0.95, "c": 0.025}, cells=16).first()
+    got = ranking.exact_percentiles(df, ["g"], "v", {"a": 0.5, "b": 0.95, "c": 0.025}).first()
     data = [v for _, v in rows]
     want = np.percentile(data, [50, 95, 2.5])
     assert np.allclose([got.a, got.b, got.c], want, rtol=1e-9, atol=1e-9)
 
 
+def test_percentiles_with_an_outlier_and_many_values(spark):
+    df = spark.range(200_000).selectExpr("'g' AS g", "cast(id AS DOUBLE) AS v").union(
+        spark.createDataFrame([("g", 1e12), ("one", 5.0)], "g string, v double")
+    )
+    out = {r.g: r for r in ranking.exact_percentiles(df, ["g"], "v", {"a": 0.5, "b": 0.999}).collect()}
+    want = np.percentile([*range(200_000), 1e12], [50, 99.9])
+    assert np.allclose([out["g"].a, out["g"].b], want) and out["one"].a == out["one"].b == 5.0
+
+
 def test_next_items_skip_what_a_user_has(spark):
     manifest = spark.createDataFrame([(100 + p, p) for p in range(1, 41)], "image_id long, pos long")
     had = {1: [1, 2, 3, 7, 30], 2: [], 3: list(range(1, 41)), 4: [5]}
