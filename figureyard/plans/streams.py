@@ -58,7 +58,10 @@ def register_stream(spark, d):
     return table.rows().drop("batch")
 
 
-@query("str2_entity_states", _LOG_SQL.format(cost="round(sum(cost), 4)"))
+@query(
+    "str2_entity_states",
+    f"""SELECT entity, status, cost, failures, steps FROM ({_LOG_SQL.format(cost="round(sum(cost), 4)")})""",
+)
 def entity_states(spark, d):
     table = jobs.entity_states(decision_stream(spark, d), "entity")
     return table.latest(["entity"]).select(
