@@ -143,9 +143,26 @@ def journal(spark, d):
     return kept.unionByName(lost)
 
 
-@query("src5_asset_listing")
+@query(
+    "src5_asset_listing",
+    """
+    SELECT source, sum(strlen(text) + 1)::BIGINT AS bytes, any_value(n) AS documents FROM documents
+    JOIN (SELECT source, count(*) AS n FROM documents GROUP BY source) USING (source) GROUP BY source
+    """,
+)
 def asset_listing(spark, d):
-    return scans.list_assets(spark, d, "*.parquet").select("name", "bytes")
+    """Texts written as assets of their source with side files beside them; the
+    listing sees the assets only and is joined back to the documents."""
+    docs = t.table(spark, d, "documents").filter(F.col("source").isNotNull())
+    path = shared_path(spark, "assets")
+    docs.select("source", "text").write.partitionBy("source").text(path)
+    docs.select("source", "doc_id").write.mode("append").partitionBy("source").json(path)
+    source = F.url_decode(F.regexp_extract("path", "/source=([^/]+)/", 1))
+    listed = (
+        scans.list_assets(spark, path, "*.txt")
+        .groupBy(source.alias("source")).agg(F.sum("bytes").alias("bytes"))
+    )
+    return listed.join(docs.groupBy("source").agg(F.count(F.lit(1)).alias("documents")), "source")
 
 
 @query("src6_split_map", "SELECT arxiv_id, split FROM splits_v")
