@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import unicodedata
+from functools import cache
 from pathlib import Path
 
 import numpy as np
@@ -21,9 +23,13 @@ import tiktoken
 from tokenizers import Tokenizer
 
 KNOWN = 300_000  # remembered pieces in a task
+KNOWN_PARTS = 600_000  # remembered parts in a worker
 # Letters that lower-casing and composition treat one by one, and ASCII marks.
 PLAIN = regex.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ!-&(-/:-@\[-`{-~0-9]+")
 PARTS = regex.compile(r"\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+# Texts of such characters and white space, and their parts in lower case.
+PLAIN_TEXT = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ!-&(-/:-@\[-`{-~0-9 \t\n\v\f\r]+")
+PLAIN_PARTS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
 # str.split() takes these as white space, the tokenizer does not.
 ODD_SPACES = regex.compile(r"[\x1c-\x1f]")
 WORD_END = b"\xff"  # never part of UTF-8
@@ -76,5 +82,36 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, text.split()))
 
 
+class PartIds(WordIds):
+    """The same ids, looked up by run of letters or marks where a whole text is
+    plain: lower-cased runs are far fewer than pieces."""
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        self.parts: dict[str, bytes] = {}
+
+    def ids(self, text: str | None) -> list[bytes]:
+        """Ids of ``text`` as bytes of uint32, in parts that follow each other."""
+        text = text or ""
+        if not PLAIN_TEXT.fullmatch(text):
+            return [self.text(text)]
+        parts, known = PLAIN_PARTS.findall(text.lower()), self.parts
+        try:
+            return [known[p] for p in parts]
+        except KeyError:
+            if len(known) > KNOWN_PARTS:
+                known.clear()
+            for p in {p for p in parts if p not in known}:
+                known[p] = np.array(self.merge(p.encode() + WORD_END), "<u4").tobytes()
+            return [known[p] for p in parts]
+
+
+@cache
+def part_ids(path: str) -> PartIds:
+    """One for each file and process, so that tasks that follow each other in a
+    worker keep the parts."""
+    return PartIds(path)
+
+
 def public_file(name: str) -> str:
     return public_tokenizers.path(name)

@@ -8,19 +8,21 @@ s // records. A reader therefore reads sequentially, may start at any slot, and
 needs no index.
 
 Record: doc_id, start and length (little-endian 64, 64 and 32 bits), then the ids
-padded with zeros. The ids of the query are the bytes of the UTF-8 text, one byte
-each; any width of fixed-size ids may be given.
+padded with zeros. Start and length count ids. The ids of the query are those of
+a sub-word vocabulary in 16 bits each (``token_sequences``); any width of
+fixed-size ids may be given.
 
 Numbers of sequences follow the input's partitions, so the plan that counts and
 the plan that writes must cut the input alike. Each shard checks that it got
 every slot of its range once, so a job whose input was cut differently in between
-fails instead of writing a wrong order. Files are written under a name of the
+fails instead of writing a wrong order. Texts are encoded once to count their
+sequences and again to write them, so no table of ids lies on disk. Files are written under a name of the
 attempt and renamed, so a repeated task replaces its file by the same bytes.
 
 Ids travel compressed, with some of the first sequences as a common dictionary
 (``SAMPLED`` of them; they change sizes on the way, never results).
 
-A null or empty text has no sequence; a null doc_id is written as the smallest
+A text without ids (null, empty, white space alone) has no sequence; a null doc_id is written as the smallest
 number. Repeated rows are stored each; extra columns are ignored; an empty table
 writes nothing.
 """
@@ -36,10 +38,12 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from figureyard.llm.common import table
+from figureyard.llm.tokens import part_ids, public_file
 from figureyard.session import shared_path
 
 HEAD = "<qqi"
@@ -47,8 +51,8 @@ HEAD_SIZE = struct.calcsize(HEAD)
 NO_ID = -(1 << 63)
 ROUNDS = 6
 SAMPLED = 64
-
-
+TOKENIZER, LENGTH = "word_bpe_49k.json", 1024
+ID_SIZE = 2  # bytes of an id of a sub-word vocabulary
 
 def round_keys(key: int) -> np.ndarray:
     return np.random.default_rng(key).integers(1, 2**63, ROUNDS, dtype=np.uint64)
@@ -90,20 +94,73 @@ def sequences(docs: DataFrame, length: int) -> DataFrame:
     )
 
 
+SEQUENCE = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("ids", pa.binary())])
+
+
+def narrow_ids(tokenizer: str, text: str | None) -> bytes:
+    return np.frombuffer(b"".join(part_ids(tokenizer).ids(text)), "<u4").astype("<u2").tobytes()
+
+
+def token_sequences(docs: DataFrame, length: int, tokenizer: str) -> DataFrame:
+    """doc_id, start, ids: the text's ids by the file ``tokenizer``, little-endian
+    16 bits each, in pieces of ``length`` ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flushed() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*found), SEQUENCE)], schema=SEQUENCE)
+            found.clear()
+            return out
+
+        if part_ids(tokenizer).whole.get_vocab_size() > 1 << (8 * ID_SIZE):
+            raise ValueError(f"the vocabulary of {tokenizer} does not fit {ID_SIZE} bytes")
+        found: list[tuple] = []
+        for b in batches:
+            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
+                ids = narrow_ids(tokenizer, text)
+                for start in range(0, len(ids) // ID_SIZE, length):
+                    found.append((doc, start, ids[ID_SIZE * start : ID_SIZE * (start + length)]))
+                    if len(found) >= 1024:
+                        yield flushed()
+        if found:
+            yield flushed()
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, start long, ids binary")
+
+
+def token_sequence_counts(docs: DataFrame, length: int, tokenizer: str) -> DataFrame:
+    """part, count: how many sequences each partition of ``token_sequences`` has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, coder = 0, part_ids(tokenizer)
+        for b in batches:
+            for text in b.column("text").to_pylist():
+                n += -(-sum(map(len, coder.ids(text))) // (4 * length))
+        if n:
+            columns = [pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([n], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["part", "count"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "part long, count long")
+
+
 RECORDS = (
     "doc_id long, start long, length long, slot long, shard long, offset long, ids_crc32 long"
 )
 
 
 def materialise(
-    seqs: DataFrame, folder: str, width: int, records: int = 8192, key: int = 20240601
+    seqs: DataFrame, folder: str, width: int, records: int = 8192, key: int = 20240601,
+    id_size: int = 1, counts: DataFrame | None = None,
 ) -> DataFrame:
     """Write ``seqs`` (doc_id, start, ids as bytes, at most ``width``) below
-    ``folder`` and return ``RECORDS`` for every sequence."""
+    ``folder`` and return ``RECORDS`` for every sequence. An id has ``id_size``
+    bytes; ``counts`` (part, count) has the rows of each partition of ``seqs``
+    where they are cheaper to have than by counting."""
     spark = seqs.sparkSession
     place = F.monotonically_increasing_id()
     part = F.shiftright(place, 33)
-    sizes = seqs.select(part.alias("part")).groupBy("part").count().collect()
+    if counts is None:
+        counts = seqs.select(part.alias("part")).groupBy("part").count()
+    sizes = counts.collect()
     # a number for each partition of the input
     before, count = {}, 0
     for r in sorted(sizes, key=lambda r: r["part"]):
@@ -161,8 +218,8 @@ def materialise(
                     sink = system.open_output_stream(name)
                 if slot != due:
                     raise RuntimeError(f"slot {due} is missing or there twice")
-                sink.write(struct.pack(HEAD, NO_ID if doc is None else doc, start, len(ids)) + ids.ljust(width, b"\0"))
-                found.append((doc, start, len(ids), slot, shard, (slot - shard * records) * stride, zlib.crc32(ids)))
+                sink.write(struct.pack(HEAD, NO_ID if doc is None else doc, start, len(ids) // id_size) + ids.ljust(width, b"\0"))
+                found.append((doc, start, len(ids) // id_size, slot, shard, (slot - shard * records) * stride, zlib.crc32(ids)))
                 due += 1
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in zip(*found)], schema=out)
@@ -175,7 +232,7 @@ def shard_path(base: str, shard: int) -> str:
     return f"{base}/shard-{shard:08d}.bin"
 
 
-def read_from(folder: str, width: int, records: int, slot: int, count: int) -> Iterator[tuple[int | None, int, bytes]]:
+def read_from(folder: str, width: int, records: int, slot: int, count: int, id_size: int = 1) -> Iterator[tuple[int | None, int, bytes]]:
     """(doc_id, start, ids) of ``count`` slots from ``slot`` on, read in sequence."""
     system, base = fs.FileSystem.from_uri(folder)
     stride = HEAD_SIZE + width
@@ -189,11 +246,15 @@ def read_from(folder: str, width: int, records: int, slot: int, count: int) -> I
             return
         for i in range(0, len(data), stride):
             doc, start, n = struct.unpack_from(HEAD, data, i)
-            yield None if doc == NO_ID else doc, start, data[i + HEAD_SIZE : i + HEAD_SIZE + n]
+            yield None if doc == NO_ID else doc, start, data[i + HEAD_SIZE : i + HEAD_SIZE + n * id_size]
         slot, count = slot + take, count - take
 
 
 def query(spark: SparkSession, folder: str) -> DataFrame:
     path = shared_path(spark, "training-order")
     target = path if "://" in path or path.startswith("file:") else f"file://{path}"
-    return materialise(sequences(table(spark, folder, "documents"), 1024), target, 1024)
+    docs, tokenizer = table(spark, folder, "documents"), public_file(TOKENIZER)
+    return materialise(
+        token_sequences(docs, LENGTH, tokenizer), target, LENGTH * ID_SIZE, id_size=ID_SIZE,
+        counts=token_sequence_counts(docs, LENGTH, tokenizer),
+    )

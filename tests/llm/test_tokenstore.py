@@ -46,3 +46,48 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert sum(len(x) for _, _, x in back) == sum(len((r.text or "").encode()) for r in odd_docs.collect())
     assert any(d is None for d, _, _ in back)
     assert stored(spark, no_docs)[1] == []
+
+
+def test_query_stores_token_ids(spark):
+    from figureyard.llm import registered
+    from figureyard.llm.tokens import WordIds, public_file
+
+    folder = "/root/testdata/sf0.001"
+    made = []
+    keep, ts.shared_path = ts.shared_path, lambda *a: made.append(keep(*a)) or made[-1]
+    try:
+        rows = registered.QUERIES["op5_training_order"](spark, folder).collect()
+    finally:
+        ts.shared_path = keep
+    target = made[-1] if "://" in made[-1] or made[-1].startswith("file:") else f"file://{made[-1]}"
+    back = list(ts.read_from(target, 2048, 8192, 0, len(rows), 2))
+    assert len(back) == len(rows)
+    ids = WordIds(public_file("word_bpe_49k.json"))
+    texts = defaultdict(dict)
+    for d, s, x in back:
+        texts[d][s] = x
+    for r in spark.read.parquet(f"{folder}/documents.parquet").collect():
+        want = np.frombuffer(ids.text(r.text), "<u4").tolist()
+        got = np.frombuffer(b"".join(x for _, x in sorted(texts[r.doc_id].items())), "<u2").tolist()
+        assert got == want
+
+
+def test_part_ids_are_the_word_ids(odd_docs):
+    from figureyard.llm.tokens import PartIds, WordIds, public_file
+
+    path = public_file("word_bpe_49k.json")
+    one, two = WordIds(path), PartIds(path)
+    texts = [r.text for r in odd_docs.collect()] + [
+        "Plain words, (marks) 2024-10!", "ÀÉß ÿ straße\tx\n\x0by\x0cz\r\n", "it's not", "a\x1cb", " ", "<|endoftext|> [x]", "naïve—dash", "e\u0301", "×÷ a_b"
+    ]
+    for text in texts:
+        assert b"".join(two.ids(text)) == one.text(text) == (one.slowly(text) if text else b""), text
+
+
+def test_token_sequences_of_odd_rows(odd_docs, no_docs):
+    from figureyard.llm.tokens import public_file
+
+    path = public_file("word_bpe_49k.json")
+    for df in (odd_docs, no_docs):
+        n = sum(r["count"] for r in ts.token_sequence_counts(df, 8, path).collect())
+        assert n == ts.token_sequences(df, 8, path).count()
