@@ -3,11 +3,13 @@
 Patterns find e-mail addresses, IP addresses, card and telephone numbers. Their
 values are the protected entities. A term near an entity tells something about
 it: in bits, the pointwise mutual information of both, at most the entity's own
-information -log2 p(entity). A term discloses an entity when it
+information -log2 p(entity). A term discloses an entity when it carries at least
+``DISCLOSED`` of that.
 
-* stands near it in at least ``MIN_CONTEXTS`` different contexts (the words right
-  before and after the entity), so that copies of one passage are one witness,
-* and carries at least ``DISCLOSED`` of the entity's information.
+The share of a term's documents that have it near the entity is smoothed by half
+a document each way (Jeffreys), so an entity named once can be disclosed, by
+terms that stand hardly anywhere else, and few witnesses weigh less than many. A
+witness is a distinct text: copies of one text are one.
 
 Probabilities are shares of documents: of the whole corpus for terms and
 entities, of those with both near each other for pairs. Disclosing terms are
@@ -36,7 +38,6 @@ from figureyard.llm.common import Workspace, batches, table
 
 KINDS = ("email", "ip", "card", "phone", "term")
 NEAR = 8  # words before and after an entity
-MIN_CONTEXTS = 3
 DISCLOSED = 0.9
 BITS = 1 << 20
 
@@ -104,18 +105,27 @@ def word_hash(t: str) -> int:
     return zlib.crc32(t.encode("utf-8", "surrogatepass")) & (BITS - 1)
 
 
-def near_entities(text: str) -> Iterator[tuple[int, str, int]]:
-    """(entity, term, context) for terms within ``NEAR`` words of an entity."""
-    spans = entities(text)
-    for s, k, e in spans:
-        # enough characters for the words asked for, unless words are very long
-        before = [w for w in text[max(0, s - 400) : s].split()][-NEAR:]
-        after = text[e : e + 400].split()[:NEAR]
+def words_before(text: str, at: int) -> list[str]:
+    width = 128
+    while len(words := text[max(0, at - width) : at].split()) <= NEAR and width < at:
+        width *= 2
+    return words[-NEAR:]
+
+
+def words_after(text: str, at: int) -> list[str]:
+    width = 128
+    while len(words := text[at : at + width].split()) <= NEAR and at + width < len(text):
+        width *= 2
+    return words[:NEAR]
+
+
+def near_entities(text: str) -> Iterator[tuple[int, str]]:
+    """(entity, term) for terms within ``NEAR`` words of an entity."""
+    for s, k, e in entities(text):
         name = KINDS[k] + re.sub(r"[\x20().-]", "", text[s:e]).lower() if k > 1 else KINDS[k] + text[s:e].lower()
         entity = int.from_bytes(hashlib.blake2b(name.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
-        context = zlib.crc32(" ".join(before[-1:] + ["|"] + after[:1]).lower().encode("utf-8", "surrogatepass"))
-        for t in {t for w in before + after if (t := term(w))}:
-            yield entity, t, context
+        for t in {t for w in words_before(text, s) + words_after(text, e) if (t := term(w))}:
+            yield entity, t
 
 
 def bit_set(terms: DataFrame) -> bytes:
@@ -144,28 +154,44 @@ def passing(words: set[str], known: bytes) -> list[str]:
 
 def disclosing(work: Workspace, docs: DataFrame) -> DataFrame:
     """(term) table of the terms that disclose an entity of the corpus."""
-    schema = pa.schema([("entity", pa.int64()), ("term", pa.string()), ("context", pa.int64()), ("doc", pa.int64())])
+    schema = pa.schema([("entity", pa.int64()), ("term", pa.string()), ("doc", pa.int64()), ("first", pa.int64())])
 
     def near(columns: list) -> list[tuple]:
         out = []
         for text in columns[0]:
             if text and any(c.isdigit() or c == "@" for c in text):
                 doc = zlib.crc32(text.encode("utf-8", "surrogatepass"))
-                found = set(near_entities(text))
-                out += [(e, t, c, doc) for e, t, c in found]
+                seen: set[str] = set()
+                for e, t in set(near_entities(text)):
+                    out.append((e, t, doc, int(t not in seen)))
+                    seen.add(t)
         return out
 
     pairs = work.save(
-        docs.select("text").mapInArrow(batches(near, ["text"], schema), "entity long, term string, context long, doc long"),
+        docs.select("text").mapInArrow(batches(near, ["text"], schema), "entity long, term string, doc long, first long"),
         "near",
     )
-    # documents are counted with their copies, contexts once
+    all_docs = docs.count()
+    entity_docs = (
+        pairs.groupBy("entity", "doc").agg(F.count("*"))
+        .groupBy("entity").agg(F.count("*").alias("de"))
+    )
+    # documents are counted with their copies, witnesses once
     together = (
-        pairs.groupBy("entity", "term", "context").agg(F.count("*").alias("n"))
-        .groupBy("entity", "term").agg(F.count("*").alias("contexts"), F.sum("n").alias("n"))
-        .where(F.col("contexts") >= MIN_CONTEXTS)
+        pairs.groupBy("entity", "term", "doc").agg(F.count("*").alias("n"))
+        .groupBy("entity", "term").agg(F.count("*").alias("w"), F.sum("n").alias("n"))
     )
-    together = work.save(together, "together")
+    information = F.log2(F.lit(float(all_docs)) / F.col("de"))
+    # With share = (w + 1/2) / (w df / n + 1), information + log2(share) reaches
+    # DISCLOSED * information as long as df is at most this.
+    most = F.col("n") / F.col("w") * ((F.col("w") + 0.5) * F.pow(F.lit(2.0), information * (1 - DISCLOSED)) - 1)
+    limits = (
+        together.join(entity_docs, "entity").where(information > 0)
+        .groupBy("term").agg(F.max(most).alias("most"))
+    )
+    # the documents that have a term near any entity are the least it can have
+    least = pairs.groupBy("term").agg(F.sum("first").alias("least"))
+    together = work.save(limits.join(least, "term").where("least <= most").select("term", "most"), "together")
     found = bit_set(together.select("term"))
     schema_count = pa.schema([("term", pa.string()), ("n", pa.int64())])
 
@@ -180,7 +206,6 @@ def disclosing(work: Workspace, docs: DataFrame) -> DataFrame:
         for part in parts:
             for text in part.column("text").to_pylist():
                 seen.update(passing(set((text or "").split()), found))
-            seen[""] += part.num_rows
             if len(seen) > 100_000:
                 yield flushed()
         yield flushed()
@@ -189,18 +214,7 @@ def disclosing(work: Workspace, docs: DataFrame) -> DataFrame:
         docs.select("text").mapInArrow(count, "term string, n long")
         .groupBy("term").agg(F.sum("n").alias("df")), "frequency",
     )
-    all_docs = frequency.where("term = ''").agg(F.sum("df").alias("n")).first()["n"] or 1
-    entity_docs = (
-        pairs.groupBy("entity", "doc").agg(F.max("context"))
-        .groupBy("entity").agg(F.count("*").alias("de"))
-    )
-    share = F.least(F.lit(1.0), F.col("n") / F.col("df"))
-    information = F.log2(F.lit(float(all_docs)) / F.col("de"))
-    pmi = information + F.log2(share)
-    told = (
-        together.join(frequency, "term").join(entity_docs, "entity")
-        .where((information > 0) & (pmi >= DISCLOSED * information)).select("term").distinct()
-    )
+    told = together.join(frequency, "term").where("df <= most").select("term")
     return work.save(told, "disclosing")
 
 

@@ -84,3 +84,21 @@ def test_digests(spark):
         want = pii.written(brute(texts[r.doc_id]))
         assert r.base_sha256 == hashlib.sha256(want.encode()).hexdigest()
         assert set(want.split(",")) - {""} <= set(r.spans.split(","))
+
+
+def test_rare_entities_are_disclosed(spark):
+    """An address in one place, and one in many texts of the same template."""
+    rows = [(0, "The desk of Quillfeather (rare@one.example.com) is on this floor.")]
+    rows += [(i, f"Note {i} Email: same@two.example.com Phone: none by Vornaskel here") for i in range(1, 9)]
+    rows += [(100 + i, f"The desk is on this floor here, Email: none{i} Phone: none by hand {i}.") for i in range(200)]
+    df = spark.createDataFrame([r + ("x",) for r in rows], "doc_id long, text string, n_chars string").drop("n_chars")
+    out = {r.doc_id: r.text for r in pii.sanitised(df).collect()}
+    assert "Quillfeather" not in out[0]
+    assert not any("Vornaskel" in out[i] for i in range(1, 9))
+    assert all("<" not in out[100 + i] for i in range(200))
+
+
+def test_words_are_walked_whole():
+    long = "z" * 900
+    text = f"Quillfeather {long} a@b.co {long} Vornaskel"
+    assert {t for _, t in pii.near_entities(text)} == {"quillfeather", "vornaskel", long}
