@@ -3,6 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from figureyard.functions import pixels
 from figureyard.functions.columns import class_index
 from figureyard.functions.vectors import argmax
 from figureyard.operators import datasets, evaluation, models
@@ -14,6 +15,7 @@ from figureyard.sources import tables as t
 from figureyard.session import materialised, shared_path
 
 DIM = 64
+MAX_ITER = 3000  # of logistic probes, which stop at convergence
 
 
 def labelled(spark, d):
@@ -71,7 +73,7 @@ def zero_shot(spark, d):
 @query("ml3_logistic_probe")
 def logistic_probe(spark, d):
     e = labelled(spark, d)
-    model = models.fit_logistic(e.filter(F.col("split") == "train"), "embedding", "y4", max_iter=50)
+    model = models.fit_logistic(e.filter(F.col("split") == "train"), "embedding", "y4", max_iter=MAX_ITER)
     return _report(models.predicted(model, e, "embedding", "y4"))
 
 
@@ -79,7 +81,7 @@ def logistic_probe(spark, d):
 def deployed_probe(spark, d):
     """The deployed gate trains on every row and is saved for the scorer."""
     e = labelled(spark, d)
-    model = models.fit_logistic(e, "embedding", "y4", max_iter=50)
+    model = models.fit_logistic(e, "embedding", "y4", max_iter=MAX_ITER)
     path = shared_path(spark, "gate-model")
     model.save(path)
     score = models.batch_scorer(
@@ -95,28 +97,31 @@ def deployed_probe(spark, d):
 @query("ml4_mlp_head")
 def mlp_head(spark, d):
     e = labelled(spark, d)
-    model = models.fit_mlp(e.filter(F.col("split") == "train"), "embedding", "y4", DIM, hidden=64, max_iter=40)
+    model = models.fit_mlp(e.filter(F.col("split") == "train"), "embedding", "y4", DIM, hidden=256, max_iter=600)
     return _report(models.predicted(model, e, "embedding", "y4"))
 
 
 @query("ml5_boosted_trees")
 def boosted_trees(spark, d):
-    """Trees on the cheap shape features of crops."""
-    crops = datasets.silver_crops(t.images(spark, d), F.lit(""))
-    shape = t.images(spark, d).select(
-        "image_id",
-        F.array(
-            F.col("file_bytes").cast("double"), F.col("width").cast("double"),
-            F.col("height").cast("double"),
-            (F.greatest("width", "height") / F.greatest(F.lit(1), F.least("width", "height"))).cast("double"),
-        ).alias("shape"),
+    """Trees on the ten cheap features of crops; one without pixels has none."""
+    images = t.images(spark, d)
+    crops = datasets.silver_crops(images, F.lit(""))
+    blobs = t.table(spark, d, "documents").where(F.col("n_chars") > 0).select(
+        F.col("doc_id").alias("image_id"),
+        pixels.pixel_stats(F.encode("text", "UTF-8"), F.lit(64)).alias("px"),
+    )
+    found = pixels.crop_features(F.col("file_bytes"), F.col("width"), F.col("height"), F.col("px"))
+    shape = images.select("image_id", "file_bytes", "width", "height").join(blobs, "image_id").select(
+        "image_id", F.array(*[c.cast("double") for c in found.values()]).alias("shape")
     )
     share = F.conv(F.substring(seeded_hash(datasets.SEED, F.col("image_id")), 1, 2), 16, 10).cast("int")
     rows = crops.join(shape, "image_id").select(
         "image_id", "shape", class_index(F.col("cls")).alias("y4"),
         F.when(share < 179, "train").otherwise("test").alias("split"),
     )
-    model = models.fit_trees(rows.filter(F.col("split") == "train"), "shape", "y4", max_iter=5, depth=3)
+    # each booster reads them in every round
+    rows = materialised(rows, "crop-shapes")
+    model = models.fit_trees(rows.filter(F.col("split") == "train"), "shape", "y4", max_iter=100, depth=5)
     return _report(models.predicted(model, rows, "shape", "y4"))
 
 
@@ -147,15 +152,16 @@ def cleaned_probe(spark, d):
     )
     train, rest = e.filter(F.col("split") == "train"), e.filter(F.col("split") != "train")
     scored = models.out_of_fold(train, "image_id", "embedding", "noisy4")
-    kept = materialised(
-        models.label_issues(scored, "noisy4", "prob4", True).filter(~F.col("issue")), "kept-labels"
-    )
+    rounds = [("none", train)]
+    for rule, confident in (("conservative", True), ("aggressive", False)):
+        kept = models.label_issues(scored, "noisy4", "prob4", confident).filter(~F.col("issue"))
+        rounds.append((rule, materialised(kept.select(train.columns), f"kept-labels-{rule}")))
     parts = []
-    for name, rows in (("none", train), ("conservative", kept.select(train.columns))):
-        model = models.fit_logistic(rows, "embedding", "noisy4", max_iter=30)
+    for name, rows in rounds:
+        model = models.fit_logistic(rows, "embedding", "noisy4", max_iter=MAX_ITER)
         out = _report(models.predicted(model, rest, "embedding", "noisy4"))
         parts.append(out.withColumn("cleaning", F.lit(name)))
-    return parts[0].unionByName(parts[1])
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 @query(
