@@ -38,6 +38,23 @@ def words_of(text: Column, spaces: str = r"[\x20\x09-\x0D]+") -> Column:
     return F.array_remove(F.split(text, spaces), "")
 
 
+# Bytes outside the pattern [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ of lower-cased text are
+# white space here; as all bytes of other characters are above 0x7F, working on
+# UTF-8 gives the same words as working on code points.
+BETWEEN = bytes([*range(0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)])
+ALNUM = bytes.maketrans(UPPER.encode() + BETWEEN, LOWER.encode() + b" " * len(BETWEEN))
+
+
+def alnum_words(text: str | None) -> list[bytes]:
+    """Words of letters and digits, A-Z lower-cased."""
+    return (text or "").encode("utf-8", "surrogatepass").translate(ALNUM).split()
+
+
+def alnum_words_of(text: Column) -> Column:
+    """The same as an array of strings (null: null)."""
+    return words_of(F.translate(text, UPPER, LOWER), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
 class Workspace:
     """Tables of one job in the shared folder: written once, read back, and
     removed as soon as nothing later reads them."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from figureyard.llm import fingerprint, language, minhash, mixing, packing, pii, quality, tokenstore, toxicity, urls
+from figureyard.llm import fingerprint, language, minhash, mixing, packing, periodic, pii, quality, tokenstore, toxicity, urls
 
 QUERIES = {
     "op1_quality_rules": quality.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_disclosing_terms": pii.query,
     "op9_toxic_passages": toxicity.query,
     "op10_byte_language": language.query,
+    "op12_periodic_runs": periodic.query,
 }
 
 SQL = {
