@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from figureyard.llm import fingerprint, language, minhash, mixing, packing, periodic, pii, quality, tokenstore, toxicity, urls
+from figureyard.llm import (
+    fingerprint, fmindex, language, minhash, mixing, packing, periodic, pii, quality, tokenstore, toxicity, urls,
+)
 
 QUERIES = {
     "op1_quality_rules": quality.query,
@@ -15,6 +17,7 @@ QUERIES = {
     "op8_disclosing_terms": pii.query,
     "op9_toxic_passages": toxicity.query,
     "op10_byte_language": language.query,
+    "op11_fm_index": fmindex.query,
     "op12_periodic_runs": periodic.query,
 }
 
@@ -22,4 +25,5 @@ SQL = {
     "op1_quality_rules": quality.SQL,
     "op2_minhash_near_dedup": minhash.SQL,
     "op3_url_model_ratio": urls.SQL,
+    "op11_fm_index": fmindex.SQL,
 }
