@@ -5,7 +5,7 @@ one row for each: the Burrows-Wheeler transform of its words as a wavelet matrix
 (bits, a level for each bit of a word's number), and every ``EVERY``-th position
 of each document with the suffixes it belongs to marked. Documents end in marks
 that differ from each other, so no phrase crosses two documents and suffixes are
-told apart at the end of a document at the latest. A document longer than a shard
+told apart at the end of a document at the latest. Words go by 64-bit hashes. A document longer than a shard
 lies in several, which overlap by one word less than the longest phrase.
 
 ``search`` takes test phrases in blocks of bounded size, one pass over the index
@@ -26,7 +26,6 @@ hits nothing, one of documents gives an empty result. Extra columns are ignored
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from figureyard.llm.common import Workspace, alnum_words, alnum_words_of, table
+from figureyard.llm.wordhash import word_hashes
 
 WINDOW = 10
 SHARD = 1 << 19  # words
@@ -178,7 +178,7 @@ def built(x: np.ndarray, starts: np.ndarray, top: int) -> tuple[bytes, list[byte
     order = suffix_order(x, top)
     offset = np.arange(len(x)) - np.repeat(starts, np.diff(np.r_[starts, len(x)]))
     sampled = (offset % EVERY == 0)[order]
-    bwt, levels = x[order - 1], []
+    bwt, levels = x[order - 1].astype(np.int32), []
     for b in range(top.bit_length() - 1, -1, -1):
         bit = (bwt >> b) & 1 != 0
         levels.append(packed(bit))
@@ -193,36 +193,36 @@ def build(docs: DataFrame, overlap: int = WINDOW - 1, shard: int | None = None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 33
-        numbers: defaultdict[bytes, int] = defaultdict()
-        numbers.default_factory = lambda: len(numbers) + 1
         pieces: list[tuple[int, int | None, int, int, np.ndarray]] = []
         held = 0
 
         def flushed() -> pa.RecordBatch:
-            lengths = [len(p[4]) for p in pieces]
-            x = np.zeros(sum(lengths) + len(pieces), np.int64)
-            starts = np.cumsum([0, *(n + 1 for n in lengths)])[:-1]
-            for s, p in zip(starts, pieces):
-                x[s : s + len(p[4])] = p[4]
-            counts, levels, marks, places = built(x, starts, max(1, len(numbers)))
+            lengths = np.array([len(p[4]) for p in pieces])
+            starts = np.cumsum(np.r_[0, lengths[:-1] + 1])
+            vocabulary, number = np.unique(np.concatenate([p[4] for p in pieces]), return_inverse=True)
+            x = np.zeros(int(lengths.sum()) + len(pieces), np.int64)
+            ends = np.zeros(len(x), bool)
+            ends[starts + lengths] = True
+            x[~ends] = number + 1
+            counts, levels, marks, places = built(x, starts, max(1, len(vocabulary)))
             keys, ids, totals, firsts, _ = map(list, zip(*pieces))
-            out = [keys, ids, totals, firsts, lengths, b" ".join(numbers), counts, levels, marks, places]
+            out = [keys, ids, totals, firsts, lengths, vocabulary.astype("<u8").tobytes(), counts, levels, marks, places]
             pieces.clear()
-            numbers.clear()
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(out, INDEX)], schema=INDEX)
 
         for b in batches:
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text")):
-                words = alnum_words(text.as_py())
-                for first in range(0, max(1, len(words)), size):
-                    part = words[first : first + size + overlap]
-                    if held and held + len(part) + 1 > size:
-                        yield flushed()
-                        held = 0
-                    x = np.fromiter(map(numbers.__getitem__, part), np.int64, len(part))
-                    pieces.append((row, doc, len(words), first, x))
-                    held += len(part) + 1
-                row += 1
+            for at in range(0, b.num_rows, 256):
+                part = b.slice(at, 256)
+                hashes, sizes = word_hashes(part.column("text").to_pylist())
+                for doc, words in zip(part.column("doc_id").to_pylist(), np.split(hashes, np.cumsum(sizes)[:-1])):
+                    for first in range(0, max(1, len(words)), size):
+                        piece = words[first : first + size + overlap]
+                        if held and held + len(piece) + 1 > size:
+                            yield flushed()
+                            held = 0
+                        pieces.append((row, doc, len(words), first, piece))
+                        held += len(piece) + 1
+                    row += 1
         if pieces:
             yield flushed()
 
@@ -252,7 +252,8 @@ class Phrases:
         for item, window in rows:
             key = tuple(words.setdefault(w.encode(), len(words)) for w in window)
             known.setdefault(key, set()).add(names.setdefault(item, len(names)))
-        self.items, self.words = list(names), list(words)
+        self.items = list(names)
+        self.words = word_hashes([" ".join(w.decode() for w in words)])[0]
         self.lengths = np.array([len(k) for k in known], np.int64)
         self.phrases = np.full((len(known), int(self.lengths.max(initial=1))), -1, np.int64)
         for i, k in enumerate(known):
@@ -269,9 +270,11 @@ class Phrases:
         return place, self.owners[self.owner_cuts[chosen][place] + inside]
 
 
-def found(index: Shard, starts: np.ndarray, block: Phrases, numbers: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+def found(index: Shard, starts: np.ndarray, block: Phrases, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(which words of the shard are hit, distinct pairs document * items + item)."""
-    mine = np.array([numbers.get(w, 0) for w in block.words] + [0], np.int64)
+    place = np.minimum(np.searchsorted(vocabulary, block.words), max(0, len(vocabulary) - 1))
+    there = vocabulary[place] == block.words if len(vocabulary) else np.zeros(len(place), bool)
+    mine = np.r_[np.where(there, place + 1, 0), 0]
     low, high = index.ranges(mine[block.phrases], block.lengths)
     some = np.flatnonzero(high > low)
     cuts = np.r_[0, np.cumsum(high[some] - low[some])]
@@ -312,13 +315,12 @@ def search(index: DataFrame, rows: list[tuple[str, list[str]]], all_docs: bool)
                 get = lambda c: b.column(c)[r]  # noqa: B023, E731
                 lengths = get("lengths").values.to_numpy()
                 starts = np.cumsum(np.r_[0, lengths[:-1] + 1])
-                vocabulary = get("vocabulary").as_py().split()
-                numbers = {w: i + 1 for i, w in enumerate(vocabulary)}
+                vocabulary = np.frombuffer(get("vocabulary").as_py(), "<u8")
                 shard = Shard(
                     np.frombuffer(get("counts").as_py(), "<i4").astype(np.int64), get("levels").as_py(),
                     get("marks").as_py(), np.frombuffer(get("places").as_py(), "<i4").astype(np.int64),
                 )
-                hit, pairs = found(shard, starts, block, numbers)
+                hit, pairs = found(shard, starts, block, vocabulary)
                 edge = np.flatnonzero(np.diff(np.r_[False, hit, False]))
                 begin, end = edge[::2], edge[1::2]
                 of = np.searchsorted(starts, begin, "right") - 1
