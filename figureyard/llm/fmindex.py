@@ -38,7 +38,7 @@ from figureyard.llm.common import Workspace, alnum_words, alnum_words_of, table
 from figureyard.llm.wordhash import word_hashes
 
 WINDOW = 10
-SHARD = 1 << 19  # words
+SHARD = 1 << 18  # words
 EVERY = 16  # positions for each sample
 BLOCK_ROWS, BLOCK_BYTES = 100_000, 1 << 24  # phrases searched together
 FOUND = 1 << 18  # occurrences located together

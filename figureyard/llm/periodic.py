@@ -138,7 +138,7 @@ def collapsed(words: list[bytes], found: list[tuple[int, int, int]]) -> bytes:
     return b" ".join(words)
 
 
-def periodic_runs(docs: DataFrame, times: int = TIMES, least: int = LEAST) -> DataFrame:
+def periodic_runs(docs: DataFrame, times: int = TIMES, least: int = LEAST, group: int = GROUP) -> DataFrame:
     """doc_id, n_words, runs (start, length, period; by start, then period) and the
     collapsed text of every row of ``docs``."""
     schema = pa.schema(
@@ -169,7 +169,7 @@ def periodic_runs(docs: DataFrame, times: int = TIMES, least: int = LEAST) -> Da
             ids, texts, held = [], [], 0
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text")):
                 words = (text.as_py() or "").encode("utf-8", "surrogatepass").split()
-                if ids and (held + len(words) > GROUP or len(ids) >= 2048):
+                if ids and (held + len(words) > group or len(ids) >= 2048):
                     yield scanned(ids, texts)
                     ids, texts, held = [], [], 0
                 ids.append(doc)

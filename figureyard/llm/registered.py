@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from figureyard.llm import (
-    fingerprint, fmindex, language, minhash, mixing, packing, periodic, pii, quality, tokenstore, toxicity, urls,
+    dualtree, fingerprint, fmindex, language, minhash, mixing, packing, periodic, pii, quality, tokenstore, toxicity, urls,
 )
 
 QUERIES = {
@@ -19,6 +19,7 @@ QUERIES = {
     "op10_byte_language": language.query,
     "op11_fm_index": fmindex.query,
     "op12_periodic_runs": periodic.query,
+    "op13_dual_tree_search": dualtree.query,
 }
 
 SQL = {
@@ -26,4 +27,5 @@ SQL = {
     "op2_minhash_near_dedup": minhash.SQL,
     "op3_url_model_ratio": urls.SQL,
     "op11_fm_index": fmindex.SQL,
+    "op13_dual_tree_search": dualtree.SQL,
 }

@@ -7,7 +7,6 @@ import zlib
 import numpy as np
 import pytest
 
-from figureyard.llm import periodic
 from figureyard.llm.periodic import periodic_runs, planted, query, runs, segments
 from pyspark.sql import functions as F
 
@@ -101,7 +100,7 @@ def test_query_against_the_definition(spark):
     assert sum(r[1] for r in want) > 10
 
 
-def test_odd_rows(odd_docs, no_docs, monkeypatch):
+def test_odd_rows(odd_docs, no_docs):
     text = planted(F.col("doc_id"), F.col("text"))
     rows = periodic_runs(odd_docs.withColumn("text", text)).collect()
     assert len(rows) == 8
@@ -109,5 +108,5 @@ def test_odd_rows(odd_docs, no_docs, monkeypatch):
     assert by[2]["n_words"] == by[3]["n_words"] == by[5]["n_words"] == 0 and by[2]["collapsed"] == ""
     assert [tuple(r) for r in by[4]["runs"]] == [(0, 24_000, 4)] and by[4]["collapsed"] == "Long words stand here."
     assert periodic_runs(no_docs).collect() == []
-    monkeypatch.setattr(periodic, "GROUP", 10)
-    assert sorted(r["n_words"] for r in periodic_runs(odd_docs).collect()) == sorted(r["n_words"] for r in rows)
+    alone = periodic_runs(odd_docs.withColumn("text", text), group=10).collect()
+    assert sorted(map(str, alone)) == sorted(map(str, rows))

@@ -22,4 +22,4 @@ def test_entry_lists_queries():
 
     names = set(entry.queries())
     assert set(registered.QUERIES) | {"pipeline"} <= names
-    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11))
+    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 14))
