@@ -304,12 +304,11 @@ def query(spark: SparkSession, folder: str) -> DataFrame:
 
 SQL = r"""
 WITH words AS (
-  SELECT doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'),
-         x -> translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS w FROM documents),
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 tests AS (
-  SELECT DISTINCT item_id, unnest(list_transform(
-         regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'),
-         x -> translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))) AS t FROM benchmark),
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS t FROM benchmark),
 total AS (SELECT count(*)::BIGINT AS n_docs, sum(len(w))::BIGINT AS l FROM words WHERE len(w) > 0),
 tf AS (SELECT doc_id, n, t, count(*)::BIGINT AS tf
        FROM (SELECT doc_id, len(w)::BIGINT AS n, unnest(w) AS t FROM words) GROUP BY ALL),
