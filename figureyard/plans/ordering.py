@@ -56,12 +56,12 @@ _POSITIONS = """
       SELECT u.uid, m.image_id, m.pos, row_number() OVER (PARTITION BY u.uid ORDER BY m.pos) AS rn
       FROM (SELECT DISTINCT user_id AS uid FROM events) u, m
       WHERE NOT EXISTS (SELECT 1 FROM downloads_v x WHERE x.uid = u.uid AND x.image_id = m.image_id))
-    WHERE rn <= 50
+    WHERE rn <= 200
     """,
 )
 def next_items_per_user(spark, d):
     users = t.table(spark, d, "events").select(F.col("user_id").alias("uid"))
-    out = delivery.pending_items(positioned_manifest(spark, d), users, t.downloads(spark, d), 50)
+    out = delivery.pending_items(positioned_manifest(spark, d), users, t.downloads(spark, d))
     return out.select("uid", "image_id", "pos", "rn")
 
 

@@ -3,16 +3,16 @@
 from pyspark.sql import functions as F
 
 from figureyard.functions.columns import utc_instant
-from figureyard.operators.ranking import id_bucket
+from figureyard.operators.ranking import id_bucket, rank_within
 from figureyard.plans.catalog import query
 from figureyard.plans.joining import positioned_manifest
 from figureyard.plans.registration import _LOG_SQL
 from figureyard.plans.storage import _GALLERY, ARCHIVE_CAP, ARCHIVE_SQL, gallery_images
 from figureyard.schemas import TABLES
-from figureyard.session import shared_path
+from figureyard.session import materialised, shared_path
 from figureyard.sinks import stores
 from figureyard.sources import tables as t
-from figureyard.streaming import jobs
+from figureyard.streaming import intake, jobs
 
 
 def _arriving(spark, df, order, parts=3):
@@ -125,12 +125,8 @@ def intake_control(spark, d):
 def refreshed_gallery(spark, d):
     g = gallery_images(spark, d).drop("p_diagram")
     schema = ", ".join(f"{n} {ty}" for n, ty in g.dtypes)
-    table = jobs.refreshed_snapshot(
-        _arriving(spark, g, "image_id"), stores.gallery_lines, schema, "name",
-        "category STRING, name STRING, line STRING",
-    )
-    last = table.rows().agg(F.max("batch")).scalar()
-    return table.rows().filter(F.col("batch") == last).drop("batch")
+    published = jobs.refreshed_snapshot(_arriving(spark, g, "image_id"), schema, "name")
+    return stores.gallery_lines(published.rows())
 
 
 @query("str7_archive_stream", f"SELECT field, image_id, batch AS archive_no FROM ({ARCHIVE_SQL})")
@@ -151,12 +147,43 @@ def archive_stream(spark, d):
          a AS (SELECT DISTINCT user_id AS uid, {_PART.format(k="event_id")} AS batch
                FROM events, (SELECT max(event_id) AS top FROM events)),
          r AS (SELECT uid, batch, row_number() OVER (PARTITION BY uid ORDER BY batch) AS nth FROM a)
-    SELECT uid, image_id, batch FROM r JOIN m ON m.pos > 25 * (nth - 1) AND m.pos <= 25 * nth
+    SELECT uid, image_id, batch FROM r JOIN m ON m.pos > 200 * (nth - 1) AND m.pos <= 200 * nth
     """,
 )
 def delivery_stream(spark, d):
     requests = t.table(spark, d, "events").select(F.col("user_id").alias("uid"), "event_id")
-    table = jobs.delivery_stream(
-        _arriving(spark, requests, "event_id"), positioned_manifest(spark, d), 25
+    return jobs.delivery_stream(_arriving(spark, requests, "event_id"), positioned_manifest(spark, d)).rows()
+
+
+@query(
+    "str5_governed_intake",
+    """
+    WITH RECURSIVE q AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS pos, event_type = 'purchase' AS success FROM events),
+      t AS (SELECT count(*) AS n FROM q),
+      c AS (SELECT -1 AS cycle, 0 AS admitted, 0 AS done, 0 AS successes, 'run' AS action FROM t
+            UNION ALL
+            SELECT cycle + 1, a, least(done + n // 16, a), (SELECT count(*) FILTER (success) FROM q WHERE pos < least(done + n // 16, a)), act
+            FROM (SELECT *, CASE act WHEN 'run' THEN least(n, admitted + n // 10) ELSE admitted END AS a
+                  FROM (SELECT c.* EXCLUDE (action), n, CASE WHEN admitted >= n THEN 'end'
+                               WHEN least(n, admitted + n // 10) - done > n // 5 THEN 'pause' ELSE 'run' END AS act
+                        FROM c, t WHERE successes < n // 10 AND done < n)))
+    SELECT CAST(cycle AS BIGINT) AS cycle, action, CAST(admitted AS BIGINT) AS admitted, CAST(done AS BIGINT) AS done,
+           CAST(admitted - done AS BIGINT) AS waiting, CAST(successes AS BIGINT) AS successes
+    FROM c WHERE cycle >= 0
+    """,
+)
+def governed_intake(spark, d):
+    """Events as the queue: intake takes a tenth of it a turn and stops at a fifth
+    waiting, the worker a sixteenth, until a tenth of the queue are purchases."""
+    events = t.table(spark, d, "events").select("event_id", "event_type")
+    ranked = rank_within(events, [], [F.col("event_id")], [id_bucket(F.col("event_id"))], "rn")
+    queue = materialised(ranked.select((F.col("rn") - 1).alias("pos"), "event_id", "event_type"), "intake-queue")
+    n = queue.count()
+
+    def work(rows):
+        return rows.select("pos", (F.col("event_type") == "purchase").alias("success"))
+
+    return intake.governed_intake(
+        queue, shared_path(spark, "intake"), work, "pos LONG, success BOOLEAN",
+        target=n // 10, admit=n // 10, capacity=n // 16, backlog=n // 5,
     )
-    return table.rows()

@@ -17,9 +17,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from figureyard.operators import batching, delivery
-from figureyard.operators.ranking import first_per_key, latest_per_key
+from figureyard.operators.ranking import latest_per_key
 from figureyard.operators.reports import side_by_side
 from figureyard.session import shared_path
+from figureyard.streaming import keyed
+from figureyard.streaming.snapshots import Snapshot
 
 BACKLOG_PAGES = 3000  # fixed value: waiting pages above which intake pauses
 
@@ -96,15 +98,11 @@ class BatchTable:
 
 
 def register_stream(feed: Feed, arrival: str, schema: str) -> BatchTable:
-    """First arrival per version-less id over all batches, without a time bound."""
+    """First arrival per version-less id over all batches, without a time bound:
+    which ids are known is keyed state, so the registry is never read again."""
     table = feed.table("registry", schema)
-
-    def sink(batch: DataFrame, batch_id: int) -> None:
-        first = first_per_key(batch, ["base_id"], F.col(arrival))
-        known = table.rows(before=batch_id).select("base_id")
-        table.put(first.join(known, "base_id", "left_anti"), batch_id)
-
-    drain(feed, sink)
+    with keyed.on_rocksdb(feed.spark):
+        drain(feed.map(lambda rows: keyed.first_arrivals(rows, "base_id", arrival)), table.put)
     return table
 
 
@@ -200,17 +198,13 @@ def run_until(feed: Feed, target: int, poll: float = 1.0) -> int:
     return done()
 
 
-def refreshed_snapshot(feed: Feed, build: Callable[[DataFrame], DataFrame], schema: str,
-                       key: str, out_schema: str) -> BatchTable:
-    """Rewrite the published snapshot from all rows seen, once per batch. A
-    service triggers this every few minutes."""
-    seen = feed.table("snapshot-input", schema)
-    out = feed.table("snapshot", out_schema)
+def refreshed_snapshot(feed: Feed, schema: str, key: str) -> Snapshot:
+    """Publish the latest row of each key, once per batch; a batch writes its
+    changes only. A service triggers this every few minutes."""
+    out = Snapshot(feed.spark, f"{feed.home}/snapshot", [key], schema)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        seen.put(batch, batch_id)
-        current = latest_per_key(seen.rows(before=batch_id + 1), [key], F.col("batch"))
-        out.put(build(current.drop("batch")), batch_id)
+        out.put(batch.dropDuplicates([key]), batch_id)
 
     drain(feed, sink)
     return out
@@ -233,16 +227,16 @@ def archive_stream(feed: Feed, group: str, key: str, size: str, bucket: Column,
     return table
 
 
-def delivery_stream(feed: Feed, manifest: DataFrame, chunk: int) -> BatchTable:
-    """Every batch delivers the next items to the users that asked in it."""
+def delivery_stream(feed: Feed, manifest: DataFrame, chunk: int = delivery.CHUNK) -> BatchTable:
+    """Every batch delivers the next items of ``manifest`` (numbered by ``pos``
+    from 1) to the users that asked in it; how far a user has come is keyed state."""
     table = feed.table("deliveries", "uid BIGINT, image_id BIGINT")
+    total = manifest.agg(F.coalesce(F.max("pos"), F.lit(0)).alias("n")).first()["n"]
 
-    def sink(batch: DataFrame, batch_id: int) -> None:
-        had = table.rows(before=batch_id).select("uid", "image_id")
-        users = batch.select("uid").distinct()
-        mine = had.join(users, "uid", "left_semi")
-        items = delivery.pending_items(manifest, users, mine, chunk)
+    def sink(ranges: DataFrame, batch_id: int) -> None:
+        items = keyed.positions(ranges).join(manifest, "pos")
         table.put(items.select("uid", "image_id"), batch_id)
 
-    drain(feed, sink)
+    with keyed.on_rocksdb(feed.spark):
+        drain(feed.map(lambda rows: keyed.next_ranges(rows, "uid", chunk, total)), sink)
     return table
