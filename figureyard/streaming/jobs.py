@@ -102,7 +102,7 @@ def register_stream(feed: Feed, arrival: str, schema: str) -> BatchTable:
     which ids are known is keyed state, so the registry is never read again."""
     table = feed.table("registry", schema)
     with keyed.on_rocksdb(feed.spark):
-        drain(feed.map(lambda rows: keyed.first_arrivals(rows, "base_id", arrival)), table.put)
+        drain(feed.map(lambda rows: keyed.first_arrivals(rows, "base_id", arrival)), table.put, "update")
     return table
 
 

@@ -3,8 +3,8 @@
 The work of a micro-batch depends on its own keys only, never on how many came
 before: state is read and written by key, kept by RocksDB outside the heap and
 checkpointed with the offsets, so a restart goes on and a replay repeats itself.
-Copies of a key inside an Arrow batch are reduced to one row before the shuffle,
-so a key that holds most of a micro-batch does not reach one task whole.
+Copies of a key are combined before the shuffle, so a key that holds most of a
+micro-batch does not reach one task whole.
 """
 
 from __future__ import annotations
@@ -40,22 +40,20 @@ def on_rocksdb(spark: SparkSession) -> Iterator[None]:
 
 def first_arrivals(stream: DataFrame, key: str, arrival: str) -> DataFrame:
     """Rows whose ``key`` was never seen before: in a micro-batch the one with the
-    smallest ``arrival``, over micro-batches the earliest. A null key is a key."""
-
-    def local(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            yield p.sort_values(arrival, kind="stable").drop_duplicates(key)
-
-    def new(_: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.exists:
-            return
-        rows = pd.concat(list(parts))
-        state.update((True,))
-        yield rows.sort_values(arrival, kind="stable").head(1)
-
+    smallest ``arrival``, over micro-batches the earliest. A null key is a key.
+
+    An aggregation in the JVM, combined before the shuffle; run it in update mode.
+    A micro-batch has one time, the same when it is replayed, by which a key's first
+    row tells whether it came just now.
+    """
+    now = F.current_timestamp().alias("__at")
+    row = F.struct(*[c for c in stream.columns if c != key])
+    order = F.struct("__at", arrival)
     return (
-        stream.mapInPandas(local, stream.schema).groupBy(key)
-        .applyInPandasWithState(new, stream.schema, "seen BOOLEAN", "append", GroupStateTimeout.NoTimeout)
+        stream.select("*", now).groupBy(key)
+        .agg(F.min_by(row, order).alias("__row"), F.min("__at").alias("__first"), F.max("__at").alias("__last"))
+        .filter(F.col("__first") == F.col("__last"))
+        .select(*[F.col(key) if c == key else F.col("__row")[c].alias(c) for c in stream.columns])
     )
 
 
