@@ -13,6 +13,7 @@ import json
 import os
 import re
 import unicodedata
+from collections.abc import Iterator
 from functools import cache
 from pathlib import Path
 
@@ -22,6 +23,8 @@ import regex
 import tiktoken
 from tokenizers import Tokenizer
 
+from figureyard.llm import wordhash
+
 KNOWN = 300_000  # remembered pieces in a task
 KNOWN_PARTS = 600_000  # remembered parts in a worker
 # Letters that lower-casing and composition treat one by one, and ASCII marks.
@@ -106,6 +109,115 @@ class PartIds(WordIds):
             return [known[p] for p in parts]
 
 
+# Kinds of the Latin-1 bytes of a plain lower-cased text: white space, letters,
+# digits (each a part of its own), marks.
+KINDS = np.array([1 if chr(b).isalpha() else 2 if 48 <= b < 58 else 0 if b in b" \t\n\v\f\r" else 3 for b in range(256)], np.uint8)
+CUT = 1 << 20  # bytes handled together, if no part is longer
+
+
+def part_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, begin, end) of every part of a plain text as Latin-1 bytes."""
+    x = np.frombuffer(data, np.uint8)
+    kind = KINDS[x]
+    before = np.r_[np.uint8(0), kind[:-1]]
+    begin = np.flatnonzero((kind != 0) & ((kind != before) | (kind == 2)))
+    stops = np.flatnonzero((kind != before) | (kind == 2))
+    end = np.r_[stops, len(x)][np.searchsorted(stops, begin) + 1]
+    return wordhash.of_ranges(x, begin, end), begin, end
+
+
+class BlockIds(PartIds):
+    """The same ids for many texts at once: parts are hashed in blocks (64 bits keep
+    them apart), each distinct part of a block is looked up once, and ids are
+    gathered by numpy."""
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        self.slots: dict[int, int] = {}
+        self.flat, self.cuts, self.used = np.empty(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), 0
+
+    def learn(self, parts: list[bytes], hashes: list[int]) -> None:
+        lists = [self.merge(p.decode("latin-1").encode() + WORD_END) for p in parts]
+        n, total = len(self.slots), self.used + sum(map(len, lists))
+        while len(self.cuts) <= n + len(parts):
+            self.cuts = np.r_[self.cuts, np.zeros_like(self.cuts)]
+        while len(self.flat) < total:
+            self.flat = np.r_[self.flat, np.zeros_like(self.flat)]
+        self.flat[self.used : total] = np.fromiter((i for ids in lists for i in ids), np.uint32, total - self.used)
+        self.cuts[n + 1 : n + 1 + len(parts)] = self.used + np.cumsum([len(ids) for ids in lists])
+        self.slots.update(zip(hashes, range(n, n + len(parts))))
+        self.used = total
+
+    def block(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(slot, number of ids, begin) of every part of ``data``."""
+        hashes, begin, end = part_hashes(data)
+        distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        keys = distinct.tolist()
+        if len(self.slots) + len(keys) > KNOWN_PARTS:
+            self.slots, self.used = {}, 0
+        new = [i for i, k in enumerate(keys) if k not in self.slots]
+        if new:
+            at = first[new]
+            self.learn([data[a:b] for a, b in zip(begin[at].tolist(), end[at].tolist())], [keys[i] for i in new])
+        slot = np.fromiter(map(self.slots.__getitem__, keys), np.int64, len(keys))
+        return slot[inverse], (self.cuts[slot + 1] - self.cuts[slot])[inverse], begin
+
+    def blocks(self, texts: list[str | None]) -> Iterator[tuple[int, np.ndarray | None, np.ndarray]]:
+        """(place of the text, slots or None, ids or their numbers) piece by piece:
+        with slots for plain texts, else the ids themselves."""
+        held: list[tuple[int, bytes]] = []
+        size = 0
+        for i, text in enumerate(texts):
+            text = text or ""
+            if not PLAIN_TEXT.fullmatch(text):
+                if text:
+                    yield i, None, np.frombuffer(self.text(text), "<u4")
+                continue
+            data = text.lower().encode("latin-1")
+            while len(data) > CUT:
+                cut = max(data.rfind(c, 0, CUT) for c in (b" ", b"\n", b"\t"))
+                if cut <= 0:
+                    break
+                yield from self.pieces([(i, data[:cut])])
+                data = data[cut:]
+            if size + len(data) > CUT and held:
+                yield from self.pieces(held)
+                held, size = [], 0
+            held.append((i, data))
+            size += len(data) + 1
+        if held:
+            yield from self.pieces(held)
+
+    def pieces(self, held: list[tuple[int, bytes]]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        slot, n, begin = self.block(b" ".join(d for _, d in held))
+        edges = np.searchsorted(begin, np.cumsum([0, *(len(d) + 1 for _, d in held)]))
+        for (i, _), a, b in zip(held, edges, edges[1:]):
+            yield i, slot[a:b], n[a:b]
+
+    def numbers(self, texts: list[str | None]) -> np.ndarray:
+        """How many ids each text has."""
+        out = np.zeros(len(texts), np.int64)
+        for i, slot, n in self.blocks(texts):
+            out[i] += len(n) if slot is None else int(n.sum())
+        return out
+
+    def arrays(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each text."""
+        parts: list[list[np.ndarray]] = [[] for _ in texts]
+        for i, slot, n in self.blocks(texts):
+            if slot is not None:
+                at = np.repeat(self.cuts[slot] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+                n = self.flat[at]
+            parts[i].append(n)
+        return [np.concatenate([*p, np.empty(0, np.uint32)]) for p in parts]
+
+
+@cache
+def block_ids(path: str) -> BlockIds:
+    """One for each file and process."""
+    return BlockIds(path)
+
+
 @cache
 def part_ids(path: str) -> PartIds:
     """One for each file and process, so that tasks that follow each other in a

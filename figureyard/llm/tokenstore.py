@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from figureyard.llm.common import table
-from figureyard.llm.tokens import part_ids, public_file
+from figureyard.llm.tokens import block_ids, public_file
 from figureyard.session import shared_path
 
 HEAD = "<qqi"
@@ -53,6 +53,7 @@ ROUNDS = 6
 SAMPLED = 64
 TOKENIZER, LENGTH = "word_bpe_49k.json", 1024
 ID_SIZE = 2  # bytes of an id of a sub-word vocabulary
+TEXTS = 256  # encoded together
 
 def round_keys(key: int) -> np.ndarray:
     return np.random.default_rng(key).integers(1, 2**63, ROUNDS, dtype=np.uint64)
@@ -97,10 +98,6 @@ def sequences(docs: DataFrame, length: int) -> DataFrame:
 SEQUENCE = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("ids", pa.binary())])
 
 
-def narrow_ids(tokenizer: str, text: str | None) -> bytes:
-    return np.frombuffer(b"".join(part_ids(tokenizer).ids(text)), "<u4").astype("<u2").tobytes()
-
-
 def token_sequences(docs: DataFrame, length: int, tokenizer: str) -> DataFrame:
     """doc_id, start, ids: the text's ids by the file ``tokenizer``, little-endian
     16 bits each, in pieces of ``length`` ids."""
@@ -111,16 +108,19 @@ def token_sequences(docs: DataFrame, length: int, tokenizer: str) -> DataFrame:
             found.clear()
             return out
 
-        if part_ids(tokenizer).whole.get_vocab_size() > 1 << (8 * ID_SIZE):
+        coder = block_ids(tokenizer)
+        if coder.whole.get_vocab_size() > 1 << (8 * ID_SIZE):
             raise ValueError(f"the vocabulary of {tokenizer} does not fit {ID_SIZE} bytes")
         found: list[tuple] = []
         for b in batches:
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
-                ids = narrow_ids(tokenizer, text)
-                for start in range(0, len(ids) // ID_SIZE, length):
-                    found.append((doc, start, ids[ID_SIZE * start : ID_SIZE * (start + length)]))
-                    if len(found) >= 1024:
-                        yield flushed()
+            for at in range(0, b.num_rows, TEXTS):
+                part = b.slice(at, TEXTS)
+                for doc, ids in zip(part.column("doc_id").to_pylist(), coder.arrays(part.column("text").to_pylist())):
+                    data = ids.astype("<u2").tobytes()
+                    for start in range(0, len(ids), length):
+                        found.append((doc, start, data[ID_SIZE * start : ID_SIZE * (start + length)]))
+                        if len(found) >= 1024:
+                            yield flushed()
         if found:
             yield flushed()
 
@@ -131,10 +131,10 @@ def token_sequence_counts(docs: DataFrame, length: int, tokenizer: str) -> DataF
     """part, count: how many sequences each partition of ``token_sequences`` has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, coder = 0, part_ids(tokenizer)
+        n, coder = 0, block_ids(tokenizer)
         for b in batches:
-            for text in b.column("text").to_pylist():
-                n += -(-sum(map(len, coder.ids(text))) // (4 * length))
+            for at in range(0, b.num_rows, TEXTS):
+                n += int((-(-coder.numbers(b.slice(at, TEXTS).column("text").to_pylist()) // length)).sum())
         if n:
             columns = [pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([n], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=["part", "count"])

@@ -25,22 +25,26 @@ def powers(base: int, n: int) -> np.ndarray:
 _known = [powers(BASE, BLOCK), powers(UNDO, BLOCK)]
 
 
-def of_block(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, first byte) of every word of ``data``, which ALNUM has translated."""
-    x = np.frombuffer(data, np.uint8)
+def of_ranges(x: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the bytes [begin, end) of ``x``."""
     n = len(x)
     if n >= len(_known[0]):
         times, undo = powers(BASE, n), powers(UNDO, n)
     else:
         times, undo = _known
-    edge = np.flatnonzero(np.diff(np.r_[False, x != 32, False]))
-    begin, end = edge[::2], edge[1::2]
     sums = np.empty(n + 1, np.uint64)
     sums[0] = 0
     np.cumsum(VALUES[x] * times[:n], out=sums[1:])
     h = (sums[end] - sums[begin]) * undo[begin]
     h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    return h ^ (h >> np.uint64(29)), begin
+    return h ^ (h >> np.uint64(29))
+
+
+def of_block(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, first byte) of every word of ``data``, which ALNUM has translated."""
+    x = np.frombuffer(data, np.uint8)
+    edge = np.flatnonzero(np.diff(np.r_[False, x != 32, False]))
+    return of_ranges(x, edge[::2], edge[1::2]), edge[::2]
 
 
 def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:

@@ -73,7 +73,7 @@ def test_query_stores_token_ids(spark):
 
 
 def test_part_ids_are_the_word_ids(odd_docs):
-    from figureyard.llm.tokens import PartIds, WordIds, public_file
+    from figureyard.llm.tokens import BlockIds, PartIds, WordIds, public_file
 
     path = public_file("word_bpe_49k.json")
     one, two = WordIds(path), PartIds(path)
@@ -82,6 +82,11 @@ def test_part_ids_are_the_word_ids(odd_docs):
     ]
     for text in texts:
         assert b"".join(two.ids(text)) == one.text(text) == (one.slowly(text) if text else b""), text
+    many = [*texts, "Long words 12, here. " * 60_000, "x" * (1 << 20) + " y", None, ""]
+    three = BlockIds(path)
+    for _ in range(2):
+        for text, ids, n in zip(many, three.arrays(many), three.numbers(many)):
+            assert ids.astype("<u4").tobytes() == one.text(text) and n == len(ids)
 
 
 def test_token_sequences_of_odd_rows(odd_docs, no_docs):
