@@ -55,6 +55,21 @@ def alnum_words_of(text: Column) -> Column:
     return words_of(F.translate(text, UPPER, LOWER), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
+def packed(docs: DataFrame, *more: Column) -> DataFrame:
+    """The caller's row as one column ``row``, so that no name of it can clash."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *more)
+
+
+def unpacked(df: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
+    """The columns of ``row``, those ``changed`` taken from there."""
+    return df.select(*[changed.get(c, F.col("row").getField(c)).alias(c) for c in columns])
+
+
+def place() -> Column:
+    """A number for each row of a scan, the same in each scan of a stored table."""
+    return F.monotonically_increasing_id()
+
+
 class Workspace:
     """Tables of one job in the shared folder: written once, read back, and
     removed as soon as nothing later reads them."""

@@ -19,9 +19,12 @@
    take a number of comparisons linear in their size.
 
 Null and empty texts have no shingle, are linked with nothing and form their own
-component. Texts shorter than a shingle are one shingle. Rows that share an id
-are one document: their components are one. A null id is never a representative
-and its row is kept when nothing represents it. Extra columns are ignored.
+component. Texts shorter than a shingle are one shingle. Rows count by themselves,
+also where they share an id: each belongs to the component of its own text. A
+component of null ids alone has no id, and its rows are kept; else a null id is
+never the component's. Inside, rows go by their place in a scan of ``docs``, which
+has to be a stored table; a scan that changes in between is noticed. Extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -35,7 +38,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from figureyard.llm.common import LOWER, UPPER, Workspace, batches, table
+from figureyard.llm.common import LOWER, UPPER, Workspace, batches, packed as packed_rows, place, table, unpacked
 
 BANDS, ROWS, BITS = 32, 4, 2
 HASHES = BANDS * ROWS
@@ -113,31 +116,31 @@ def parities(sets: np.ndarray) -> list[int]:
 
 
 SKETCH = (
-    "doc_id long, n long, digest binary, sig array<long>, parity array<long>, bands array<long>"
+    "place long, doc_id long, n long, digest binary, sig array<long>, parity array<long>, bands array<long>"
 )
 
 
 def sketches(docs: DataFrame, k: int) -> DataFrame:
     """Columns of ``SKETCH``; digest, sig, parity and bands are null for empty sets."""
     schema = pa.schema(
-        [("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()),
+        [("place", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("digest", pa.binary()),
          ("sig", pa.list_(pa.int64())), ("parity", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64()))]
     )
 
     def rows(columns: list) -> list[tuple]:
         out = []
-        for i, text in zip(*columns):
+        for at, i, text in zip(*columns):
             s = shingles(word_bytes(text), k, known)
             if len(s) == 0:
-                out.append((i, 0, None, None, None, None))
+                out.append((at, i, 0, None, None, None, None))
                 continue
             low = minima(s)
             digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-            out.append((i, len(s), digest, packed(low), parities(s), band_keys(low)))
+            out.append((at, i, len(s), digest, packed(low), parities(s), band_keys(low)))
         return out
 
     known = WordHashes()
-    return docs.mapInArrow(batches(rows, ["doc_id", "text"], schema), SKETCH)
+    return docs.mapInArrow(batches(rows, ["place", "doc_id", "text"], schema), SKETCH)
 
 
 def estimate(a: Column, b: Column) -> Column:
@@ -251,25 +254,23 @@ def merged(work: Workspace, labels: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def near_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row of ``docs``.
+def placed_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """place, doc_id, n_shingles, component_id and group for every row of ``docs``.
 
-    Documents whose sets of distinct k-word shingles have a Jaccard similarity of
-    at least ``percent`` are linked; component_id is the smallest doc_id
-    reachable.
+    ``group`` numbers the components of rows with shingles and is null for others.
     """
     spark = docs.sparkSession
     work = Workspace(spark, "minhash")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(place().alias("place"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketch = work.save(sketches(docs, k), "sketches")
     classes = (
-        sketch.where("digest is not null and doc_id is not null")
-        .groupBy("digest").agg(F.min("doc_id").alias("rep"))
+        sketch.where("digest is not null")
+        .groupBy("digest").agg(F.min("place").alias("rep"), F.min("doc_id").alias("low"))
     )
     classes = work.save(classes, "classes")
     own = (
-        sketch.join(classes, "digest")
-        .where("doc_id = rep")
+        sketch.join(classes.select("digest", "rep"), "digest")
+        .where("place = rep")
         .select("rep", F.struct("sig", "n", "parity").alias("sig"), "bands")
     )
     own = work.save(own, "representatives")
@@ -288,10 +289,12 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         return [(i, pack.compress(b" ".join(word_bytes(t)))) for i, t in zip(*columns)]
 
     texts = docs.mapInArrow(
-        batches(squeezed, ["doc_id", "text"], pa.schema([("rep", pa.int64()), ("z", pa.binary())])),
+        batches(squeezed, ["place", "text"], pa.schema([("rep", pa.int64()), ("z", pa.binary())])),
         "rep long, z binary",
     )
-    texts = work.save(texts.join(labels.select("rep"), "rep").dropDuplicates(["rep"]), "texts")
+    texts = work.save(texts.join(labels.select("rep"), "rep"), "texts")
+    if texts.count() != labels.count():
+        raise RuntimeError("the documents were read in another order: store them first")
 
     sa = sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sa"))
     sb = sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sb"))
@@ -341,17 +344,40 @@ def near_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     labels = merged(work, labels, work.save(confirmed(rest, texts, k, percent), "links"))
     work.drop(texts, sigs, stars, bands, mixed_bands)
 
-    found = classes.join(labels, "rep", "left").select(
-        "digest", F.coalesce("label", "rep").alias("component_id")
-    )
+    grouped = classes.join(labels, "rep", "left").withColumn("group", F.coalesce("label", "rep"))
+    ids = grouped.groupBy("group").agg(F.min("low").alias("component_id"))
+    found = grouped.select("digest", "group").join(ids, "group")
     return (
-        sketch.select("doc_id", "n", "digest").join(found, "digest", "left")
-        .select("doc_id", F.col("n").alias("n_shingles"),
-                F.coalesce("component_id", "doc_id").alias("component_id"))
-        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+        sketch.select("place", "doc_id", "n", "digest").join(found, "digest", "left")
+        .select("place", "doc_id", F.col("n").alias("n_shingles"),
+                F.when(F.col("group").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), "group")
     )
 
 
+def near_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for every row of ``docs``.
+
+    Documents whose sets of distinct k-word shingles have a Jaccard similarity of
+    at least ``percent`` are linked; component_id is the smallest doc_id
+    reachable.
+    """
+    return (
+        placed_groups(docs, k, percent)
+        .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+        .select("doc_id", "n_shingles", "component_id", "kept")
+    )
+
+
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest doc_id, among
+    several the first. Rows without shingles all stay."""
+    rows = placed_groups(docs, k, percent)
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", "place")
+    winners = rows.where("group is not null").groupBy("group").agg(F.min_by("place", first).alias("place"))
+    stays = winners.select("place").union(rows.where("group is null").select("place"))
+    return unpacked(packed_rows(docs, place().alias("place")).join(stays, "place", "left_semi"), docs.columns)
+
+
 def query(spark, folder: str) -> DataFrame:
     return near_groups(table(spark, folder, "documents"), k=2, percent=80)
 

@@ -9,7 +9,7 @@ documents for certain. The fraction left is a sample without replacement with
 inclusion odds p / (1 - p), p that fraction: documents are ranked by the random
 odds u / (1 - u) divided by their inclusion odds, and the first ranks are taken
 until the words wanted are reached, so the sample's size is fixed. Inclusion
-odds may differ between documents of a source (``merit``).
+odds differ between documents of a source: long ones are likelier (``merit``).
 
 u comes from a keyed hash of the document, so that reruns agree. Ranks are made
 by a range sort of narrow rows, never by a task for a source.
@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from figureyard.llm.common import Workspace, ordered, table, words_of
+from figureyard.llm.common import Workspace, ordered, packed, place, table, unpacked, words_of
 
 WEIGHTS = (3.0, 1.0, 2.0)
 
@@ -71,18 +71,20 @@ def mix(
     docs: DataFrame, total: float = 1.5, most: float = 2.0, merit: str | None = None,
     key: str = "mix",
 ) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken for every row.
+    """doc_id, source, size, source_size, target, copies, taken and place (of the
+    row in a scan of ``docs``) for every row.
 
-    ``merit`` names a positive column that multiplies the inclusion odds.
+    ``merit`` names a positive column that multiplies the inclusion odds; without
+    one they grow with the square root of a document's words.
     """
     work = Workspace(docs.sparkSession, "mixing")
     size = F.coalesce(F.size(words_of(F.col("text"))), F.lit(0)).cast("long")
-    odds = F.col(merit).cast("double") if merit else F.lit(1.0)
+    odds = F.col(merit).cast("double") if merit else F.sqrt(F.greatest(size, F.lit(1)))
     rows = work.save(
         docs.select(
             "doc_id", "source",
             F.when(F.col("text").isNull(), F.lit(0)).otherwise(size).cast("long").alias("size"),
-            F.xxhash64("text").alias("h"), odds.alias("merit"),
+            F.xxhash64("text").alias("h"), odds.alias("merit"), place().alias("place"),
         ),
         "sizes",
     )
@@ -114,22 +116,16 @@ def mix(
                     & (F.col("p") > 0) & (F.col("size") > 0))
         .withColumn("copies", F.col("certain") + F.col("more").cast("long"))
         .select("doc_id", "source", "size", "source_size", "target", "copies",
-                (F.col("copies") * F.col("size")).alias("taken"))
+                (F.col("copies") * F.col("size")).alias("taken"), "place")
     )
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` as often as the mix takes them."""
-    columns = docs.columns
-    copies = (
-        mix(docs, **options).where("copies > 0")
-        .groupBy("doc_id").agg(F.max("copies").alias("_copies"))
-    )
-    return (
-        docs.alias("d").join(copies.alias("c"), F.col("d.doc_id").eqNullSafe(F.col("c.doc_id")))
-        .select("d.*", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias("_copy"))
-        .select(columns)
-    )
+    """The rows of ``docs``, a stored table, as often as the mix takes them; each
+    row goes by its place, so repeated ids don't share their copies."""
+    copies = mix(docs, **options).where("copies > 0").select("place", F.col("copies").cast("int").alias("n"))
+    taken = packed(docs, place().alias("place")).join(copies, "place")
+    return unpacked(taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n")))), docs.columns)
 
 
 def query(spark, folder: str) -> DataFrame:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from figureyard.llm.common import Workspace, batches, table
+from figureyard.llm.common import Workspace, batches, table, packed, unpacked
 
 KINDS = ("email", "ip", "card", "phone", "term")
 NEAR = 8  # words before and after an entity
@@ -282,12 +282,12 @@ def marked(docs: DataFrame, work: Workspace | None = None) -> DataFrame:
 def sanitised(docs: DataFrame) -> DataFrame:
     """``docs`` with entities replaced by their kind and disclosing terms removed."""
     columns = docs.columns
-    rows = docs.withColumn("_h", F.xxhash64("text"))
+    rows = packed(docs, "doc_id", "text", F.xxhash64("text").alias("h"))
     marks = marked(docs).where(F.size("spans") > 0).select("doc_id", "h", "spans").dropDuplicates(["doc_id", "h"])
     joined = (
         rows.alias("d")
-        .join(marks.alias("m"), F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("_h") == F.col("h")), "left")
-        .select("d.*", "spans")
+        .join(marks.alias("m"), F.col("d.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("d.h") == F.col("m.h")), "left")
+        .select("row", "text", "spans")
     )
     names = {0: "<EMAIL>", 1: "<IP>", 2: "<CARD>", 3: "<PHONE>", 4: "<TERM>"}
 
@@ -303,13 +303,13 @@ def sanitised(docs: DataFrame) -> DataFrame:
                         done = max(done, x["e"])
                     text = "".join(bits) + text[done:]
                 texts.append(text)
-            out = [pa.array(texts, pa.string()) if c == "text" else part.column(c) for c in columns]
-            yield pa.RecordBatch.from_arrays(out, names=columns)
+            yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(texts, pa.string())], names=["row", "text"])
 
-    out = joined.select(*columns, "spans").mapInArrow(clean, docs.schema)
+    out = joined.mapInArrow(clean, joined.select("row", "text").schema)
+    changed = {"text": F.col("text")}
     if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
-    return out.select(columns)
+        changed["n_chars"] = F.length("text").cast("long")
+    return unpacked(out, columns, **changed)
 
 
 def query(spark, folder: str) -> DataFrame:

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from figureyard.llm.common import let, times, words_of
+from figureyard.llm.common import let, times, words_of, packed, unpacked
 
 # Characters counted as symbols, and as marks of a sentence.
 SYMBOLS = "#*$%&|<>"
@@ -179,10 +179,12 @@ def clean(docs: DataFrame, rules: LineRules = LineRules(), text: str = "text") -
         ),
         "\n",
     )
-    out = measures(docs, rules, text).where("kept").withColumn(text, left)
+    apart = packed(docs, F.col(text).alias("text"))
+    kept = measures(apart, rules).where("kept").withColumn("text", left)
+    changed = {text: F.col("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length(text).cast("long"))
-    return out.select(docs.columns)
+        changed["n_chars"] = F.length("text").cast("long")
+    return unpacked(kept, docs.columns, **changed)
 
 
 def query(spark, folder: str) -> DataFrame:

@@ -75,3 +75,23 @@ def test_odd_rows(odd_docs, no_docs):
     assert by[2].component_id == 2 and by[2].kept and by[None].kept
     assert sum(r.component_id == 1 for r in rows) == 2
     assert minhash.near_groups(no_docs).count() == 0
+
+
+def test_rows_that_share_ids_and_repeat(spark):
+    from figureyard.llm.minhash import one_of_each
+
+    a = " ".join(f"a{i}" for i in range(60))
+    b = " ".join(f"b{i}" for i in range(60))
+    half = " ".join([*(f"a{i}" for i in range(45)), *(f"c{i}" for i in range(15))])  # shares bands, not a link
+    rows = [(1, a), (7, a), (7, b), (9, b + " x"), (None, a), (None, "z y x w v u"), (3, ""), (3, None)]
+    rows += [(20, half)] * 300 + [(21, a + " tail")] * 300 + [(20, half + " more")] * 300
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    found = minhash.near_groups(docs, k=2, percent=80).collect()
+    assert len(found) == len(rows)
+    by_row = {(r["doc_id"], r["n_shingles"]): r["component_id"] for r in found}
+    assert by_row[(1, 59)] == by_row[(None, 59)] == by_row[(21, 60)] == 1
+    assert by_row[(9, 60)] == 7 and by_row[(None, 5)] is None and by_row[(3, 0)] == 3
+    assert {r["component_id"] for r in found if r["doc_id"] == 7} == {1, 7}
+    assert {r["component_id"] for r in found if r["doc_id"] == 20} == {20}
+    kept = sorted((r["doc_id"] or 0, (r["text"] or "")[:4]) for r in one_of_each(docs, k=2).collect())
+    assert kept == [(0, "z y "), (1, "a0 a"), (3, ""), (3, ""), (7, "b0 b"), (20, "a0 a")]

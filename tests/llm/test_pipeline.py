@@ -41,3 +41,21 @@ def test_stages(spark, small_docs):
 def test_run_gives_pieces(spark):
     df = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
     assert {"doc_id", "sequence_id", "offset"} <= set(df.columns) and df.count() > 0
+
+
+CLASHING = ["_h", "h", "spans", "_copy", "_copies", "_words", "_lines", "lines", "kept", "n_words", "row", "place"]
+
+
+def test_stages_keep_columns_with_clashing_names(spark, small_docs, tmp_path):
+    base = small_docs.limit(60).collect()
+    rows = [(*r, *range(len(CLASHING))) for r in base] + [(None, *base[0][1:], *range(len(CLASHING)))] * 3
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} int" for c in CLASHING)
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "0"))
+    docs = spark.read.parquet(str(tmp_path / "0"))
+    for i, (_, fn) in enumerate(corpus_pipeline.STAGES[:-1], 1):
+        out = fn(spark, docs, "")
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes
+        out.write.parquet(str(tmp_path / str(i)))
+        docs = spark.read.parquet(str(tmp_path / str(i)))
+        assert docs.where(" or ".join(f"{c} <> {k}" for k, c in enumerate(CLASHING))).isEmpty()
+    assert docs.count() > 20
