@@ -12,7 +12,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from figureyard.llm import minhash, mixing, packing, pii, quality
 from figureyard.llm.common import Workspace, table
@@ -42,9 +41,8 @@ def keep_quality(docs: DataFrame) -> DataFrame:
 
 
 def keep_one_of_each_group(docs: DataFrame) -> DataFrame:
-    """The smallest doc_id of each group; five-word shingles, similarity 0.8."""
-    others = minhash.near_groups(docs, k=5, percent=80).where(~F.col("kept"))
-    return docs.join(others.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """One row of each group; five-word shingles, similarity 0.8."""
+    return minhash.one_of_each(docs, k=5, percent=80)
 
 
 def remove_personal_data(docs: DataFrame) -> DataFrame:
