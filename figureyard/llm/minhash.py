@@ -292,7 +292,8 @@ def placed_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         batches(squeezed, ["place", "text"], pa.schema([("rep", pa.int64()), ("z", pa.binary())])),
         "rep long, z binary",
     )
-    texts = work.save(texts.join(labels.select("rep"), "rep"), "texts")
+    # the ids grow with the documents: dealt by id at every size, never sent around
+    texts = work.save(texts.join(labels.select("rep").hint("merge"), "rep"), "texts")
     if texts.count() != labels.count():
         raise RuntimeError("the documents were read in another order: store them first")
 
