@@ -137,7 +137,7 @@ def predicted(model, df: DataFrame, vector: str, y: str) -> DataFrame:
     return out.drop(*[c for c in drop if c in out.columns])
 
 
-def out_of_fold(df: DataFrame, key: str, vector: str, y: str, max_iter: int = 30) -> DataFrame:
+def out_of_fold(df: DataFrame, key: str, vector: str, y: str, max_iter: int = 3000) -> DataFrame:
     """Probabilities for every row from a model that never saw it."""
     folded = df.withColumn("fold", F.pmod(hash_int(F.col(key).cast("string")), F.lit(FOLDS)))
     parts = []
