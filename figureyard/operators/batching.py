@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -14,6 +16,9 @@ from figureyard.session import materialised
 # Pages and bytes per request batch, bytes per archive.
 BATCH_PAGES, BATCH_BYTES, ARCHIVE_BYTES = 50, 20 * 1024 * 1024, 220 * 1024 * 1024
 
+# neighbouring chunks that one task composes or starts
+SCAN_FAN = 64
+
 
 def page_batches(
     pages: DataFrame, group: str, order: list[Column], bucket: list[Column],
@@ -98,6 +103,104 @@ def _pieces(size: np.ndarray, cap: float) -> list[tuple[float, int, float]]:
     return kept
 
 
+class Steps(NamedTuple):
+    """Consecutive items as a step function of the bytes carried into them: from
+    ``low`` on, ``closed`` batches close and ``carry`` bytes go on (-1: all that
+    came in and the items' own ``size``; only the first step may be such)."""
+
+    size: float
+    low: np.ndarray
+    closed: np.ndarray
+    carry: np.ndarray
+
+    def after(self, carried: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        hit = np.searchsorted(self.low, carried, side="right") - 1
+        out = self.carry[hit]
+        return self.closed[hit], np.where(out < 0, carried + self.size, out)
+
+    def then(self, later: Steps, cap: float) -> Steps:
+        """Both in a row. Composition is associative, so any tree of it gives the
+        same function. It has no more steps than the two together, and no more
+        than the first once that alone reaches ``cap``."""
+        fixed = self.carry >= 0
+        closed, carry = later.after(self.carry[fixed])
+        low, closed = self.low[fixed], self.closed[fixed] + closed
+        if not fixed[0]:
+            # what came in reaches the later items whole, shifted by this size
+            end = cap if len(self.low) == 1 else self.low[1]
+            first = int(np.searchsorted(later.low, self.size, side="right")) - 1
+            last = int(np.searchsorted(later.low, end + self.size, side="left"))
+            low = np.concatenate([np.maximum(later.low[first:last] - self.size, 0.0), low])
+            closed = np.concatenate([later.closed[first:last], closed])
+            carry = np.concatenate([later.carry[first:last], carry])
+        new = np.ones(len(low), dtype=bool)
+        new[1:] = (closed[1:] != closed[:-1]) | (carry[1:] != carry[:-1])
+        return Steps(self.size + later.size, low[new], closed[new], carry[new])
+
+
+def _in_order(rows: pd.DataFrame) -> list[Steps]:
+    part = rows.sort_values("at")
+    return [Steps(*row) for row in zip(part["size"], part["low"], part["closed"], part["carry"])]
+
+
+def carried_in(
+    steps: DataFrame, cap: float, begin: DataFrame | None = None, fan: int = SCAN_FAN
+) -> DataFrame:
+    """What every chunk of a group starts from: (g, chunk, closed_before, carry_in),
+    and one row with chunk null for what a group ends with.
+
+    ``steps`` holds one row (g, chunk, size, low, closed, carry) a chunk, ``begin``
+    (g, closed_before, carry_in) where a group does not start from nothing. The
+    scan is a tree: ``fan`` neighbouring chunks compose to one function, these
+    again, until a group has at most ``fan``; then the starts come down the same
+    tree. No task's group holds more than ``fan`` functions, however many chunks
+    there are; rounds grow with their logarithm.
+    """
+    g_type = steps.schema["g"].dataType.simpleString()
+    block = F.expr(f"at div {fan}").alias("block")
+
+    def compose(ids: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        whole = reduce(lambda a, b: a.then(b, cap), _in_order(rows))
+        return pd.DataFrame([(*ids, *whole)], columns=["g", "at", *Steps._fields])
+
+    def hand_down(ids: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        begun, parts = rows[rows["at"].isna()], rows[rows["at"].notna()]
+        done = int(begun["closed_before"].iloc[0]) if len(begun) else 0
+        carry = float(begun["carry_in"].iloc[0]) if len(begun) else 0.0
+        starts = []
+        for at, part in zip(sorted(parts["at"]), _in_order(parts)):
+            starts.append((ids[0], int(at), done, carry))
+            closed, carried = part.after(np.array([carry]))
+            done, carry = done + int(closed[0]), float(carried[0])
+        starts.append((ids[0], None, done, carry))
+        out = pd.DataFrame(starts, columns=["g", "at", "closed_before", "carry_in"])
+        return out.astype({"at": "Int64"})
+
+    ends = steps.agg(F.min("chunk").alias("lo"), F.max("chunk").alias("hi")).first()
+    lo, top = ends["lo"] or 0, (ends["hi"] or 0) - (ends["lo"] or 0)
+    level = steps.select("g", (F.col("chunk") - lo).cast("bigint").alias("at"), *Steps._fields)
+    levels = [level.select("*", block)]
+    while top >= fan:
+        upper = levels[-1].groupBy("g", "block").applyInPandas(compose, level.schema)
+        levels.append(materialised(upper, "scan-level").select("*", block))
+        top //= fan
+    begun = None if begin is None else begin.withColumn("block", F.lit(0).cast("bigint"))
+    ended = None
+    for functions in reversed(levels):
+        rows = functions if begun is None else functions.unionByName(begun, allowMissingColumns=True)
+        if begun is None:
+            none = {"closed_before": F.lit(None).cast("bigint"), "carry_in": F.lit(None).cast("double")}
+            rows = rows.withColumns(none)
+        starts = materialised(rows.groupBy("g", "block").applyInPandas(
+            hand_down, f"g {g_type}, at bigint, closed_before bigint, carry_in double"
+        ), "scan-starts")
+        ended = starts.filter("at IS NULL") if ended is None else ended
+        begun = starts.filter("at IS NOT NULL").withColumnRenamed("at", "block")
+    return begun.unionByName(ended.withColumnRenamed("at", "block")).withColumns(
+        {"chunk": F.col("block") + lo}
+    ).drop("block")
+
+
 def size_capped_batches(
     items: DataFrame, group: str, key: str, size: str, bucket: Column, cap: int = ARCHIVE_BYTES,
     start: DataFrame | None = None,
@@ -110,37 +213,21 @@ def size_capped_batches(
 
     A running sum with reset is sequential, but a chunk of consecutive items is
     a small step function of the bytes carried in. Chunks are summarised in
-    parallel, only the summaries of a group are folded in order, and the chunks
-    are then numbered in parallel. Only (key, size) pairs travel.
+    parallel, the functions are scanned by a tree (``carried_in``), and the
+    chunks are then numbered in parallel. ``bucket`` names a row's chunk by whole
+    numbers that grow with ``key``. Only (key, size) pairs travel.
     """
     pairs = items.select(
-        group, F.col(key).alias("k"), F.col(size).cast("double").alias("s"), bucket.alias("chunk")
+        F.col(group).alias("g"), F.col(key).alias("k"), F.col(size).cast("double").alias("s"),
+        bucket.cast("bigint").alias("chunk"),
     )
     total = float(cap)
 
     def summarise(ids: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("k")
-        data = rows["s"].to_numpy()
-        steps = pd.DataFrame(_pieces(data, total), columns=["low", "closed", "carry"])
-        steps.insert(0, "chunk_bytes", float(data.sum()))
-        steps.insert(0, "chunk", ids[1])
-        steps.insert(0, "g", ids[0])
-        return steps
-
-    def chain(ids: tuple, steps: pd.DataFrame) -> pd.DataFrame:
-        # the row with chunk null is the state the group starts from
-        begin = steps[steps["chunk"].isna()]
-        done = int(begin["closed"].iloc[0]) if len(begin) else 0
-        carry = float(begin["carry"].iloc[0]) if len(begin) else 0.0
-        rows = []
-        for chunk, part in steps.sort_values(["chunk", "low"]).groupby("chunk", sort=True):
-            rows.append((ids[0], chunk, done, carry))
-            hit = int(np.searchsorted(part["low"].to_numpy(), carry, side="right")) - 1
-            step = part.iloc[hit]
-            done += int(step["closed"])
-            carry = carry + step["chunk_bytes"] if step["carry"] < 0 else float(step["carry"])
-        rows.append((ids[0], None, done, carry))
-        return pd.DataFrame(rows, columns=["g", "chunk", "closed_before", "carry_in"])
+        data = rows.sort_values("k")["s"].to_numpy()
+        low, closed, carry = zip(*_pieces(data, total))
+        one = (*ids, float(data.sum()), np.array(low), np.array(closed), np.array(carry))
+        return pd.DataFrame([one], columns=["g", "chunk", *Steps._fields])
 
     def number(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("k")
@@ -155,24 +242,21 @@ def size_capped_batches(
 
     g_type = items.schema[group].dataType.simpleString()
     k_type = items.schema[key].dataType.simpleString()
-    c_type = pairs.schema["chunk"].dataType.simpleString()
-    named = pairs.withColumnRenamed(group, "g")
-    steps = named.groupBy("g", "chunk").applyInPandas(
+    steps = materialised(pairs.groupBy("g", "chunk").applyInPandas(
         summarise,
-        f"g {g_type}, chunk {c_type}, chunk_bytes double, low double, closed long, carry double",
-    )
+        f"g {g_type}, chunk bigint, size double, low array<double>, closed array<bigint>, carry array<double>",
+    ), "archive-steps")
+    begin = None
     if start is not None:
-        begun = start.select(F.col(group).alias("g"), "closed", "carry")
-        steps = steps.unionByName(begun, allowMissingColumns=True)
-    # both the numbering and the new state need this small table: fix its rows
-    starts = materialised(steps.groupBy("g").applyInPandas(
-        chain, f"g {g_type}, chunk {c_type}, closed_before long, carry_in double"
-    ), "archive-starts")
+        begin = start.select(
+            F.col(group).alias("g"), F.col("closed").alias("closed_before"), F.col("carry").alias("carry_in")
+        )
+    starts = carried_in(steps, total, begin)
     state = starts.filter(F.col("chunk").isNull()).select(
         F.col("g").alias(group), F.col("closed_before").alias("closed"), F.col("carry_in").alias("carry")
     )
     numbered = (
-        named.join(starts, ["g", "chunk"])
+        pairs.join(starts, ["g", "chunk"])
         .groupBy("g", "chunk")
         .applyInPandas(number, f"g {g_type}, k {k_type}, batch long")
     )
