@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from figureyard.operators.gates import silver_class
-from figureyard.operators.ranking import hash_bucket, rank_within, seeded_hash
+from figureyard.operators.ranking import rank_within, seeded_hash
 from figureyard.schemas import CLASSES, SPLITS
 
 # Seed and fractions of the published split.
@@ -50,11 +50,11 @@ def paper_fields(crops: DataFrame, pages: DataFrame) -> DataFrame:
 
 def assign_splits(papers: DataFrame, seed: int = SEED) -> DataFrame:
     """Stratified split of distinct papers. Positions inside a field follow a
-    seeded hash and are counted per hash bucket, so a field is never one task."""
+    seeded hash and are counted per even bucket, so a field is never one task."""
     h = seeded_hash(seed, F.col("arxiv_id"))
     ranked = rank_within(
         papers.withColumn("__h", h), ["field"], [F.col("__h"), F.col("arxiv_id")],
-        [hash_bucket(F.col("__h"))], name="__pos", total="__all",
+        name="__pos", total="__all",
     )
     n_train = F.bround(F.col("__all") * F.lit(TRAIN_FRAC), 0)
     n_val = F.bround(F.col("__all") * F.lit(VAL_FRAC), 0)

@@ -3,7 +3,7 @@
 A plain ``row_number`` window sends a whole group to one task. Here a group is
 cut into order-preserving buckets: rows are numbered inside a bucket, and the
 counts of all earlier buckets are added. Buckets are small by construction
-(a prefix of a uniform hash, or a fixed range of unique ids).
+(a fixed range of unique ids), or cut at bounds from a sample of the keys.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from figureyard.session import materialised
 
 IDS_PER_BUCKET = 65536
+ROWS_PER_BUCKET = 1 << 18
 
 
 def seeded_hash(seed: str | int, *cols: Column) -> Column:
@@ -23,43 +24,72 @@ def seeded_hash(seed: str | int, *cols: Column) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[c.cast("string") for c in cols]))
 
 
-def hash_bucket(key: Column, digits: int = 3) -> Column:
-    return F.substring(key, 1, digits)
-
-
 def id_bucket(key: Column, width: int = IDS_PER_BUCKET) -> Column:
     return F.floor(key / width)
 
 
+def in_even_buckets(
+    df: DataFrame, by: Sequence[str | Column], name: str, rows: int = ROWS_PER_BUCKET
+) -> DataFrame:
+    """Cut ``df`` into ordered buckets of about ``rows`` rows whatever the keys:
+    the bounds come from a sample of the keys in use. Equal keys share a bucket.
+    Written once, as two samples of one table need not give the same bounds."""
+    parts = max(1, -(-df.count() // rows))
+    cut = df.repartitionByRange(parts, *by).withColumn(name, F.spark_partition_id())
+    return materialised(cut, "even-buckets")
+
+
 def rank_within(
     df: DataFrame,
     group: Sequence[str],
     order: Sequence[Column],
-    bucket: Sequence[Column],
+    bucket: Sequence[Column] | None = None,
     name: str = "rn",
     total: str | None = None,
+    before: dict[str, str] | None = None,
+    rows: int = ROWS_PER_BUCKET,
 ) -> DataFrame:
     """Add the 1-based position of each row in its group as ``name``.
 
-    ``bucket`` must grow with ``order``; ``total`` also adds the group size.
-    Group columns and buckets must not be null.
+    ``bucket`` must grow with ``order``; without one, buckets of about ``rows``
+    rows are cut from a sample of the keys, which holds for any distribution.
+    ``total`` also adds the group size, ``before`` (new column: numeric column)
+    the sums over all earlier rows of the group. Group columns and given buckets
+    must not be null.
     """
-    keys = [f"__bucket{i}" for i in range(len(bucket))]
-    cut = df.withColumns(dict(zip(keys, bucket)))
+    if bucket is None:
+        keys = ["__bucket"]
+        cut = in_even_buckets(df, [*group, *order], "__bucket", rows)
+    else:
+        keys = [f"__bucket{i}" for i in range(len(bucket))]
+        cut = df.withColumns(dict(zip(keys, bucket)))
+    before = before or {}
     cell = [*group, *keys]
-    counts = cut.groupBy(*cell).agg(F.count(F.lit(1)).alias("__n"))
+    counts = cut.groupBy(*cell).agg(
+        F.count(F.lit(1)).alias("__n"), *[F.sum(c).alias(f"__sum_{n}") for n, c in before.items()]
+    )
     whole = Window.partitionBy(*(group or [F.lit(0)]))
     earlier = whole.orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
     added = {"__before": F.coalesce(F.sum("__n").over(earlier), F.lit(0))}
+    for n in before:
+        added[f"__before_{n}"] = F.coalesce(F.sum(f"__sum_{n}").over(earlier), F.lit(0))
     if total:
         added[total] = F.sum("__n").over(whole)
-    offsets = counts.withColumns(added).drop("__n")
-    local = F.row_number().over(Window.partitionBy(*cell).orderBy(*order))
+    offsets = counts.withColumns(added).drop("__n", *[f"__sum_{n}" for n in before])
+    inside = Window.partitionBy(*cell).orderBy(*order)
+    local = {"__local": F.row_number().over(inside)}
+    for n, c in before.items():
+        up_to_here = inside.rowsBetween(Window.unboundedPreceding, -1)
+        local[f"__local_{n}"] = F.coalesce(F.sum(c).over(up_to_here), F.lit(0))
+    found = {name: F.col("__before") + F.col("__local")}
+    for n in before:
+        found[n] = F.col(f"__before_{n}") + F.col(f"__local_{n}")
+    spent = [f"__{kind}_{n}" for n in before for kind in ("before", "local")]
     return (
-        cut.withColumn("__local", local)
+        cut.withColumns(local)
         .join(offsets, cell)
-        .withColumn(name, F.col("__before") + F.col("__local"))
-        .drop("__before", "__local", *keys)
+        .withColumns(found)
+        .drop("__before", "__local", *spent, *keys)
     )
 
 

@@ -13,7 +13,7 @@ from figureyard.plans.catalog import query
 from figureyard.plans.curation import crops_with_split, splits
 from figureyard.plans.registration import page_verdicts
 from figureyard.session import shared_path
-from figureyard.sinks import stores
+from figureyard.sinks import pieces, stores
 from figureyard.sources import scans
 from figureyard.sources import tables as t
 
@@ -168,7 +168,7 @@ def asset_listing(spark, d):
 @query("src6_split_map", "SELECT arxiv_id, split FROM splits_v")
 def split_map(spark, d):
     path = shared_path(spark, "split-map")
-    stores.split_map_shards(splits(spark, d), SEED).select("doc").write.text(path)
+    stores.split_map_pieces(splits(spark, d), SEED).select("doc").write.text(path)
     docs = spark.read.schema("doc STRING").text(path)
     return scans.split_map_rows(docs, "doc")
 
@@ -464,6 +464,43 @@ def split_digest(spark, d):
     return datasets.split_digest(splits(spark, d))
 
 
+# Fixed values of the two queries below: bytes of a piece, times of the gallery's head.
+PIECE, START, UPDATED = 4096, 1234.5, 5678.25
+
+
+@query(
+    "snk6_manifest_tree",
+    pieces.digest_sql("SELECT arxiv_id || '|' || split AS line, arxiv_id FROM splits_v", "arxiv_id", PIECE, 16),
+)
+def manifest_tree(spark, d):
+    """Root of the hash tree over the ordered split map."""
+    lines = splits(spark, d).select("arxiv_id", F.concat_ws("|", "arxiv_id", "split").alias("line"))
+    return pieces.digest(pieces.numbered(lines, ["arxiv_id"], "line", PIECE), "line", 16)
+
+
+@query(
+    "snk4_gallery_pages",
+    f"""
+    WITH {_GALLERY},
+      lines AS (SELECT field, name,
+                  CAST(to_json(struct_pack(url := 'v3/img/' || field || '/' || name, category := field,
+                    arxiv_id := arxiv_id, page := CAST(page AS INT), caption := coalesce(caption, ''))) AS VARCHAR) AS line
+                FROM g WHERE status = 'uploaded'),
+      placed AS (SELECT *, CAST(coalesce(sum(octet_length(encode(line))) OVER (ORDER BY field, name
+                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) // {PIECE} AS piece FROM lines)
+    SELECT piece, count(*) AS n,
+           '{{"base":"https://example.org/gallery","display":{{"en":"English","fr":"French"}},"start":{START},"target":30000,"count":'
+           || (SELECT count(*) FROM g WHERE status IN ('local', 'uploaded')) || ',"updated_epoch":{UPDATED},"images":['
+           || string_agg(line, ',' ORDER BY field, name) || ']}}' AS doc
+    FROM placed GROUP BY piece
+    """,
+)
+def gallery_pages(spark, d):
+    return stores.gallery_document(
+        gallery_images(spark, d), stores.DISPLAY_BASE, 30000, DISPLAY, START, UPDATED, PIECE
+    )
+
+
 @query(
     "snk7_results_ledger",
     """

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import time
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,6 +12,7 @@ from pyspark.sql import functions as F
 from figureyard import schemas
 from figureyard.functions.columns import display_name, scrub
 from figureyard.functions.vectors import unit_vector
+from figureyard.sinks import pieces
 
 # Column headers of the two exports, in order.
 WITH_SOURCE = {
@@ -107,15 +111,36 @@ def gallery_header(images: DataFrame, base: str, target: int) -> DataFrame:
     ).select(F.lit(base).alias("base"), F.lit(target).cast("bigint").alias("target"), "count", "images")
 
 
-def gallery_document(images: DataFrame, base: str, target: int) -> DataFrame:
-    """Gallery documents per shard of at most a few thousand crops, in order."""
-    lines = gallery_lines(images)
-    shard = F.substring(F.md5("name"), 1, 3)
-    return lines.groupBy("category", shard.alias("shard")).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("name", "line"))), lambda s: s["line"]).alias(
-            "images"
+def gallery_document(
+    images: DataFrame, base: str, target: int, display: dict[str, str], start: float | None = None,
+    updated_epoch: float | None = None, size: int = pieces.PIECE_BYTES,
+) -> DataFrame:
+    """The gallery as JSON documents of bounded bytes, in order of (category, name).
+
+    Every document repeats the head (base, display names of categories, start,
+    target, count, updated_epoch; a time not given is that of the call) and holds
+    the images of one piece: a page of the gallery. All of them are the gallery.
+    """
+    placed = pieces.numbered(gallery_lines(images), ["category", "name"], "line", size)
+    now = time.time()
+    start, updated = (float(now if at is None else at) for at in (start, updated_epoch))
+    names = F.from_json(F.lit(json.dumps(display)), "map<string,string>")
+    head = images.agg(
+        F.to_json(
+            F.struct(
+                F.lit(base).alias("base"), names.alias("display"), F.lit(start).alias("start"),
+                F.lit(target).alias("target"),
+                F.count_if(F.col("status").isin("local", "uploaded")).alias("count"),
+                F.lit(updated).alias("updated_epoch"),
+            )
         )
-    ).withColumns({"base": F.lit(base), "target": F.lit(target)})
+    ).scalar()
+    # the lines are JSON already: they go into the document as they are
+    body = placed.groupBy("piece").agg(
+        F.count(F.lit(1)).alias("n"), pieces.joined(placed, "line", ",").alias("images")
+    )
+    whole = F.concat(F.rtrim(head, F.lit("}")), F.lit(',"images":['), "images", F.lit("]}"))
+    return body.select("piece", "n", whole.alias("doc"))
 
 
 def write_manifest(rows: DataFrame, path: str, order: list[str]) -> None:
@@ -123,13 +148,12 @@ def write_manifest(rows: DataFrame, path: str, order: list[str]) -> None:
     rows.repartitionByRange(*order).sortWithinPartitions(*order).write.csv(path, header=True)
 
 
-def split_map_shards(splits: DataFrame, seed: int, digits: int = 3) -> DataFrame:
-    """The split map as JSON documents of bounded size, one per hash shard."""
+def split_map_pieces(splits: DataFrame, seed: int, size: int = pieces.PIECE_BYTES) -> DataFrame:
+    """The split map as JSON documents of bounded bytes, in order of the papers."""
+    lines = splits.select("arxiv_id", "split", F.concat_ws(":", "arxiv_id", "split").alias("line"))
     entries = F.array_sort(F.collect_list(F.struct("arxiv_id", "split")))
     doc = F.struct(F.lit(seed).alias("seed"), F.map_from_entries(entries).alias("papers"))
-    return splits.groupBy(F.substring(F.md5("arxiv_id"), 1, digits).alias("shard")).agg(
-        F.to_json(doc).alias("doc")
-    )
+    return pieces.numbered(lines, ["arxiv_id"], "line", size).groupBy("piece").agg(F.to_json(doc).alias("doc"))
 
 
 def append_results(rows: DataFrame, path: str) -> None:

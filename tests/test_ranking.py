@@ -19,6 +19,22 @@ def test_rank_within_equals_a_window_for_a_hot_group(spark):
     assert {(r.g, r.k): (r.rn, r.n) for r in out} == want
 
 
+def test_even_buckets_are_bounded_for_any_keys(spark):
+    """Ids that would all share one fixed prefix, or each take one, and ties in a group."""
+    for key in ("id", "id * 1000000007", "CAST(1e12 AS BIGINT) + id % 5000"):
+        df = spark.range(20_000).selectExpr(f"{key} AS k", "id", "if(id % 7 = 0, 'cold', 'hot') AS g", "id % 10 AS s")
+        cut = ranking.in_even_buckets(df, ["g", "k", "id"], "b", rows=1000)
+        sizes = [r["count"] for r in cut.groupBy("b").count().collect()]
+        assert 15 <= len(sizes) <= 20 and max(sizes) <= 2500
+        out = ranking.rank_within(
+            df, ["g"], [F.col("k"), F.col("id")], name="rn", total="n", before={"run": "s"}, rows=1000
+        ).toPandas()
+        for _, rows in out.groupby("g"):
+            rows = rows.sort_values(["k", "id"])
+            assert rows["rn"].tolist() == list(range(1, len(rows) + 1)) and set(rows["n"]) == {len(rows)}
+            assert (rows["run"] == rows["s"].cumsum() - rows["s"]).all()
+
+
 def test_first_and_latest_per_key_keep_whole_rows(spark):
     df = spark.createDataFrame([(1, 5, "b"), (1, 2, "a"), (2, 9, "c")], "k int, seq int, v string")
     first = {tuple(r) for r in ranking.first_per_key(df, ["k"], F.col("seq")).collect()}

@@ -1,14 +1,16 @@
+import hashlib
 import json
 import shutil
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from figureyard import schemas
 from figureyard.functions import replies
 from figureyard.operators import datasets, models
 from figureyard.plans import curation, storage
-from figureyard.sinks import stores
+from figureyard.sinks import pieces, stores
 from figureyard.sources import scans
 
 FOLDER = "/root/testdata/sf0.001"
@@ -159,12 +161,45 @@ def test_label_issues_follow_class_thresholds(spark):
     assert sure == [False, False, False, False, True] and wide == [False, False, False, True, True]
 
 
-def test_gallery_shards_hold_every_uploaded_crop_in_order(spark):
+def test_gallery_documents_hold_every_uploaded_crop_in_order(spark):
     images = storage.gallery_images(spark, FOLDER)
-    docs = stores.gallery_document(images, "b", 10).collect()
-    lines = {r.line for r in stores.gallery_lines(images).collect()}
-    assert {x for d in docs for x in d.images} == lines
-    assert all(d.images == sorted(d.images, key=lambda x: json.loads(x)["url"]) for d in docs)
+    docs = [json.loads(r.doc) for r in stores.gallery_document(images, "b", 10, {"en": "E"}, 5, size=3000).orderBy("piece").collect()]
+    lines = [json.loads(r.line) for r in stores.gallery_lines(images).orderBy("category", "name").collect()]
+    assert len(docs) > 2 and [x for d in docs for x in d["images"]] == lines
+    assert {tuple(d) for d in docs} == {("base", "display", "start", "target", "count", "updated_epoch", "images")}
+    assert all((d["target"], d["start"], d["display"]) == (10, 5.0, {"en": "E"}) for d in docs)
+    assert all(d["updated_epoch"] > 1_700_000_000 for d in docs)
+
+
+def _tree(lines, size, fan):
+    cut, seen = {}, 0
+    for line in lines:
+        cut.setdefault(seen // size, []).append(line)
+        seen += len(line.encode())
+    level = {k: hashlib.sha256("\n".join(v).encode()).hexdigest() for k, v in cut.items()}
+    while max(level) > 0:
+        up = {}
+        for k in sorted(level):
+            up[k // fan] = up.get(k // fan, "") + level[k]
+        level = {k: hashlib.sha256(v.encode()).hexdigest() for k, v in up.items()}
+    return level[0], len(lines), len(cut)
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_hash_tree_follows_from_the_lines_alone(spark, parts):
+    rows = [(i, "é" * (i * 37 % 11) + ("x" * 500 if i == 20 else "")) for i in range(300)]
+    df = spark.createDataFrame(rows, "k long, line string").repartition(parts)
+    got = pieces.digest(pieces.numbered(df, ["k"], "line", 64), "line", 4).first()
+    assert tuple(got) == _tree([x for _, x in rows], 64, 4)
+    changed = df.withColumn("line", F.expr("CASE k WHEN 7 THEN 'other' ELSE line END"))
+    assert pieces.digest(pieces.numbered(changed, ["k"], "line", 64), "line", 4).first().root != got.root
+
+
+def test_hash_tree_of_nothing_and_of_null_lines(spark):
+    for rows, want in (([], 0), ([(1, None)], 0), ([(1, None), (2, "")], 1)):
+        df = spark.createDataFrame(rows, "k long, line string")
+        got = pieces.digest(pieces.numbered(df, ["k"], "line"), "line").first()
+        assert tuple(got) == (hashlib.sha256(b"").hexdigest(), want, want)
 
 
 def test_archives_are_laid_out_by_field_and_batch(spark, tmp_path):
