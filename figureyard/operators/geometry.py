@@ -1,17 +1,22 @@
 """Figure regions of a page: filters, merging, suppression and captions.
 
-Every comparison happens between rectangles of one page and one tile of it.
-Tiles bound what one task sees even when a page holds most of the rows.
+Pages with few rectangles are worked on whole, many to a batch. A crowded page is
+cut into pieces by density (``planar``) or compared through tiles of it, so no task
+sees a whole page that holds most of the rows.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from figureyard.functions.columns import (
     CAPTION_CHARS, area, aspect, looks_like_caption, overlap, squeeze, strip,
 )
+from figureyard.operators import planar
+from figureyard.operators.planar import SIDES
 from figureyard.operators.ranking import top_per_group
 from figureyard.session import materialised
 
@@ -19,7 +24,6 @@ from figureyard.session import materialised
 MIN_FRAC, MAX_FRAC, MIN_SIDE, MAX_ASPECT, MIN_STROKE = 0.03, 0.92, 55, 6.0, 3
 GAP, MAX_OVERLAP, BAND_ABOVE, BAND_BELOW = 14, 0.6, 3, 260
 
-SIDES = ("x0", "y0", "x1", "y1")
 TILE = 128
 
 
@@ -83,7 +87,7 @@ def _cells(df: DataFrame, levels: Column, gap: float = 0, prefix: str = "") -> D
     )
 
 
-def _own_and_coarser(df: DataFrame, levels: list[int]) -> tuple[Column, Column]:
+def _own_and_coarser(levels: list[int]) -> tuple[Column, Column]:
     """Levels of a rectangle: its own, and all in use from there up."""
     own = _level(_rect())
     return F.array(own), F.filter(F.array(*map(F.lit, levels)), lambda x: x >= own)
@@ -92,22 +96,34 @@ def _own_and_coarser(df: DataFrame, levels: list[int]) -> tuple[Column, Column]:
 CELL = ("lv", "cx", "cy")
 
 
+def _centre_cells(df: DataFrame, levels: list[int]) -> DataFrame:
+    """A row for the cell of a rectangle's centre at each level in use from the one
+    below its own up."""
+    own = _level(_rect()) - 1
+    cell = F.lit(TILE) * F.pow(F.lit(2.0), F.col("lv"))
+    at = {f"c{a}": F.floor((F.col(f"{a}0") + F.col(f"{a}1")) / (2 * cell)) for a in "xy"}
+    up = F.filter(F.array(*map(F.lit, levels)), lambda x: x >= own)
+    return df.withColumn("lv", F.explode(up)).withColumns(at)
+
+
 def covered_by(
     rects: DataFrame, others: DataFrame, page: str, limit: float = MAX_OVERLAP, strict: bool = True
 ) -> DataFrame:
     """Distinct ``rects`` that overlap one of ``others`` on their page by more
-    than ``limit``. Two rectangles meet at the size class of the larger one, in
-    the cell that holds the corner of their intersection, so nothing is missed
-    and a drawing of any extent takes a few cells."""
+    than ``limit``, at least half. Then the larger of two rectangles holds the
+    centre of the smaller one and has sides over half as long, so the centre meets
+    the few cells that the larger one takes at its size class; nothing is missed."""
+    assert limit >= 0.5, "smaller overlaps need not hold a centre"
     left = rects.select(page, *SIDES).distinct()
     right = others.select(page, *SIDES).distinct()
     levels = _levels(left, right)
     if not levels:
         return left
 
-    def found(lhs: str, rhs: str) -> DataFrame:
-        a = _cells(left, _own_and_coarser(left, levels)[lhs == "coarser"])
-        b = _cells(right, _own_and_coarser(right, levels)[rhs == "coarser"])
+    def found(small: DataFrame, large: DataFrame, swapped: bool) -> DataFrame:
+        a, b = _centre_cells(small, levels), _cells(large, F.array(_level(_rect())))
+        if swapped:
+            a, b = b, a
         b = b.select(*[F.col(c).alias(f"o_{c}") for c in (page, *SIDES, *CELL)])
         wide = [{s: c.cast("double") for s, c in _rect(p).items()} for p in ("", "o_")]
         share = overlap(*wide)
@@ -117,7 +133,7 @@ def covered_by(
         # a semi join stops at the first match, pairs are never emitted
         return a.join(b, near, "left_semi").select(page, *SIDES)
 
-    return found("coarser", "own").union(found("own", "coarser")).distinct()
+    return found(left, right, False).union(found(right, left, True)).distinct()
 
 
 def not_covered(rects: DataFrame, others: DataFrame, page: str, limit: float = MAX_OVERLAP,
@@ -141,44 +157,66 @@ def _greedy(ranked: Column) -> Column:
     )
 
 
-def suppress(candidates: DataFrame, page: str, per_round: int = 256) -> DataFrame:
+def _best_of_pages(rows: pa.Table, starts: np.ndarray) -> pa.Table:
+    group = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, rows.num_rows]))
+    boxes, size = planar.sides_of(rows), rows.column("area_frac").to_numpy()
+    order = np.lexsort((*boxes.T[::-1], -size, group))
+    return rows.take(order[planar.kept_greedily(boxes[order], group[order], MAX_OVERLAP)])
+
+
+def suppress(
+    candidates: DataFrame, page: str, per_round: int = 256, piece: int = planar.PIECE
+) -> DataFrame:
     """Greedy suppression per page: by area descending, a rectangle stays if it
-    overlaps every kept one by less than the limit.
+    overlaps every kept one by less than the limit. Rows without a page or a side
+    leave.
 
-    Each round decides the best ``per_round`` open rectangles of every page by a
-    fold; all others that overlap a kept one leave, and the rest goes to the next
-    round. A round keeps at least the best open rectangle, so the result is exact.
+    Pages of up to ``piece`` candidates are decided whole. On a crowded page each
+    round decides the best ``per_round`` open rectangles by a fold; all others that
+    overlap a kept one leave, and the rest goes to the next round. A round keeps at
+    least the best open rectangle, so the result is exact.
     """
-    first = F.struct(
-        (-F.col("area_frac")).alias("neg"), *SIDES, "kind", "area_frac",
-    )
-    open_rects = materialised(
-        candidates.groupBy(page, *SIDES).agg(
-            F.min("kind").alias("kind"), F.max("area_frac").alias("area_frac")
+    wanted = materialised(
+        candidates.dropna(subset=[page, *SIDES]).groupBy(page, *SIDES).agg(
+            F.min("kind").alias("kind"), F.max("area_frac").cast("double").alias("area_frac")
         ),
-        "suppress-open",
+        "suppress-wanted",
     )
+    columns = [page, "kind", *SIDES, "area_frac"]
+    crowded = planar.crowded_pages(wanted, page, piece)
+    if crowded.isEmpty():
+        return planar.by_whole_groups(wanted, [page], _best_of_pages, wanted.schema).select(*columns)
+    plain = wanted.join(crowded, page, "left_anti")
+    kept = planar.by_whole_groups(plain, [page], _best_of_pages, wanted.schema).select(*columns)
+    return kept.unionByName(_in_rounds(wanted.join(crowded, page, "left_semi"), page, per_round))
+
+
+def _in_rounds(open_rects: DataFrame, page: str, per_round: int) -> DataFrame:
+    first = F.struct((-F.col("area_frac")).alias("neg"), *SIDES, "kind", "area_frac")
     order = [F.col("area_frac").desc(), *[F.col(s) for s in SIDES]]
-    kept = open_rects.limit(0)
+    open_rects = materialised(open_rects, "suppress-open")
+    rounds = []
     while not open_rects.isEmpty():
         head = top_per_group(open_rects, [page], order, per_round).drop("rn")
         lists = head.groupBy(page).agg(F.array_sort(F.collect_list(first)).alias("open"))
         winners = lists.select(page, F.inline(_greedy(F.col("open")))).select(
             page, "kind", *SIDES, "area_frac"
         )
-        winners = materialised(winners, "suppress-kept")
-        kept = kept.unionByName(winners)
+        rounds.append(materialised(winners, "suppress-kept"))
         # every decided rectangle is a winner or overlaps one
         open_rects = materialised(
-            not_covered(open_rects, winners, page, MAX_OVERLAP, strict=False), "suppress-open"
+            not_covered(open_rects, rounds[-1], page, MAX_OVERLAP, strict=False), "suppress-open"
         )
+    kept = rounds[0]
+    for winners in rounds[1:]:
+        kept = kept.unionByName(winners)
     return kept
 
 
 def _hulls(boxes: DataFrame, page: str, gap: float, levels: list[int]) -> DataFrame:
     """Every box grown to the hull of the boxes that it comes nearer than ``gap``
     to, equal ones once; ``grew`` tells whether any of them grew."""
-    own, up = _own_and_coarser(boxes, levels)
+    own, up = _own_and_coarser(levels)
     a = _cells(boxes, up, gap)
     b = _cells(boxes, own, gap).select(*[F.col(c).alias(f"o_{c}") for c in (page, *SIDES, *CELL)])
     meet = (
@@ -201,18 +239,54 @@ def _hulls(boxes: DataFrame, page: str, gap: float, levels: list[int]) -> DataFr
     return hull.groupBy(page, *SIDES).agg(F.max(grew).alias("grew"))
 
 
-def merge_rects(rects: DataFrame, page: str, gap: float = GAP) -> DataFrame:
+def _merged_pieces(boxes: DataFrame, page: str, gap: float, piece: int) -> DataFrame:
+    """Boxes merged inside each piece of a page: page, sides and ``alone``."""
+
+    def work(rows: pa.Table, starts: np.ndarray) -> pa.Table:
+        group = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, rows.num_rows]))
+        found, of = planar.merged(planar.sides_of(rows), group, gap)
+        head = rows.select([page, "alone"]).take(starts[of])
+        for i, s in enumerate(SIDES):
+            head = head.append_column(s, pa.array(found[:, i]))
+        return head
+
+    kind = boxes.schema[page].dataType.simpleString()
+    schema = f"`{page}` {kind}, alone boolean, {', '.join(f'{s} double' for s in SIDES)}"
+    return planar.by_whole_groups(planar.in_pieces(boxes, page, piece), [page, "piece"], work, schema)
+
+
+def merge_rects(
+    rects: DataFrame, page: str, gap: float = GAP, piece: int = planar.PIECE
+) -> DataFrame:
     """Merged vector clusters per page: boxes grow to the hull of what they come
-    near until none does. Hulls of a cluster become equal on the way, so the
-    table shrinks; only boxes of one cell of a page are compared."""
+    near until none does. Boxes without a page or a side leave.
+
+    The end of merging is the same whatever is merged first. So each piece of a
+    page is merged by itself; a page of one piece is then done, and a crowded one,
+    with fewer boxes, is cut anew as long as that still merges a tenth of them.
+    What is left of crowded pages lies apart inside its pieces, so a tile holds few
+    boxes, and is compared tile by tile until no box of the page grows.
+    """
     as_double = [F.col(s).cast("double").alias(s) for s in SIDES]
-    boxes = materialised(rects.select(page, *as_double).distinct(), "merge-rects")
+    columns = [page, *SIDES]
+    boxes = rects.select(page, *as_double).dropna().distinct()
+    boxes, left, done = materialised(boxes, "merge-rects"), None, []
+    while True:
+        found = materialised(_merged_pieces(boxes, page, gap, piece), "merge-pieces")
+        done.append(found.filter("alone").select(*columns))
+        boxes = found.filter(~F.col("alone")).select(*columns)
+        before, left = left, boxes.count()
+        if not left or (before is not None and left > 0.9 * before):
+            break
     while levels := _levels(boxes):
         grown = materialised(_hulls(boxes, page, gap, levels), "merge-rects")
-        boxes = grown.drop("grew")
-        if grown.filter("grew").isEmpty():
-            break
-    return boxes
+        moving = grown.filter("grew").select(page).distinct()
+        done.append(grown.join(moving, page, "left_anti").select(*columns))
+        boxes = materialised(grown.join(moving, page, "left_semi").select(*columns), "merge-moving")
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 def _bands(df: DataFrame, y: Column, lo: int, hi: int) -> DataFrame:

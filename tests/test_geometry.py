@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from figureyard.operators import geometry
+from figureyard.operators import geometry, planar
 
 
 def _area(r):
@@ -40,10 +40,11 @@ def _greedy(rects):
 
 def test_suppression_of_small_and_hot_pages_is_greedy(spark):
     pages = {1: _rects(12, 1), 2: _rects(150, 2), 3: _rects(1, 3)}
-    # 150 candidates with 16 per round takes the route of hot pages
-    out = geometry.suppress(_frame(spark, pages), "page", per_round=16).collect()
-    for p, rects in pages.items():
-        assert {(r.x0, r.y0, r.x1, r.y1) for r in out if r.page == p} == _greedy(rects)
+    # 150 candidates with 16 per round takes the route of crowded pages
+    for piece in (512, 100, 5):
+        out = geometry.suppress(_frame(spark, pages), "page", per_round=16, piece=piece).collect()
+        for p, rects in pages.items():
+            assert {(r.x0, r.y0, r.x1, r.y1) for r in out if r.page == p} == _greedy(rects)
 
 
 def test_rects_covered_by_others_are_found_through_tiles(spark):
@@ -74,9 +75,43 @@ def _merged(rects, gap=14):
 
 def test_merging_to_the_end(spark):
     pages = {1: _rects(60, 5, (4, 30)), 2: _rects(9, 6, (4, 20)), 3: _rects(1, 7)}
-    out = geometry.merge_rects(_frame(spark, pages), "page").collect()
-    for p, rects in pages.items():
-        assert {(r.x0, r.y0, r.x1, r.y1) for r in out if r.page == p} == _merged(rects)
+    # small pieces take the route of crowded pages
+    for piece in (512, 20, 3):
+        out = geometry.merge_rects(_frame(spark, pages), "page", piece=piece).collect()
+        for p, rects in pages.items():
+            found = [(r.x0, r.y0, r.x1, r.y1) for r in out if r.page == p]
+            assert len(found) == len(set(found)) and set(found) == _merged(rects)
+
+
+def test_pieces_of_a_crowded_page_are_bounded(spark):
+    """100,000 boxes of one page in one tile, beside small pages."""
+    hot = spark.range(100_000).selectExpr(
+        "7L AS page", "cast(id % 300 AS int) / 3 AS x0", "cast(id / 300 AS int) / 4 AS y0"
+    ).selectExpr("page", "x0", "y0", "x0 + 1 AS x1", "y0 + 1 AS y1")
+    small = spark.createDataFrame(
+        [(1, 0.0, 0.0, 5.0, 5.0), (1, 100.0, 0.0, 105.0, 5.0)], hot.schema
+    )
+    boxes = hot.union(small)
+    sizes = planar.in_pieces(boxes, "page").groupBy("page", "piece", "alone").count().collect()
+    assert sum(r["count"] for r in sizes) == 100_002
+    hot_pieces = [r for r in sizes if not r.alone]
+    assert {r.page for r in hot_pieces} == {7} and len(hot_pieces) > 190
+    assert max(r["count"] for r in hot_pieces) < 2 * planar.PIECE
+    out = {(r.page, r.x0, r.y0, r.x1) for r in geometry.merge_rects(boxes, "page").collect()}
+    assert {r[1:] for r in out if r[0] == 1} == {(0.0, 0.0, 5.0), (100.0, 0.0, 105.0)}
+    assert len(out) == 3
+
+
+def test_nulls_and_empty_tables_of_rects(spark):
+    schema = "page long, kind string, x0 int, y0 int, x1 int, y1 int, area_frac double"
+    rows = [(None, "image", 0, 0, 9, 9, 1.0), (1, None, 0, 0, 9, 9, None), (1, "image", None, 0, 9, 9, 1.0),
+            (1, "image", 50, 50, 60, 60, 1.0), (1, "image", 50, 50, 60, 60, 1.0)]
+    df = spark.createDataFrame(rows, schema)
+    for piece in (512, 1):
+        assert sorted(r.x0 for r in geometry.merge_rects(df, "page", piece=piece).collect()) == [0.0, 50.0]
+        assert sorted(r.x0 for r in geometry.suppress(df, "page", piece=piece).collect()) == [0, 50]
+    assert geometry.merge_rects(df.limit(0), "page").count() == 0
+    assert geometry.suppress(df.limit(0), "page").count() == 0
 
 
 def _united(spark, boxes):
