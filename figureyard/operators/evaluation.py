@@ -138,6 +138,44 @@ def grouped_intervals(
     )
 
 
+def evaluation_report(
+    judged: DataFrame, by: Sequence[str] = ("name", "side"), k: int = len(CLASSES),
+    at_least: int = 10, resamples: int = 1000,
+) -> DataFrame:
+    """Everything told of a prediction set against one side of labels, a row each.
+
+    ``judged`` has ``by``, y4, pred4 and field; rows without a class on either hand
+    leave. Returned: binary metrics, n, acc4, ``<acc|f1>_<lo|hi>``, ``confusion``
+    (rows are true classes) and ``slices`` (field, hits, n; binary, with at least
+    ``at_least`` rows, unknown fields are ``?``). Rows shrink to counts of (truth,
+    guess, field) in one pass; all else comes from these.
+    """
+    by = list(by)
+    known = judged.filter(F.col("y4").between(0, k - 1) & F.col("pred4").between(0, k - 1))
+    field = F.coalesce("field", F.lit("?")).alias("field")
+    counts = known.groupBy(*by, field, "y4", "pred4").agg(F.count(F.lit(1)).alias("c"))
+    y, g = F.col("y4") == 0, F.col("pred4") == 0
+
+    def total(cond: Column) -> Column:
+        return F.coalesce(F.sum(F.when(cond, F.col("c"))), F.lit(0))
+
+    table = F.array(*[
+        F.array(*[total((F.col("y4") == i) & (F.col("pred4") == j)) for j in range(k)]) for i in range(k)
+    ])
+    whole = counts.groupBy(*by).agg(
+        total(y & g).alias("tp"), total(~y & g).alias("fp"), total(y & ~g).alias("fn"),
+        total(~y & ~g).alias("tn"), table.alias("confusion"),
+        F.bround(total(F.col("y4") == F.col("pred4")) / F.sum("c"), 4).alias("acc4"),
+    )
+    parts = counts.groupBy(*by, "field").agg(total(y == g).alias("hits"), F.sum("c").alias("n"))
+    listed = parts.filter(F.col("n") >= at_least).groupBy(*by).agg(
+        F.array_sort(F.collect_list(F.struct("field", "hits", "n"))).alias("slices")
+    )
+    ends = grouped_intervals(whole, by, {m: METRICS[m] for m in ("acc", "f1")}, resamples)
+    out = metrics(whole, [*by, "acc4", "confusion"]).join(ends, by).join(listed, by, "left")
+    return out.withColumn("slices", F.coalesce("slices", F.array().cast(listed.schema["slices"].dataType)))
+
+
 def _tail(stat: pd.Series) -> pd.Series:
     return stat.map(lambda s: math.erfc(math.sqrt(s / 2)))
 

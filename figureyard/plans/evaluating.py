@@ -144,6 +144,69 @@ def evaluation(spark, d):
     )
 
 
+def two_sides(spark, d, preds):
+    """Prediction sets (name, image_id, pred4) beside silver and gold classes. Gold
+    is a rater's yes or no: a no keeps the silver class unless that is a yes."""
+    p = t.predictions(spark, d).select("image_id", F.col("y4").cast("int").alias("silver"), "field")
+    labels = t.table(spark, d, "labels").select(F.col("doc_id").alias("image_id"), "quality")
+    gold = F.when(F.col("quality") == 1, 0).otherwise(F.greatest("silver", F.lit(1)))
+    known = p.join(labels, "image_id", "left").withColumn("gold", F.when(F.col("quality").isNotNull(), gold))
+    sides = F.array(*[F.struct(F.lit(s).alias("side"), F.col(s).alias("y4")) for s in ("silver", "gold")])
+    return preds.join(known, "image_id").select("name", "field", "pred4", F.inline(sides)).filter("y4 IS NOT NULL")
+
+
+def _both_models(spark, d):
+    p = t.predictions(spark, d)
+    sets = [F.struct(F.lit(n).alias("name"), F.col(c).cast("int").alias("pred4"))
+            for n, c in (("model_a", "pred_a"), ("model_b", "pred_b"))]
+    return two_sides(spark, d, p.select("image_id", F.inline(F.array(*sets))))
+
+
+_SIDES = """
+    p AS (SELECT v.*, quality FROM preds_v v LEFT JOIN labels ON doc_id = image_id),
+    s AS (SELECT image_id, field, pred_a, pred_b, 'silver' AS side, y4 FROM p UNION ALL
+          SELECT image_id, field, pred_a, pred_b, 'gold', CASE WHEN quality = 1 THEN 0 ELSE greatest(y4, 1) END
+          FROM p WHERE quality IS NOT NULL),
+    j AS (SELECT 'model_a' AS name, side, field, y4, pred_a AS p4 FROM s UNION ALL
+          SELECT 'model_b', side, field, y4, pred_b FROM s)
+"""
+_COUNTS = " || ',' || ".join(f"count(*) FILTER (y4 = {i} AND p4 = {j})" for i in range(4) for j in range(4))
+
+
+@query(
+    "ml6_two_sided_report",
+    f"""
+    WITH {_SIDES},
+      m AS (SELECT {_METRICS.format(by='name, side,')} FROM ({_CELLS.format(
+          by='name, side,', group='GROUP BY name, side',
+          src='SELECT name, side, (y4 = 0)::INT AS y, (p4 = 0)::INT AS p FROM j')})),
+      c AS (SELECT name, side, round_even(avg(CASE WHEN y4 = p4 THEN 1.0::DOUBLE ELSE 0 END), 4) AS acc4,
+                   {_COUNTS} AS confusion FROM j GROUP BY name, side),
+      f AS (SELECT name, side, field || ':' || count(*) FILTER ((y4 = 0) = (p4 = 0)) || '/' || count(*) AS line
+            FROM j GROUP BY name, side, field HAVING count(*) >= 10),
+      l AS (SELECT name, side, string_agg(line, ' ' ORDER BY line) AS slices FROM f GROUP BY name, side)
+    SELECT m.*, acc4, confusion, coalesce(slices, '') AS slices
+    FROM m JOIN c USING (name, side) LEFT JOIN l USING (name, side)
+    """,
+)
+def two_sided_report(spark, d):
+    """Each prediction set against silver and gold: metrics, confusion, slices."""
+    lines = F.transform("slices", lambda s: F.concat_ws("", s["field"], F.lit(":"), s["hits"], F.lit("/"), s["n"]))
+    return ev.evaluation_report(_both_models(spark, d)).select(
+        "name", "side", "acc", "precision", "recall", "f1", "n", "acc4",
+        F.concat_ws(",", F.transform(F.flatten("confusion"), lambda c: c.cast("string"))).alias("confusion"),
+        F.concat_ws(" ", F.array_sort(lines)).alias("slices"),
+    )
+
+
+@query("ml6_two_sided_intervals")
+def two_sided_intervals(spark, d):
+    """The bootstrap intervals themselves, which depend on the draws."""
+    ends = [f"{m}_{e}" for m in ("acc", "f1") for e in ("lo", "hi")]
+    found = ev.evaluation_report(_both_models(spark, d))
+    return found.select("name", "side", "n", "acc", "f1", *[F.round(c, 4).alias(c) for c in ends])
+
+
 @query(
     "ml8_mcnemar",
     """

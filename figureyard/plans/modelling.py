@@ -9,7 +9,9 @@ from figureyard.functions.vectors import argmax
 from figureyard.operators import datasets, evaluation, models
 from figureyard.operators.ranking import seeded_hash
 from figureyard.plans.catalog import query
+from figureyard.plans.evaluating import two_sides
 from figureyard.plans.joining import _CENTROID
+from figureyard.schemas import PREDICTIONS
 from figureyard.sinks import stores
 from figureyard.sources import tables as t
 from figureyard.session import materialised, shared_path
@@ -101,6 +103,25 @@ def mlp_head(spark, d):
     return _report(models.predicted(model, e, "embedding", "y4"))
 
 
+@query("e4_probe_to_report")
+def probe_to_report(spark, d):
+    """Both heads fitted, their predictions of the splits not learnt from saved as
+    prediction sets, read back and reported against silver and gold."""
+    e, path = labelled(spark, d), shared_path(spark, "prediction-sets")
+    train, rest = e.filter(F.col("split") == "train"), e.filter(F.col("split") != "train")
+    heads = {
+        "probe_logreg": models.fit_logistic(train, "embedding", "y4", max_iter=MAX_ITER),
+        "probe_mlp": models.fit_mlp(train, "embedding", "y4", DIM, hidden=256, max_iter=600),
+    }
+    for name, model in heads.items():
+        stores.save_predictions(
+            models.predicted(model, rest, "embedding", "y4").withColumn("name", F.lit(name)), path
+        )
+    tested = spark.read.schema(PREDICTIONS).parquet(path).filter(F.col("split") == "test")
+    found = evaluation.evaluation_report(two_sides(spark, d, tested.select("name", "image_id", "pred4")))
+    return found.drop("confusion", "slices")
+
+
 @query("ml5_boosted_trees")
 def boosted_trees(spark, d):
     """Trees on the ten cheap features of crops; one without pixels has none."""

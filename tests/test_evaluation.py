@@ -131,3 +131,28 @@ def test_intervals_of_groups_are_those_of_each(spark):
         assert abs((r.acc_hi - r.acc_lo) / (2 * 1.96 * (0.09 / n) ** 0.5) - 1) < 0.2
     alone = ev.bootstrap(counts.where("judge = 'a'").drop("judge"), ev.METRICS["acc"]).first()
     assert (alone.lo, alone.hi) == (out["a"].acc_lo, out["a"].acc_hi)
+
+
+def test_report_of_two_sides_against_resampled_rows(spark):
+    rng = np.random.default_rng(5)
+    y = rng.integers(0, 4, 400)
+    p = np.where(rng.random(400) < 0.7, y, rng.integers(0, 4, 400))
+    fields = [None if i % 3 == 0 else f"f{i % 3}" for i in range(400)]
+    rows = [("m", "silver", int(a), int(b), f) for a, b, f in zip(y, p, fields)]
+    rows += [("m", "gold", 0, 0, "few")] * 9 + [("m", "gold", None, 0, "few"), ("m", "gold", 0, None, "few")]
+    df = spark.createDataFrame(rows, "name string, side string, y4 int, pred4 int, field string")
+    out = {r.side: r for r in ev.evaluation_report(df).collect()}
+    r = out["silver"]
+    assert r.n == 400 and r.acc4 == round(float((y == p).mean()), 4)
+    assert [[int(((y == i) & (p == j)).sum()) for j in range(4)] for i in range(4)] == r.confusion
+    assert {s.field for s in r.slices} == {"?", "f1", "f2"} and sum(s.n for s in r.slices) == 400
+    yb, pb = y == 0, p == 0
+    drawn = []
+    for _ in range(1000):
+        s = rng.integers(0, 400, 400)
+        tp = (yb[s] & pb[s]).sum()
+        drawn.append(((yb[s] == pb[s]).mean(), 2 * tp / (yb[s].sum() + pb[s].sum())))
+    want = np.percentile(drawn, [2.5, 97.5], axis=0)
+    assert np.allclose([[r.acc_lo, r.f1_lo], [r.acc_hi, r.f1_hi]], want, atol=0.015)
+    g = out["gold"]
+    assert (g.n, g.acc, g.f1, g.slices, g.acc_lo) == (9, 1.0, 1.0, [], 1.0)
