@@ -40,7 +40,15 @@ def pending_items(manifest: DataFrame, users: DataFrame, delivered: DataFrame,
         .withColumn("m", F.explode(F.sequence(F.lit(0), F.lit(chunk - 1))))
         .select("uid", (m + 1 + F.coalesce(passed, F.lit(0))).alias("pos"), (m + 1).alias("rn"))
     )
-    return gaps.join(manifest, "pos")
+    return at_positions(gaps, manifest)
+
+
+def at_positions(wanted: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Rows of ``wanted`` with the item at their ``pos``. Spark estimates exploded
+    positions at the size of what they come from, and would send all of them to
+    the driver for a broadcast; the hint makes it hash the manifest's part of a
+    shuffle instead, past which they stream."""
+    return wanted.join(manifest.hint("shuffle_hash"), "pos")
 
 
 def flagged_manifest(manifest: DataFrame, delivered: DataFrame) -> DataFrame:

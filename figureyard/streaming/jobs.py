@@ -234,7 +234,7 @@ def delivery_stream(feed: Feed, manifest: DataFrame, chunk: int = delivery.CHUNK
     total = manifest.agg(F.coalesce(F.max("pos"), F.lit(0)).alias("n")).first()["n"]
 
     def sink(ranges: DataFrame, batch_id: int) -> None:
-        items = keyed.positions(ranges).join(manifest, "pos")
+        items = delivery.at_positions(keyed.positions(ranges), manifest)
         table.put(items.select("uid", "image_id"), batch_id)
 
     with keyed.on_rocksdb(feed.spark):

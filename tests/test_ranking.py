@@ -81,3 +81,13 @@ def test_recording_a_delivery_twice_adds_nothing(spark):
     new = spark.createDataFrame([(1, 10), (1, 11), (1, 11)], "uid long, image_id long")
     rows = delivery.record_delivery(old, new, F.lit(5)).collect()
     assert [(r.uid, r.image_id, r.ts) for r in rows] == [(1, 11, 5)]
+
+
+def test_exploded_positions_are_not_broadcast(spark):
+    manifest = spark.range(50).select(F.col("id").alias("image_id"), (F.col("id") + 1).alias("pos"))
+    users = spark.range(3).select(F.col("id").alias("uid"))
+    out = delivery.pending_items(manifest, users, manifest.limit(0).selectExpr("pos AS uid", "image_id"), chunk=20)
+    assert out.count() == 60
+    plan = out._jdf.queryExecution().toRdd().count() and out._jdf.queryExecution().executedPlan().toString()
+    final = plan.split("Initial Plan")[0]
+    assert "ShuffledHashJoin [pos" in final and "BroadcastHashJoin [pos" not in final
