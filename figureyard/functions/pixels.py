@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 # Thresholds of the grey-level measures.
 OFF_MODE, LIGHT, DARK, COLOUR_STEP = 16, 240, 32, 7
 LEVELS = 256
+SLICE = 256  # crops whose counts are held together
 
 COUNTS = (
     T.StructType()
@@ -39,14 +40,24 @@ def counted(blob: bytes | None, width: int) -> tuple:
     right = right[np.arange(1, len(whole)) % width != 0] if len(whole) else right
     steps = sum(float(s.mean()) for s in (below, right) if len(s))
     seen = np.bincount(flat[::COLOUR_STEP], minlength=LEVELS)
-    return np.bincount(flat, minlength=LEVELS).tolist(), steps, int((seen > 0).sum())
+    return np.bincount(flat, minlength=LEVELS).astype(np.int32), steps, int((seen > 0).sum())
 
 
-@F.pandas_udf(COUNTS)
-def pixel_counts(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+def counted_slice(blobs: pa.Array, widths: pa.Array) -> pa.Array:
+    """``counted`` of a few crops as structs."""
+    rows = [counted(b, int(w)) for b, w in zip(blobs.to_pylist(), widths.to_pylist())]
+    hist, edge, colors = zip(*rows)
+    columns = [pa.array(hist, pa.list_(pa.int32())), pa.array(edge, pa.float64()), pa.array(colors, pa.int32())]
+    return pa.StructArray.from_arrays(columns, names=COUNTS.names)
+
+
+@F.arrow_udf(COUNTS)
+def pixel_counts(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """A batch of crops holds as many rows as Spark sends; its counts go out slice
+    by slice, so that a task never holds those of a whole batch."""
     for blobs, widths in batches:
-        rows = [counted(b, int(w)) for b, w in zip(blobs, widths)]
-        yield pd.DataFrame(rows, columns=["hist", "edge", "colors"], index=blobs.index)
+        for at in range(0, len(blobs), SLICE):
+            yield counted_slice(blobs.slice(at, SLICE), widths.slice(at, SLICE))
 
 
 def measures(c: Column) -> Column:

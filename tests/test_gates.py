@@ -1,9 +1,11 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from figureyard.functions import columns as c
+from figureyard.functions import pixels
 from figureyard.functions.pixels import pixel_stats
 from figureyard.operators import datasets, gates, registry
 
@@ -197,3 +199,14 @@ def test_long_documents_keep_their_pages(spark, tmp_path):
     spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "documents.parquet"))
     assert tables.pages(spark, str(tmp_path)).count() == 30
     assert tables.papers(spark, str(tmp_path)).first().title == "First line"
+
+
+def test_counts_of_crops_leave_in_slices():
+    blobs = [bytes([i % 256] * (i % 7)) if i % 5 else None for i in range(1000)]
+    batch = (pa.array(blobs, pa.binary()), pa.array([2] * 1000))
+    parts = list(pixels.pixel_counts.func(iter([batch])))
+    assert max(map(len, parts)) <= pixels.SLICE
+    rows = [r for p in parts for r in p.to_pylist()]
+    for blob, row in zip(blobs, rows, strict=True):
+        hist, edge, colors = pixels.counted(blob, 2)
+        assert row == {"hist": None if hist is None else hist.tolist(), "edge": edge, "colors": colors}
