@@ -334,26 +334,30 @@ def fallback_asset(spark, d):
     """,
 )
 def fold_ocr(spark, d):
-    text = t.table(spark, d, "documents").select("doc_id", "text")
-    p = t.papers(spark, d).join(text, "doc_id")
     # the whole text is the payload
+    p = t.papers(spark, d, "text")
     uri = F.concat(F.lit("data:image/png;base64,"), F.base64(F.encode("text", "UTF-8")))
-    images = F.transform(
-        F.sequence(F.lit(1), F.lit(3)),
-        lambda o: F.struct(
-            F.concat(F.lit("img-"), o.cast("string"), F.lit(".png")).alias("id"),
-            F.when(o != 2, uri).alias("image_base64"),
-        ),
-    )
-    # the response holds two pages more than the manifest
-    response = F.struct(
-        F.transform(
-            F.sequence(F.lit(0), F.col("n_pages") + 1),
-            lambda i: F.struct(
-                i.alias("index"), F.lit("").alias("markdown"), images.alias("images")
+
+    def response_of(uri):
+        images = F.transform(
+            F.sequence(F.lit(1), F.lit(3)),
+            lambda o: F.struct(
+                F.concat(F.lit("img-"), o.cast("string"), F.lit(".png")).alias("id"),
+                F.when(o != 2, uri).alias("image_base64"),
             ),
-        ).alias("pages")
-    )
+        )
+        # the response holds two pages more than the manifest
+        return F.struct(
+            F.transform(
+                F.sequence(F.lit(0), F.col("n_pages") + 1),
+                lambda i: F.struct(
+                    i.alias("index"), F.lit("").alias("markdown"), images.alias("images")
+                ),
+            ).alias("pages")
+        )
+
+    # encoded once for all pages
+    response = F.get(F.transform(F.array(uri), response_of), F.lit(0))
     manifest = F.transform(
         F.sequence(F.lit(1), F.col("n_pages")),
         lambda n: F.struct(F.col("arxiv_id").alias("arxiv_id"), n.alias("page_no")),

@@ -26,7 +26,8 @@ def _base_id(doc_id: Column) -> Column:
     return F.lpad(number.cast("string"), 6, "0")
 
 
-def papers(spark: SparkSession, folder: str) -> DataFrame:
+def papers(spark: SparkSession, folder: str, *more: str) -> DataFrame:
+    """One paper per document, with the ``more`` columns of it from the same scan."""
     d = table(spark, folder, "documents")
     doc_id = F.col("doc_id")
     return d.select(
@@ -42,6 +43,7 @@ def papers(spark: SparkSession, folder: str) -> DataFrame:
         .otherwise("downloaded")
         .alias("status"),
         "n_chars",
+        *more,
     )
 
 

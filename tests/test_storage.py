@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from figureyard import schemas
 from figureyard.functions import replies
 from figureyard.operators import datasets, models
-from figureyard.plans import curation, storage
+from figureyard.plans import curation, registered, storage
 from figureyard.sinks import pieces, stores
 from figureyard.sources import scans
 
@@ -207,3 +207,8 @@ def test_archives_are_laid_out_by_field_and_batch(spark, tmp_path):
     path = str(tmp_path / "z")
     stores.write_archives(df, path)
     assert spark.read.parquet(path).filter("field = 'a' AND batch = 2").first().id == 8
+
+
+def test_recognised_texts_are_not_shuffled(spark):
+    plan = registered.QUERIES["reg12_fold_ocr"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan()
+    assert "Exchange" not in plan.toString()
