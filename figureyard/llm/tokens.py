@@ -113,6 +113,7 @@ class PartIds(WordIds):
 # digits (each a part of its own), marks.
 KINDS = np.array([1 if chr(b).isalpha() else 2 if 48 <= b < 58 else 0 if b in b" \t\n\v\f\r" else 3 for b in range(256)], np.uint8)
 CUT = 1 << 20  # bytes handled together, if no part is longer
+NEAR = 1 << 19  # places by low bits of a hash, a power of two
 
 
 def part_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -128,13 +129,20 @@ def part_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 class BlockIds(PartIds):
     """The same ids for many texts at once: parts are hashed in blocks (64 bits keep
-    them apart), each distinct part of a block is looked up once, and ids are
-    gathered by numpy."""
+    them apart), and ids are gathered by numpy. Most parts are found at the place of
+    their hash's low bits, which holds the last part that was looked up there; each
+    distinct other one of a block is looked up once."""
 
     def __init__(self, path: str):
         super().__init__(path)
+        self.flat, self.cuts = np.empty(1 << 16, np.uint32), np.zeros(1 << 16, np.int64)
+        self.forget()
+
+    def forget(self) -> None:
         self.slots: dict[int, int] = {}
-        self.flat, self.cuts, self.used = np.empty(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), 0
+        self.used = 0
+        # a place starts with a number that never belongs there
+        self.near, self.near_slot = np.arange(NEAR, dtype=np.uint64) ^ np.uint64(1), np.zeros(NEAR, np.int32)
 
     def learn(self, parts: list[bytes], hashes: list[int]) -> None:
         lists = [self.merge(p.decode("latin-1").encode() + WORD_END) for p in parts]
@@ -148,19 +156,33 @@ class BlockIds(PartIds):
         self.slots.update(zip(hashes, range(n, n + len(parts))))
         self.used = total
 
-    def block(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(slot, number of ids, begin) of every part of ``data``."""
-        hashes, begin, end = part_hashes(data)
-        distinct, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+    def found(self, hashes: np.ndarray, data: bytes, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Slot of every part."""
+        at = (hashes & np.uint64(NEAR - 1)).astype(np.int64)
+        slot = self.near_slot[at]
+        other = np.flatnonzero(self.near[at] != hashes)
+        if not len(other):
+            return slot
+        distinct, first, inverse = np.unique(hashes[other], return_index=True, return_inverse=True)
         keys = distinct.tolist()
-        if len(self.slots) + len(keys) > KNOWN_PARTS:
-            self.slots, self.used = {}, 0
+        if self.slots and len(self.slots) + len(keys) > KNOWN_PARTS:
+            self.forget()
+            return self.found(hashes, data, begin, end)
         new = [i for i, k in enumerate(keys) if k not in self.slots]
         if new:
-            at = first[new]
-            self.learn([data[a:b] for a, b in zip(begin[at].tolist(), end[at].tolist())], [keys[i] for i in new])
-        slot = np.fromiter(map(self.slots.__getitem__, keys), np.int64, len(keys))
-        return slot[inverse], (self.cuts[slot + 1] - self.cuts[slot])[inverse], begin
+            where = other[first[new]]
+            self.learn([data[a:b] for a, b in zip(begin[where].tolist(), end[where].tolist())], [keys[i] for i in new])
+        looked_up = np.fromiter(map(self.slots.__getitem__, keys), np.int32, len(keys))
+        slot[other] = looked_up[inverse]
+        place, last = np.unique(at[other][first], return_index=True)
+        self.near[place], self.near_slot[place] = distinct[last], looked_up[last]
+        return slot
+
+    def block(self, data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(slot, number of ids, begin) of every part of ``data``."""
+        hashes, begin, end = part_hashes(data)
+        slot = self.found(hashes, data, begin, end)
+        return slot, self.cuts[slot + 1] - self.cuts[slot], begin
 
     def blocks(self, texts: list[str | None]) -> Iterator[tuple[int, np.ndarray | None, np.ndarray]]:
         """(place of the text, slots or None, ids or their numbers) piece by piece:

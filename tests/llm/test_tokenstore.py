@@ -96,3 +96,19 @@ def test_token_sequences_of_odd_rows(odd_docs, no_docs):
     for df in (odd_docs, no_docs):
         n = sum(r["count"] for r in ts.token_sequence_counts(df, 8, path).collect())
         assert n == ts.token_sequences(df, 8, path).count()
+
+
+def test_parts_that_share_a_place_keep_their_ids(monkeypatch):
+    from figureyard.llm import tokens
+
+    monkeypatch.setattr(tokens, "NEAR", 4)
+    monkeypatch.setattr(tokens, "KNOWN_PARTS", 40)
+    path = tokens.public_file("word_bpe_49k.json")
+    texts = [" ".join(f"word{chr(97 + i * k % 26)}{i}, {k}" for i in range(30)) for k in range(1, 9)]
+    coder, plain = tokens.BlockIds(path), tokens.WordIds(path)
+    want = [np.frombuffer(plain.text(t), "<u4").tolist() for t in texts]
+    for _ in range(2):
+        for at in range(0, len(texts), 3):
+            part = texts[at : at + 3]
+            assert [x.tolist() for x in coder.arrays(part)] == want[at : at + 3]
+            assert coder.numbers(part).tolist() == [len(x) for x in want[at : at + 3]]
