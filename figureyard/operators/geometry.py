@@ -289,68 +289,56 @@ def merge_rects(
     return out
 
 
-def _bands(df: DataFrame, y: Column, lo: int, hi: int) -> DataFrame:
-    span = BAND_BELOW + BAND_ABOVE
-    return df.withColumn(
-        "band", F.explode(F.sequence(F.floor((y - lo) / span), F.floor((y + hi) / span)))
-    )
-
-
 def captions(figures: DataFrame, blocks: DataFrame, page: str) -> DataFrame:
     """Caption text of every figure from the blocks below it.
 
     Blocks start within the band under the figure and overlap it sideways. The
     first one that reads like a caption is taken with the block after it,
-    otherwise the nearest block. Figures and blocks meet on page and band, and
-    pairs go straight into map-side minima; they are never shuffled or kept. A
-    repeated caption is followed by its own copy.
+    otherwise the nearest block. A band is as high as the reach of a figure, so a
+    figure belongs to one band and a block is seen by two. Figures and blocks meet
+    on page and band, and what is found stays with its figure there: figures are
+    shuffled once, blocks once for both passes, and pairs go straight into minima.
+    A repeated caption is followed by its own copy.
     """
     span = BAND_BELOW + BAND_ABOVE
+    at = F.floor(F.col("by0") / span)
     text = (
-        blocks.withColumn("txt", strip(F.col("txt"))).filter(F.length("txt") > 0)
-        .groupBy(page, "bx0", "bx1", "by0", "txt").agg(F.count(F.lit(1)).alias("copies"))
-        .withColumn("band", F.floor(F.col("by0") / span))
+        blocks.select(F.col(page).alias("b_page"), "bx0", "bx1", "by0", strip(F.col("txt")).alias("txt"))
+        .filter(F.length("txt") > 0)
+        .withColumn("b_band", F.explode(F.array(at - 1, at)))
     )
     keys = [page, *SIDES]
     under = (
-        (F.col("by0") >= F.col("y1") - BAND_ABOVE)
+        (F.col(page) == F.col("b_page")) & (F.col("band") == F.col("b_band"))
+        & (F.col("by0") >= F.col("y1") - BAND_ABOVE)
         & (F.col("by0") <= F.col("y1") + BAND_BELOW)
         & (F.col("bx1") >= F.col("x0"))
         & (F.col("bx0") <= F.col("x1"))
     )
-    spot = F.struct("by0", "txt")
-    base = figures.select(*keys).distinct()
-    banded = _bands(base, F.col("y1"), BAND_ABOVE, BAND_BELOW)
+    # no block, no spot
+    spot = F.when(F.col("by0").isNotNull(), F.struct("by0", "txt"))
+    base = figures.select(*keys).distinct().withColumn("band", F.floor((F.col("y1") - BAND_ABOVE) / span))
     firsts = (
-        banded.join(text, [page, "band"]).filter(under)
-        .groupBy(*keys)
+        base.join(text, under, "left").groupBy("band", *keys)
         .agg(
             F.min(spot).alias("near"),
             F.min(F.when(looks_like_caption(F.col("txt")), spot)).alias("cap"),
         )
     )
-    with_cap = _bands(
-        firsts.filter(F.col("cap").isNotNull()).select(*keys, "cap"),
-        F.col("y1"), BAND_ABOVE, BAND_BELOW,
-    )
-    after = (
-        with_cap.join(text, [page, "band"]).filter(under & (spot >= F.col("cap")))
-        .groupBy(*keys)
+    found = (
+        firsts.join(text, under & (F.struct("by0", "txt") >= F.col("cap")), "left")
+        .groupBy("band", *keys, "near", "cap")
         .agg(
-            F.sum(F.when(spot == F.col("cap"), F.col("copies"))).alias("same"),
+            F.count_if(spot == F.col("cap")).alias("same"),
             F.min(F.when(spot > F.col("cap"), spot)).alias("later"),
         )
     )
-    joined = firsts.join(after, keys, "left").withColumn(
-        "next_txt", F.when(F.col("same") > 1, F.col("cap.txt")).otherwise(F.col("later.txt"))
-    )
+    next_txt = F.when(F.col("same") > 1, F.col("cap.txt")).otherwise(F.col("later.txt"))
     text_of = F.when(
-        F.col("cap").isNotNull(),
-        F.concat_ws(" ", F.col("cap.txt"), F.col("next_txt")),
+        F.col("cap").isNotNull(), F.concat_ws(" ", F.col("cap.txt"), next_txt)
     ).otherwise(F.col("near.txt"))
-    found = joined.select(*keys, squeeze(text_of, CAPTION_CHARS).alias("caption"))
-    return base.join(found, keys, "left").withColumn(
-        "caption", F.coalesce("caption", F.lit(""))
+    return found.select(
+        *keys, F.coalesce(squeeze(text_of, CAPTION_CHARS), F.lit("")).alias("caption")
     )
 
 

@@ -175,3 +175,16 @@ def test_candidates_are_clipped_and_filtered(spark):
     )
     out = geometry.figure_candidates(df, F.lit(612), F.lit(792)).collect()
     assert {(r.kind, r.x0, r.x1) for r in out} == {("image", 0, 200), ("vector", 10, 200)}
+
+
+def test_captions_shuffle_figures_and_blocks_once(spark):
+    figs = spark.createDataFrame([(1, 0, 0, 50, 40), (1, 0, 0, 50, 40), (2, 0, 0, 50, 700)], "page long, x0 long, y0 long, x1 long, y1 long")
+    blocks = spark.createDataFrame(
+        [(1, 5, 300, 90, 312, "Figure 1"), (1, 5, 300, 90, 313, "Figure 1 "), (1, 5, 299, 90, 310, "near"), (1, 5, 301, 90, 310, "far")],
+        "page long, bx0 long, by0 long, bx1 long, by1 long, txt string",
+    )
+    out = geometry.captions(figs, blocks, "page")
+    plan = out._jdf.queryExecution().executedPlan().toString()  # before it adapts
+    assert {(r.page, r.caption) for r in out.collect()} == {(1, "Figure 1 Figure 1"), (2, "")}
+    joins = plan.count("SortMergeJoin") + plan.count("BroadcastHashJoin")
+    assert joins == 2 and plan.count("hashpartitioning(") <= 4
