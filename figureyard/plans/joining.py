@@ -214,7 +214,7 @@ def _caption_sql(figures: str) -> str:
 
 @query("jn12_captions", _caption_sql("rects_v"))
 def captions(spark, d):
-    return geometry.captions(t.rects(spark, d), t.blocks(spark, d), "page_key")
+    return geometry.captions(t.drawn(spark, d), t.blocks(spark, d), "page_key")
 
 
 @query(

@@ -114,33 +114,26 @@ def predictions(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def rects(spark: SparkSession, folder: str) -> DataFrame:
-    """Drawing and image rectangles of a page. Copies of a rectangle count once.
-
-    Kinds are gathered by rectangle, so that distinct sides of a page, which most
-    readers ask for next, need no second shuffle.
-    """
+def drawn(spark: SparkSession, folder: str) -> DataFrame:
+    """Drawing and image rectangles of a page, with copies."""
     part, supp = F.col("l_partkey"), F.col("l_suppkey")
     x0, y0 = (part * 37) % 400, (supp * 53) % 560
-    image = F.coalesce(F.col("l_linenumber") % 2 == 0, F.lit(False))
-    sides = ["x0", "y0", "x1", "y1"]
-    found = (
+    return (
         table(spark, folder, "lineitem")
         .select(
             F.col("l_orderkey").alias("page_key"),
-            image.alias("image"),
+            F.when(F.col("l_linenumber") % 2 == 0, "image").otherwise("vector").alias("kind"),
             x0.alias("x0"),
             y0.alias("y0"),
             (x0 + F.col("l_quantity").cast("int") * 4 + 20).alias("x1"),
             (y0 + (part * 13) % 200 + 20).alias("y1"),
         )
-        .groupBy("page_key", *sides)
-        .agg(F.bool_or("image").alias("image"), F.bool_or(~F.col("image")).alias("vector"))
-    )
-    kinds = F.filter(
-        F.array(F.when(F.col("image"), "image"), F.when(F.col("vector"), "vector")), lambda k: k.isNotNull()
     )
-    return found.select("page_key", F.explode(kinds).alias("kind"), *sides)
+
+
+def rects(spark: SparkSession, folder: str) -> DataFrame:
+    """The same; copies of a rectangle count once."""
+    return drawn(spark, folder).distinct()
 
 
 def blocks(spark: SparkSession, folder: str) -> DataFrame:
