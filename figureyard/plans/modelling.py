@@ -142,7 +142,7 @@ def boosted_trees(spark, d):
     )
     # each booster reads them in every round
     rows = materialised(rows, "crop-shapes")
-    model = models.fit_trees(rows.filter(F.col("split") == "train"), "shape", "y4", max_iter=100, depth=5)
+    model = models.fit_trees(rows.filter(F.col("split") == "train"), "shape", "y4", "image_id", max_iter=100, depth=5)
     return _report(models.predicted(model, rows, "shape", "y4"))
 
 
