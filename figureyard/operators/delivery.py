@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from figureyard.operators.ranking import id_bucket, rank_within
 
 CHUNK = 200  # fixed value: items per delivery
+TASK_ITEMS = 1 << 19  # delivered rows that one task is left with
+SHARES = 8  # how finely the askers of a task are dealt
 
 
 def pending_items(manifest: DataFrame, users: DataFrame, delivered: DataFrame,
@@ -51,6 +53,38 @@ def at_positions(wanted: DataFrame, manifest: DataFrame) -> DataFrame:
     return wanted.join(manifest.hint("shuffle_hash"), "pos")
 
 
+def in_cells(manifest: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """The manifest as one row for each ``chunk`` positions, with their items."""
+    return manifest.groupBy(_cell(F.col("pos"), chunk).alias("cell")).agg(
+        F.max("pos").alias("last"), F.sort_array(F.collect_list(F.struct("pos", "image_id"))).alias("items")
+    )
+
+
+def _cell(pos: Column, chunk: int) -> Column:
+    return F.floor((pos - 1) / chunk)
+
+
+def at_ranges(ranges: DataFrame, cells: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """(uid, image_id) for all positions above ``low``, up to ``high``, of a user.
+
+    A user travels as one row for each cell met, never as positions. All users may want
+    the same cell, as in the first delivery: they are dealt into shares, a cell is
+    copied to the shares that want it, and items come out behind the shuffle. The number
+    of tasks follows from them, as small rows would be joined in one task. ``ranges``
+    is read three times and has to be a table.
+    """
+    tasks = max(1, -(-ranges.count() * chunk // TASK_ITEMS))
+    met = F.sequence(_cell(F.col("low") + 1, chunk), _cell(F.col("high"), chunk))
+    asked = ranges.select(
+        "uid", "low", "high", F.explode(met).alias("cell"),
+        F.pmod(F.xxhash64("uid"), F.lit(tasks * SHARES)).alias("share"),
+    )
+    copies = asked.select("cell", "share").distinct().join(cells.select("cell", "items"), "cell")
+    both = asked.repartition(tasks, "cell", "share").join(copies.hint("shuffle_hash"), ["cell", "share"])
+    given = both.select("uid", "low", "high", F.inline("items"))
+    return given.filter((F.col("pos") > F.col("low")) & (F.col("pos") <= F.col("high"))).select("uid", "image_id")
+
+
 def flagged_manifest(manifest: DataFrame, delivered: DataFrame) -> DataFrame:
     """Manifest rows with a mark for those one user already has."""
     got = delivered.select("image_id", F.lit(True).alias("downloaded")).distinct()

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from figureyard.operators import batching, delivery
 from figureyard.operators.ranking import latest_per_key
 from figureyard.operators.reports import side_by_side
-from figureyard.session import shared_path
+from figureyard.session import materialised, shared_path
 from figureyard.streaming import keyed
 from figureyard.streaming.snapshots import Snapshot
 
@@ -93,6 +93,10 @@ class BatchTable:
             df = self.spark.createDataFrame([], f"{self.schema}, batch INT")
         return df if before is None else df.filter(F.col("batch") < before)
 
+    def batch(self, batch_id: int) -> DataFrame:
+        """Rows of one micro-batch that was put."""
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/batch={batch_id}")
+
     def latest(self, keys: Sequence[str], before: int | None = None) -> DataFrame:
         return latest_per_key(self.rows(before), keys, F.col("batch"))
 
@@ -229,13 +233,16 @@ def archive_stream(feed: Feed, group: str, key: str, size: str, bucket: Column,
 
 def delivery_stream(feed: Feed, manifest: DataFrame, chunk: int = delivery.CHUNK) -> BatchTable:
     """Every batch delivers the next items of ``manifest`` (numbered by ``pos``
-    from 1) to the users that asked in it; how far a user has come is keyed state."""
+    from 1) to the users that asked in it; how far a user has come is keyed state.
+    The manifest is numbered once for a run, not again in every micro-batch."""
     table = feed.table("deliveries", "uid BIGINT, image_id BIGINT")
-    total = manifest.agg(F.coalesce(F.max("pos"), F.lit(0)).alias("n")).first()["n"]
+    asked = feed.table("ranges", "uid BIGINT, low BIGINT, high BIGINT")
+    cells = materialised(delivery.in_cells(manifest, chunk), "manifest-cells")
+    total = cells.agg(F.coalesce(F.max("last"), F.lit(0)).alias("n")).first()["n"]
 
     def sink(ranges: DataFrame, batch_id: int) -> None:
-        items = delivery.at_positions(keyed.positions(ranges), manifest)
-        table.put(items.select("uid", "image_id"), batch_id)
+        asked.put(ranges, batch_id)  # read more than once, while state steps on once
+        table.put(delivery.at_ranges(asked.batch(batch_id), cells, chunk), batch_id)
 
     with keyed.on_rocksdb(feed.spark):
         drain(feed.map(lambda rows: keyed.next_ranges(rows, "uid", chunk, total)), sink)

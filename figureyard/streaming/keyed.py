@@ -81,8 +81,3 @@ def next_ranges(requests: DataFrame, user: str, chunk: int, total: int) -> DataF
         requests.mapInPandas(local, f"{user} {kind}").groupBy(user)
         .applyInPandasWithState(advance, f"{user} {kind}, low LONG, high LONG", "upto LONG", "append", GroupStateTimeout.NoTimeout)
     )
-
-
-def positions(ranges: DataFrame) -> DataFrame:
-    """A row with ``pos`` for every position of ``ranges``."""
-    return ranges.withColumn("pos", F.explode(F.sequence(F.col("low") + 1, F.col("high")))).drop("low", "high")

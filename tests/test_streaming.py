@@ -130,6 +130,34 @@ def test_delivery_goes_on_after_a_restart_and_a_replay(spark):
     assert sorted(r.image_id for r in after if r.uid == 0) == list(range(1, 13))
 
 
+def test_a_delivery_goes_over_cells_of_a_manifest_that_grows(spark, monkeypatch):
+    def forbidden(*args):
+        raise AssertionError("users travelled as positions")
+
+    asked = spark.createDataFrame([(i % 2, i) for i in range(12)], "uid long, at long")
+    short, longer = (
+        spark.range(1, n + 1).select(F.col("id").alias("pos"), (F.col("id") * 10).alias("image_id")) for n in (5, 11)
+    )
+    first, rest = _stop_after(streams._arriving(spark, asked, "at"), 2)
+    with monkeypatch.context() as m:
+        m.setattr(delivery, "at_positions", forbidden)
+        jobs.delivery_stream(first, short, 4)
+        out = jobs.delivery_stream(rest, longer, 4).rows().collect()
+    per = {b: sorted(r.image_id for r in out if (r.uid, r.batch) == (1, b)) for b in range(3)}
+    # the second one ends amid a cell, so the third lies in two
+    assert per == {0: [10, 20, 30, 40], 1: [50], 2: [60, 70, 80, 90]} and len(out) == 18
+
+
+def test_a_cell_that_all_want_comes_out_of_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(delivery, "TASK_ITEMS", 500)
+    manifest = spark.range(1, 30).select(F.col("id").alias("pos"), F.col("id").alias("image_id"))
+    ranges = spark.range(400).select(F.col("id").alias("uid"), F.lit(3).cast("long").alias("low"), F.lit(13).cast("long").alias("high"))
+    parts = delivery.at_ranges(ranges, delivery.in_cells(manifest, 10), 10).rdd.glom().collect()
+    rows = [(r.uid, r.image_id) for part in parts for r in part]
+    assert sorted(rows) == [(u, i) for u in range(400) for i in range(4, 14)]
+    assert len(parts) == 8 and max(map(len, parts)) < len(rows) / 3
+
+
 def test_null_and_hot_keys_register_once(spark):
     rows = [(None, 5), (None, 3), *[("hot", i) for i in range(6, 500)], (None, 600), ("cold", 700)]
     df = spark.createDataFrame(rows, "base_id string, at long")
