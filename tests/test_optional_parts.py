@@ -27,3 +27,10 @@ def test_entry_imports_without(tmp_path, without):
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, check=True).stdout.split()
     assert int(out[0]) > 100 and str(tmp_path) in out[2]
     assert out[1] == str(not without)
+
+
+def test_a_pipeline_on_another_path_is_not_taken(tmp_path, monkeypatch):
+    if not (ROOT / "figureyard/llm").is_dir() or not (ROOT / "corpus_pipeline.py").exists():
+        pytest.skip("the optional parts are not there")
+    monkeypatch.setenv("PYTHONPATH", str(ROOT))
+    test_entry_imports_without(tmp_path, ("corpus_pipeline.py",))
