@@ -7,7 +7,7 @@ follow from the histogram by array functions.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -65,34 +65,43 @@ def measures(c: Column) -> Column:
     empty crop measures 0; the smallest most frequent level is the mode."""
     hist, zero = c["hist"], F.lit(0.0)
 
-    def total(weigh) -> Column:
-        terms = F.transform(hist, lambda h, level: weigh(h.cast("double"), level))
-        return F.aggregate(terms, zero, lambda a, x: a + x)
-
-    def share(which) -> Column:
-        n = total(lambda h, level: h)
-        return F.when(n > 0, total(lambda h, level: F.when(which(level), h).otherwise(zero)) / n).otherwise(zero)
+    # bound once: an expression inside a lambda is evaluated for each element
+    once = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
 
-    mode = F.array_position(hist, F.array_max(hist)) - 1
-    n = total(lambda h, level: h)
-    mean = total(lambda h, level: h * level) / n
+    def of(levels: Column, n: Column) -> Column:
+        def share(which) -> Column:
+            some = _total(levels, lambda h, level: F.when(which(level), h).otherwise(zero))
+            return F.when(n > 0, some / n).otherwise(zero)
 
-    def spread(m: Column) -> Column:
-        return F.sqrt(total(lambda h, level: h * (level - m) * (level - m)) / n)
+        def spread(m: Column) -> Column:
+            return F.sqrt(_total(levels, lambda h, level: h * (level - m) * (level - m)) / n)
 
-    # bound once: an expression inside a lambda is evaluated for each element
-    once = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
-    return F.when(
-        hist.isNotNull(),
-        F.struct(
+        mode = F.array_position(hist, F.array_max(hist)) - 1
+        mean = _total(levels, lambda h, level: h * level) / n
+        return F.struct(
             F.when(n > 0, once(mean, spread)).otherwise(zero).alias("std"),
             once(mode, lambda m: share(lambda level: F.abs(level - m) > OFF_MODE)).alias("content_frac"),
             c["edge"].alias("edge"),
             c["colors"].alias("colors"),
             share(lambda level: level > LIGHT).alias("light_frac"),
             share(lambda level: level < DARK).alias("dark_frac"),
-        ),
-    )
+        )
+
+    def whole(levels: Column) -> Column:
+        return once(_total(levels, lambda h, level: h), lambda n: of(levels, n))
+
+    return F.when(hist.isNotNull(), once(held_levels(hist), whole))
+
+
+def held_levels(hist: Column) -> Column:
+    """Counts with their levels. Levels without a pixel, mostly the larger part, add
+    nothing to any sum and are left out once."""
+    both = F.transform(hist, lambda h, level: F.struct(h.cast("double").alias("h"), level.alias("level")))
+    return F.filter(both, lambda x: x["h"] > 0)
+
+
+def _total(levels: Column, weigh: Callable[[Column, Column], Column]) -> Column:
+    return F.aggregate(levels, F.lit(0.0), lambda a, x: a + weigh(x["h"], x["level"]))
 
 
 def pixel_stats(blob: Column | str, width: Column) -> Column:

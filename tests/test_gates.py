@@ -210,3 +210,18 @@ def test_counts_of_crops_leave_in_slices():
     for blob, row in zip(blobs, rows, strict=True):
         hist, edge, colors = pixels.counted(blob, 2)
         assert row == {"hist": None if hist is None else hist.tolist(), "edge": edge, "colors": colors}
+
+
+def test_measures_pass_over_held_levels_only(spark):
+    rnd = random.Random(3)
+    blobs = [bytes(rnd.choice([7, 40, 250]) for _ in range(n)) for n in (0, 1, 90)]
+    df = spark.createDataFrame(list(enumerate(blobs)), "k int, px binary").withColumn("c", pixels.pixel_counts("px", F.lit(9)))
+    out = df.select("k", pixels.held_levels(F.col("c.hist")).alias("held"), pixels.measures(F.col("c")).alias("m"))
+    for r in out.collect():
+        flat = np.frombuffer(blobs[r.k], np.uint8).astype(float)
+        levels, counts = np.unique(flat, return_counts=True)
+        assert [(x.h, x.level) for x in r.held] == list(zip(counts, levels))
+        if len(flat):
+            mode = levels[counts.argmax()]
+            assert abs(r.m["std"] - flat.std()) < 1e-9 and r.m.content_frac == (abs(flat - mode) > 16).mean()
+            assert (r.m.light_frac, r.m.dark_frac) == ((flat > 240).mean(), (flat < 32).mean())
