@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from itertools import pairwise
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +58,19 @@ def alnum_words_of(text: Column) -> Column:
     return words_of(F.translate(text, UPPER, LOWER), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
+def coded_words(texts: list[bytes]) -> tuple[pa.Array, list[np.ndarray]]:
+    """The distinct words of ``texts``, which have spaces between words, and the
+    words of each text as places among them. So what follows from a word by itself
+    is worked out once for all texts."""
+    split = pc.split_pattern(pa.array(texts, pa.binary()), b" ")
+    coded = split.values.dictionary_encode()
+    codes = coded.indices.to_numpy()
+    is_word = (pc.binary_length(coded.dictionary).to_numpy() > 0)[codes]
+    ends = np.concatenate([[0], np.cumsum(is_word)])[split.offsets.to_numpy()]
+    codes = codes[is_word]
+    return coded.dictionary, [codes[a:b] for a, b in pairwise(ends.tolist())]
+
+
 def packed(docs: DataFrame, *more: Column) -> DataFrame:
     """The caller's row as one column ``row``, so that no name of it can clash."""
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *more)
@@ -112,16 +128,21 @@ class Workspace:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def slices(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """``part`` in slices that keep a task's Python objects few."""
+    for start in range(0, part.num_rows, 512):
+        yield part.slice(start, 512)
+
+
 def batches(
     fn: Callable[[list], list[tuple]], columns: list[str], schema: pa.Schema
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """mapInArrow over rows: ``fn`` gets the lists of ``columns`` of a slice of a
-    batch and returns output rows; slices keep a task's Python objects few."""
+    batch and returns output rows."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for start in range(0, part.num_rows, 512):
-                cut = part.slice(start, 512)
+            for cut in slices(part):
                 rows = fn([cut.column(c).to_pylist() for c in columns])
                 if rows:
                     yield pa.RecordBatch.from_arrays(

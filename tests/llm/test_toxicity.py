@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from figureyard.llm import toxicity
+from figureyard.llm.common import coded_words
 from figureyard.llm.language import held_out
 
 
@@ -63,3 +64,37 @@ def test_held_out_is_the_crc_of_the_id(spark):
 
     got = spark.range(200).withColumn("h", held_out(F.col("id"))).collect()
     assert [r.h for r in got] == [zlib.crc32(str(i).encode()) % 4 == 2 for i in range(200)]
+
+
+def test_words_are_coded_once_for_all_texts():
+    distinct, texts = coded_words([b"a  b a", b"", b" b", b"  ", b"c "])
+    words = distinct.to_pylist()
+    assert [[words[i] for i in t] for t in texts] == [[b"a", b"b", b"a"], [], [b"b"], [], [b"c"]]
+    assert words.count(b"a") == words.count(b"b") == 1
+    assert coded_words([])[1] == []
+
+
+def plain_features(word):
+    return [word] + [word[:n] + toxicity.MARK for n in reversed(toxicity.BEGINNINGS) if n < len(word)]
+
+
+def test_counts_and_scores_are_those_of_single_tokens(spark, small_docs, odd_docs):
+    texts = [r.text for r in small_docs.select("text").union(odd_docs.select("text")).collect()]
+    held = [{f for w in set(toxicity.parted(t).split()) for f in plain_features(w)} for t in texts]
+    known = sorted(set().union(*held))[::3]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    n, found = toxicity.document_counts(docs, [*known, b"nowhere"])
+    assert n == len(texts) and found == {f: c for f in known if (c := sum(f in h for h in held))}
+    assert toxicity.document_counts(docs, []) == (len(texts), {})
+
+    scores = {f: 1.0 + i % 7 for i, f in enumerate(known)}
+    model = toxicity.Model(scores, 1.0, 1.0, 0.0, 1.0)
+    distinct, coded = coded_words([toxicity.parted(t) for t in texts])
+    want = {w: next((scores[f] for f in plain_features(w) if f in scores), -model.settings.drift) for w in distinct.to_pylist()}
+    assert model.token_scores(distinct).tolist() == list(want.values()) and len(set(want.values())) > 3
+
+    kinds = [i % 2 for i in range(len(texts))]
+    counts = toxicity.sample_counts(distinct, coded, kinds).to_pylist()
+    assert {r["feature"] for r in counts} >= set().union(*held)
+    for r in counts[::50]:
+        assert [r["other"], r["toxic"]] == [sum(r["feature"] in h for h, k in zip(held, kinds) if k == j) for j in (0, 1)]
