@@ -71,6 +71,11 @@ def coded_words(texts: list[bytes]) -> tuple[pa.Array, list[np.ndarray]]:
     return coded.dictionary, [codes[a:b] for a, b in pairwise(ends.tolist())]
 
 
+def objects(values: pa.Array) -> np.ndarray:
+    """Python's objects of ``values``, without the scalars that ``to_pylist`` makes of each."""
+    return values.to_numpy(zero_copy_only=False)
+
+
 def packed(docs: DataFrame, *more: Column) -> DataFrame:
     """The caller's row as one column ``row``, so that no name of it can clash."""
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *more)

@@ -29,7 +29,8 @@ are ignored.
 
 from __future__ import annotations
 
-import hashlib
+from collections.abc import Sequence
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,9 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from figureyard.llm.common import LOWER, UPPER, Workspace, batches, packed as packed_rows, place, table, unpacked
+from figureyard.llm.common import (
+    LOWER, SPACES, UPPER, Workspace, batches, coded_words, objects, packed as packed_rows, place, table, unpacked,
+)
 
 BANDS, ROWS, BITS = 32, 4, 2
 HASHES = BANDS * ROWS
@@ -47,17 +50,7 @@ _rng = np.random.default_rng(20240229)
 FACTORS = _rng.integers(1, 2**63, HASHES, dtype=np.uint64) | np.uint64(1)
 SHIFTS = _rng.integers(0, 2**63, HASHES, dtype=np.uint64)
 STEPS = _rng.integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
-LOWERED = bytes.maketrans(UPPER.encode(), LOWER.encode())
-
-
-class WordHashes(dict):
-    """64-bit hash of a word, remembering a bounded number."""
-
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 200_000:
-            self[word] = h
-        return h
+LOWERED = bytes.maketrans((UPPER + SPACES).encode(), (LOWER + " " * len(SPACES)).encode())
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -66,16 +59,21 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def word_bytes(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").translate(LOWERED).split()
+def parted(text: str | None) -> bytes:
+    """The words of ``text`` with spaces between them."""
+    return (text or "").encode("utf-8", "surrogatepass").translate(LOWERED)
+
 
+def word_hashes(words: Sequence[bytes]) -> np.ndarray:
+    return mixed(np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)))
 
-def shingles(words: list[bytes], k: int, known: dict) -> np.ndarray:
-    """Sorted distinct hashes of the k-word shingles; fewer words are one shingle."""
-    n = len(words)
+
+def shingles(h: np.ndarray, k: int) -> np.ndarray:
+    """Sorted distinct hashes of the k-word shingles of a text whose words have the
+    hashes ``h``; fewer words are one shingle."""
+    n = len(h)
     if n == 0:
         return np.empty(0, np.uint64)
-    h = mixed(np.fromiter(map(known.__getitem__, words), np.uint64, n))
     if n < k:
         x = np.array([n], np.uint64)
         for j in range(n):
@@ -84,7 +82,8 @@ def shingles(words: list[bytes], k: int, known: dict) -> np.ndarray:
     x = np.zeros(n - k + 1, np.uint64)
     for j in range(k):
         x += h[j : n - k + 1 + j] * STEPS[j]
-    return np.unique(mixed(x))
+    x = np.sort(mixed(x))  # np.unique would hash first
+    return x[np.concatenate([[True], x[1:] != x[:-1]])]
 
 
 def minima(sets: np.ndarray) -> np.ndarray:
@@ -95,17 +94,17 @@ def minima(sets: np.ndarray) -> np.ndarray:
     return mixed(low)
 
 
-def packed(values: np.ndarray) -> list[int]:
-    """The low bits of the minima, 32 of them in each long."""
-    low = (values & np.uint64(2**BITS - 1)).reshape(-1, 64 // BITS)
+def packed(values: np.ndarray) -> np.ndarray:
+    """The low bits of each row of minima, 32 of them in each long."""
+    low = (values & np.uint64(2**BITS - 1)).reshape(len(values), -1, 64 // BITS)
     places = np.arange(0, 64, BITS, dtype=np.uint64)
-    return np.bitwise_or.reduce(low << places, axis=1).view(np.int64).tolist()
+    return np.bitwise_or.reduce(low << places, axis=2).view(np.int64)
 
 
-def band_keys(values: np.ndarray) -> list[int]:
-    """A key for each band, different bands apart."""
-    x = (values.reshape(BANDS, ROWS) * STEPS[:ROWS]).sum(1, dtype=np.uint64)
-    return mixed(x + np.arange(BANDS, dtype=np.uint64)).view(np.int64).tolist()
+def band_keys(values: np.ndarray) -> np.ndarray:
+    """A key for each band of each row of minima, different bands apart."""
+    x = (values.reshape(-1, BANDS, ROWS) * STEPS[:ROWS]).sum(2, dtype=np.uint64)
+    return mixed(x + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
 
 
 def parities(sets: np.ndarray) -> list[int]:
@@ -128,18 +127,16 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
     )
 
     def rows(columns: list) -> list[tuple]:
-        out = []
-        for at, i, text in zip(*columns):
-            s = shingles(word_bytes(text), k, known)
-            if len(s) == 0:
-                out.append((at, i, 0, None, None, None, None))
-                continue
-            low = minima(s)
-            digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-            out.append((at, i, len(s), digest, packed(low), parities(s), band_keys(low)))
-        return out
+        distinct, texts = coded_words([parted(t) for t in columns[2]])
+        hashes = word_hashes(objects(distinct))
+        sets = [shingles(hashes[text], k) for text in texts]
+        low = np.array([minima(s) for s in sets])
+        return [
+            (at, i, len(s), blake2b(s.tobytes(), digest_size=16).digest(), sig, parities(s), bands)
+            if len(s) else (at, i, 0, None, None, None, None)
+            for at, i, s, sig, bands in zip(*columns[:2], sets, packed(low).tolist(), band_keys(low).tolist())
+        ]
 
-    known = WordHashes()
     return docs.mapInArrow(batches(rows, ["place", "doc_id", "text"], schema), SKETCH)
 
 
@@ -177,13 +174,13 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def rows(columns: list) -> list[tuple]:
-        known, sets = WordHashes(), {}
+        sets = {}
 
         def of(i: int, z: bytes) -> np.ndarray:
             if i not in sets:
                 if len(sets) > 64:
                     sets.clear()
-                sets[i] = shingles(zstandard.decompress(z).split(), k, known)
+                sets[i] = shingles(word_hashes(zstandard.decompress(z).split()), k)
             return sets[i]
 
         out = []
@@ -286,7 +283,7 @@ def placed_groups(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
 
     def squeezed(columns: list) -> list[tuple]:
         pack = zstandard.ZstdCompressor(level=3)
-        return [(i, pack.compress(b" ".join(word_bytes(t)))) for i, t in zip(*columns)]
+        return [(i, pack.compress(parted(t))) for i, t in zip(*columns)]
 
     texts = docs.mapInArrow(
         batches(squeezed, ["place", "text"], pa.schema([("rep", pa.int64()), ("z", pa.binary())])),

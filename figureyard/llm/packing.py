@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from figureyard.llm.common import table
-from figureyard.llm.tokens import WordIds, public_file
+from figureyard.llm.tokens import BlockIds, public_file
 
 LONGEST, SHORTEST = 2048, 256
 CLOSING_ID = 1
@@ -119,7 +119,7 @@ def pack(docs: DataFrame, tokenizer: str) -> DataFrame:
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(TaskContext.get().partitionId())
-        ids, closing = WordIds(tokenizer), CLOSING_ID.to_bytes(4, "little")
+        ids, closing = BlockIds(tokenizer), CLOSING_ID.to_bytes(4, "little")
 
         def flushed() -> pa.RecordBatch:
             columns = [pa.array(v, pa.int64()) for v in zip(*packer.out)]
@@ -129,8 +129,9 @@ def pack(docs: DataFrame, tokenizer: str) -> DataFrame:
         for part in parts:
             for start in range(0, part.num_rows, 256):
                 cut = part.slice(start, 256)
-                for i, text in zip(cut.column("doc_id").to_pylist(), cut.column("text").to_pylist()):
-                    packer.add(i, ids.text(text) + closing)
+                texts = ids.arrays(cut.column("text").to_pylist())
+                for i, text in zip(cut.column("doc_id").to_pylist(), texts):
+                    packer.add(i, text.astype("<u4").tobytes() + closing)
                 if packer.out:
                     yield flushed()
         packer.pack()

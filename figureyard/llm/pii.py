@@ -30,11 +30,13 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from figureyard.llm.common import Workspace, batches, table, packed, unpacked
+from figureyard.llm.common import Workspace, batches, coded_words, objects, packed, slices, table, unpacked
 
 KINDS = ("email", "ip", "card", "phone", "term")
 NEAR = 8  # words before and after an entity
@@ -47,6 +49,7 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+HINT = re.compile(r"[0-9@]")  # every entity has one of them
 EDGES = ".,;:!?()[]{}\"'«»“”„*#$%&|<>-"
 
 
@@ -76,6 +79,8 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
 
 def entities(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of all base spans, by start, then kind."""
+    if not HINT.search(text):
+        return []
     out = [(s, 0, e) for s, e in emails(text)]
     for m in IP.finditer(text):
         if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m.group().split(".")):
@@ -101,10 +106,6 @@ def term(word: str) -> str | None:
     return t if len(t) > 2 and any(map(str.isalpha, t)) and "@" not in t else None
 
 
-def word_hash(t: str) -> int:
-    return zlib.crc32(t.encode("utf-8", "surrogatepass")) & (BITS - 1)
-
-
 def words_before(text: str, at: int) -> list[str]:
     width = 128
     while len(words := text[max(0, at - width) : at].split()) <= NEAR and width < at:
@@ -143,13 +144,21 @@ def bit_set(terms: DataFrame) -> bytes:
     return bytes(out)
 
 
-def passing(words: set[str], known: bytes) -> list[str]:
-    out = []
-    for t in {t for w in words if (t := term(w))}:
-        h = word_hash(t)
-        if known[h >> 3] >> (h & 7) & 1:
-            out.append(t)
-    return out
+def coded_terms(texts: list[str | None]) -> tuple[pa.Array, list[np.ndarray]]:
+    """The terms of all ``texts`` together, as ``term`` gives them of a word, and the
+    places among them of each text's words. Places of what is no term hold null."""
+    words, coded = coded_words([" ".join((t or "").lower().split()) for t in texts])
+    terms = pc.utf8_trim(words.cast(pa.string()), EDGES).dictionary_encode()
+    place, t = terms.indices.to_numpy(), terms.dictionary
+    good = pc.and_(pc.greater(pc.utf8_length(t), 2), pc.invert(pc.match_substring(t, "@")))
+    has_letter = pa.array([x.isalpha() or any(map(str.isalpha, x)) for x in objects(t)], pa.bool_())
+    return pc.if_else(pc.and_(good, has_letter), t, None), [place[c] for c in coded]
+
+
+def passing(terms: pa.Array, known: bytes) -> np.ndarray:
+    """Which terms have their hash in the set ``known``."""
+    h = np.array([-1 if t is None else zlib.crc32(t) & (BITS - 1) for t in objects(terms.cast(pa.binary()))], np.int64)
+    return (h >= 0) & (np.frombuffer(known, np.uint8)[h >> 3] >> (h & 7) & 1 > 0)
 
 
 def disclosing(work: Workspace, docs: DataFrame) -> DataFrame:
@@ -159,7 +168,7 @@ def disclosing(work: Workspace, docs: DataFrame) -> DataFrame:
     def near(columns: list) -> list[tuple]:
         out = []
         for text in columns[0]:
-            if text and any(c.isdigit() or c == "@" for c in text):
+            if text and HINT.search(text):
                 doc = zlib.crc32(text.encode("utf-8", "surrogatepass"))
                 seen: set[str] = set()
                 for e, t in set(near_entities(text)):
@@ -204,10 +213,15 @@ def disclosing(work: Workspace, docs: DataFrame) -> DataFrame:
             return out
 
         for part in parts:
-            for text in part.column("text").to_pylist():
-                seen.update(passing(set((text or "").split()), found))
-            if len(seen) > 100_000:
-                yield flushed()
+            for cut in slices(part):
+                terms, texts = coded_terms(cut.column("text").to_pylist())
+                n = np.zeros(len(terms), np.int64)
+                for text in texts:
+                    n[text] += 1  # once, however often a place is listed
+                wanted = passing(terms, found)
+                seen.update(dict(zip(terms.filter(pa.array(wanted)).to_pylist(), n[wanted].tolist())))
+                if len(seen) > 100_000:
+                    yield flushed()
         yield flushed()
 
     frequency = work.save(
@@ -231,7 +245,6 @@ def marked(docs: DataFrame, work: Workspace | None = None) -> DataFrame:
     docs = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
     told = disclosing(work, docs)
     known = bit_set(told)
-    nothing = not any(known)
     span = pa.struct([("s", pa.int64()), ("k", pa.int32()), ("e", pa.int64())])
     hit = pa.struct([("s", pa.int64()), ("e", pa.int64()), ("term", pa.string())])
     schema = pa.schema(
@@ -247,12 +260,15 @@ def marked(docs: DataFrame, work: Workspace | None = None) -> DataFrame:
         def rows(columns: list) -> list[tuple]:
             nonlocal row
             out = []
-            for i, text, h in zip(*columns):
+            terms, texts = coded_terms(columns[1])
+            wanted = passing(terms, known)
+            for i, text, h, held in zip(*columns, texts):
                 text = text or ""
                 base = entities(text)
                 n = Counter(k for _, k, _ in base)
                 maybe = []
-                if not nothing and (some := set(passing(set(text.split()), known))):
+                if len(some := held[wanted[held]]):
+                    some = set(terms.take(pa.array(some)).to_pylist())
                     for m in re.finditer(r"\S+", text):
                         t = term(m.group())
                         if t in some:

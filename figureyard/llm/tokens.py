@@ -14,7 +14,7 @@ import os
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, cached_property
 from pathlib import Path
 
 import numpy as np
@@ -50,9 +50,7 @@ class WordIds(dict):
     """Piece of text without white space -> its ids as bytes of uint32."""
 
     def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        self.path = path
         letters, end = byte_letters(), "</w>"
         ranks = {}
         for token, rank in json.loads(Path(path).read_text("utf-8"))["model"]["vocab"].items():
@@ -61,6 +59,14 @@ class WordIds(dict):
         coder = tiktoken.Encoding("words", pat_str=".", mergeable_ranks=ranks, special_tokens={})
         self.merge = coder._core_bpe.encode_single_piece
 
+    @cached_property
+    def whole(self) -> Tokenizer:
+        """The library's own, which plain texts never need."""
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        out = Tokenizer.from_file(self.path)
+        out.encode_special_tokens = True
+        return out
+
     def slowly(self, text: str) -> bytes:
         ids = self.whole.encode(text, add_special_tokens=False).ids
         return np.array(ids, "<u4").tobytes()

@@ -95,3 +95,22 @@ def test_rows_that_share_ids_and_repeat(spark):
     assert {r["component_id"] for r in found if r["doc_id"] == 20} == {20}
     kept = sorted((r["doc_id"] or 0, (r["text"] or "")[:4]) for r in one_of_each(docs, k=2).collect())
     assert kept == [(0, "z y "), (1, "a0 a"), (3, ""), (3, ""), (7, "b0 b"), (20, "a0 a")]
+
+
+def test_sketches_are_those_of_each_text_alone(spark, odd_docs, small_docs):
+    import xxhash
+
+    rows = [r.text for r in small_docs.limit(60).union(odd_docs.select(small_docs.columns)).collect()]
+    rows += ["Tabs\tand\nlines  between", "tabs and lines between"]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").coalesce(1)
+    docs = docs.selectExpr("doc_id as place", "doc_id", "text")
+    got = sorted(minhash.sketches(docs, 5).collect(), key=lambda r: r.place)
+    for r, text in zip(got, rows):
+        words = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").encode().split()
+        s = minhash.shingles(minhash.mixed(np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)), 5)
+        assert r.n == len(s) == len(np.unique(s)) and (r.bands is None) == (not words)
+        if words:
+            low = minhash.minima(s)
+            assert r.parity == minhash.parities(s)
+            assert [r.sig] == minhash.packed(low[None]).tolist() and [r.bands] == minhash.band_keys(low[None]).tolist()
+    assert got[-1].digest == got[-2].digest

@@ -74,3 +74,16 @@ def test_pieces(small_docs):
 def test_odd_rows(odd_docs, no_docs):
     check(odd_docs.repartition(2))
     assert packing.pack(no_docs, FILE).count() == 0
+
+
+def test_plain_texts_need_no_library(small_docs):
+    from figureyard.llm.tokens import BlockIds
+
+    texts = [r.text for r in small_docs.limit(100).collect()]
+    coder, words = BlockIds(FILE), WordIds(FILE)
+    assert [a.astype("<u4").tobytes() for a in coder.arrays(texts)] == [words.text(t) for t in texts]
+    plain = BlockIds(FILE)
+    plain.arrays(["Plain words, 12 of them."])
+    assert "whole" not in vars(plain)
+    plain.arrays(["漢字"])
+    assert "whole" in vars(plain)

@@ -102,3 +102,17 @@ def test_words_are_walked_whole():
     long = "z" * 900
     text = f"Quillfeather {long} a@b.co {long} Vornaskel"
     assert {t for _, t in pii.near_entities(text)} == {"quillfeather", "vornaskel", long}
+
+
+def test_coded_terms_are_those_of_single_words(small_docs, odd_docs):
+    texts = [r.text for r in small_docs.select("text").union(odd_docs.select("text")).collect()]
+    texts += TEXTS + ["İstanbul, ΑΣ. 'ΣΑ' ΑΣ́. K9s a.b. (x) ... 12345 q@no wide\x85next\x1cone Kelvin ²³¹ ab"]
+    terms, coded = pii.coded_terms(texts)
+    names = terms.to_pylist()
+    for text, held in zip(texts, coded):
+        words = (text or "").split()
+        assert [names[i] for i in held] == [pii.term(w) for w in words]
+    every = bytes([255]) * (pii.BITS // 8)
+    assert pii.passing(terms, every).tolist() == [t is not None for t in names]
+    assert not pii.passing(terms, bytes(pii.BITS // 8)).any()
+    assert pii.coded_terms([])[1] == []

@@ -40,3 +40,24 @@ def test_odd_rows(odd_docs, no_docs):
     assert by[4].n_words == 24000 and by[4].n_repeat_words == 24000 and by[4].base_failed
     assert quality.measures(no_docs).count() == 0
     assert quality.clean(odd_docs).columns == odd_docs.columns
+
+
+def test_clean_judges_lines_once(spark, small_docs):
+    plan = quality.clean(small_docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("all rights reserved") == 1 and plan.count("xxhash64") == 1
+
+
+def test_repeats_counted_roughly_give_the_same_verdicts(spark, small_docs):
+    texts = []
+    for again in range(0, 40, 2):  # windows said twice or many times, up to over half of the words
+        words = [f"w{i}" for i in range(60)]
+        texts += [" ".join(words + words[:again] * n) for n in (1, 2, 5)]
+    df = spark.createDataFrame([(-i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    df = df.union(small_docs.select("doc_id", "text"))
+    columns = ["doc_id", "n_words", "base_failed", "kept", "n_repeat_words"]
+    exact, rough = (
+        sorted(map(tuple, quality.measures(df, exact=e).select(columns).collect())) for e in (True, False)
+    )
+    assert [r[:4] for r in exact] == [r[:4] for r in rough]
+    assert {r[2] for r in exact} == {True, False}
+    assert any(a[4] > b[4] == 0 for a, b in zip(exact, rough))
